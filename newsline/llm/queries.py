@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from newsline.llm import substring_dedup
+from newsline.llm import bpe, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
