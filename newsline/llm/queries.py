@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, language_id, substring_dedup
+from newsline.llm import bpe, decontaminate, language_id, substring_dedup
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
