@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, decontaminate, language_id, substring_dedup
+from newsline.llm import bpe, decontaminate, language_id, substring_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op7_language_id": language_id.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE_SQL,
+}
