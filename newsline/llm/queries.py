@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, decontaminate, html_text, language_id, substring_dedup, warc
+from newsline.llm import bpe, chat_format, decontaminate, html_text, language_id, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_html_text": html_text.op5_html_text,
+    "op6_chat_format": chat_format.op6_chat_format,
     "op7_language_id": language_id.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_decontaminate": decontaminate.op10_decontaminate,
