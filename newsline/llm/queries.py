@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, chat_format, decontaminate, html_text, language_id, substring_dedup, warc
+from newsline.llm import bpe, chat_format, decontaminate, html_text, language_id, line_dedup, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -11,9 +11,11 @@ QUERIES = {
     "op6_chat_format": chat_format.op6_chat_format,
     "op7_language_id": language_id.op7_language_id,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
