@@ -44,6 +44,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         e = materialize(e, "cc")
         after = _state(e)
         if after == before:
-            return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+            nodes = e.select(F.explode(F.array("u", "v")).alias("node"), F.col("v").alias("component"))
+            return nodes.groupBy("node").agg(F.min("component").alias("component"))
         before = after
     raise RuntimeError(f"components have not settled in {max_rounds} rounds")
