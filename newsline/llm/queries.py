@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, chat_format, decontaminate, html_text, jaccard_join, language_id, line_dedup, substring_dedup, warc
+from newsline.llm import bpe, chat_format, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, line_dedup, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_ngram_jaccard": jaccard_join.op4_ngram_jaccard,
     "op5_html_text": html_text.op5_html_text,
     "op6_chat_format": chat_format.op6_chat_format,
