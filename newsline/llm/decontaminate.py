@@ -147,48 +147,79 @@ class Items:
         return [(i, *best[i]) for i in sorted(best)]
 
 
+def _matches(items: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+    """(row, match) for every item that a text holds."""
+    kinds = sorted({min(items.gram, x) for x in items.sizes})
+    lowered = pa.array([(x or "").lower() for x in texts.to_pylist()], pa.large_string())
+    for row, data, offsets in slices(lowered):
+        starts, ends, bounds = words(data, offsets, _SEPARATES)
+        hashes = word_hashes(data, starts, ends)
+        touched = np.zeros(len(offsets) - 1, bool)
+        for k in kinds:
+            grams = rolling(hashes, k)
+            if len(grams):
+                at = np.minimum(np.searchsorted(items.known, grams), len(items.known) - 1)
+                touched[text_of(bounds)[np.flatnonzero((items.known[at] == grams) & firsts_with(bounds, k, len(hashes)))]] = True
+        for d in np.flatnonzero(touched).tolist():
+            for match in items.search(hashes[bounds[d] : bounds[d + 1]], threshold):
+                yield row + d, match
+
+
 def _search(packed, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = pickle.loads(packed.value)
-        kinds = sorted({min(items.gram, x) for x in items.sizes})
         for batch in batches:
-            ids = batch.column("doc_id")
-            lowered = pa.array([(x or "").lower() for x in batch.column("text").to_pylist()], pa.large_string())
-            for row, data, offsets in slices(lowered):
-                starts, ends, bounds = words(data, offsets, _SEPARATES)
-                hashes = word_hashes(data, starts, ends)
-                touched = np.zeros(len(offsets) - 1, bool)
-                for k in kinds:
-                    grams = rolling(hashes, k)
-                    if len(grams):
-                        at = np.minimum(np.searchsorted(items.known, grams), len(items.known) - 1)
-                        touched[text_of(bounds)[np.flatnonzero((items.known[at] == grams) & firsts_with(bounds, k, len(hashes)))]] = True
-                rows = [(row + d, *x) for d in np.flatnonzero(touched).tolist() for x in items.search(hashes[bounds[d] : bounds[d + 1]], threshold)]
-                if rows:
-                    where, item, like, begin, end = zip(*rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(where)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(like, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
-                        ["doc_id", "item_id", "similarity", "first_word", "end_word"],
-                    )
+            rows = [(row, *match) for row, match in _matches(items, batch.column("text"), threshold)]
+            if rows:
+                where, item, like, begin, end = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(where)), pa.array([items.ids[i] for i in item], pa.int64()), pa.array(like, pa.float64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
+                    ["doc_id", "item_id", "similarity", "first_word", "end_word"],
+                )
 
     return run
 
 
+def _packs(benchmark: DataFrame, most: int) -> list:
+    """The benchmark's items as broadcasts of ``most`` bytes of text or so each."""
+    items = benchmark.select("item_id", "text")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    passes = max(1, -(-(size[0] + 16 * size[1]) // most))
+    out = []
+    for i in range(passes):
+        rows = (items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else items).collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows]))))
+    return out
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): every item that a document holds, with its best window."""
-    spark = docs.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    passes = max(1, -(-(size[0] + 16 * size[1]) // max_item_bytes))
     out = None
-    for i in range(passes):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else benchmark.select("item_id", "text")
-        rows = part.collect()
-        packed = spark.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows])))
+    for packed in _packs(benchmark, max_item_bytes):
         found = docs.select("doc_id", "text").mapInArrow(_search(packed, threshold), "doc_id long, item_id long, similarity double, first_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, unchanged; nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(packed):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items: Items = pickle.loads(packed.value)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, _ in _matches(items, batch.column(at), threshold)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return keep
+
+    for packed in _packs(benchmark, max_item_bytes):
+        docs = docs.mapInArrow(run(packed), docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items, with the items and their places."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -37,7 +37,6 @@ MAX_FREQUENT = 1 << 20
 SMALL = 32
 WIDE = 200
 BLOCK = 128
-SMALLEST = 6  # below, two sets at 0.85 are equal
 COUNTED = np.uint64(1 << 62)  # prefixes are made of small hashes; only that quarter is counted
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,6 +97,11 @@ def frequent_tokens(docs: DataFrame, k: int, least: int = FREQUENT_FROM, most: i
     return np.sort(counts.where(F.col("n") >= least).select("token").toPandas().token.to_numpy(np.int64).view(np.uint64))
 
 
+def smallest(percent: int) -> int:
+    """Below this many tokens, sets that link are equal."""
+    return -(-percent // (100 - percent))
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - (percent * n + 99) // 100 + 2)
 
@@ -121,7 +125,7 @@ def _signatures(k: int, percent: int, packed):
                 order = np.lexsort((token, common, doc))
                 doc, token, common = doc[order], token[order], common[order]
                 place = np.arange(len(doc)) - np.repeat(first, n[has])
-                inside = (place < prefix_length(n, percent)[doc]) & (n[doc] >= SMALLEST)
+                inside = (place < prefix_length(n, percent)[doc]) & (n[doc] >= smallest(percent))
                 rare, often = inside & ~common, inside & common
                 f = np.bincount(doc[often], minlength=m)
                 owners, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -240,12 +244,14 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of (doc_id, text): documents link at a Jaccard similarity of ``percent`` hundredths or more."""
+    if not 67 <= percent < 100:
+        raise ValueError("two shared prefix tokens are only sure from 67 hundredths on")
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     packed = spark.sparkContext.broadcast(frequent_tokens(docs, k).tobytes())
     marks = materialize(docs.mapInArrow(_signatures(k, percent, packed), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>"), "signatures")
     classes = marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = marks.where(f"n >= {SMALLEST}").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = marks.where(f"n >= {smallest(percent)}").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     groups = connected_components(_candidates(reps, percent), "u", "v")
     sized = groups.join(marks.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]), "node")
     inside = Window.partitionBy("component")

@@ -205,15 +205,17 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models:
     return models
 
 
-def predict(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of every row of (doc_id, text)."""
+def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> DataFrame:
+    """``docs`` with a struct ``name`` of lang_pred, score and rejected, from the column text; nothing is shuffled."""
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
+    kept = [c for c in docs.columns if c != name]
+    text = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Models = pickle.loads(packed.value)
         names = [*own.languages, UNDETERMINED]
         for batch in batches:
-            texts = [x or "" for x in batch.column("text").to_pylist()]
+            texts = [x or "" for x in batch.column(text).to_pylist()]
             at = 0
             while at < len(texts):
                 to, n = at, 0
@@ -231,10 +233,16 @@ def predict(docs: DataFrame, models: Models) -> DataFrame:
                 else:
                     best, score, rejected = np.zeros(to - at, int), np.zeros(to - at), np.ones(to - at, bool)
                 pred = [names[b] if k else UNDETERMINED for b, k in zip(best, known)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, to - at), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "lang_pred", "score", "rejected"])
+                found = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["lang_pred", "score", "rejected"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns), found], [*kept, name])
                 at = to
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(name, "struct<lang_pred:string,score:double,rejected:boolean>"))
+
+
+def predict(docs: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, lang_pred, score, rejected) of every row of (doc_id, text)."""
+    return predict_rows(docs.select("doc_id", "text"), models).select("doc_id", "_language.*")
 
 
 def held_out() -> F.Column:

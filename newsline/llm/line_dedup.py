@@ -31,7 +31,7 @@ def _one(value: Column) -> Column:
 
 
 def _chunked(docs: DataFrame, modulus: int) -> DataFrame:
-    """``docs`` with chunks, an array of (no, n, chunk, fp); rows with null text are left out."""
+    """``docs`` with _chunks, an array of (no, n, chunk, fp); rows with null text are left out."""
     kept = docs.columns
     lines = docs.where("text is not null").select(*kept, _one(F.split("text", "\n")).alias("_lines"))
     hashed = lines.select("*", _one(F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))).alias("_h"))
@@ -42,28 +42,29 @@ def _chunked(docs: DataFrame, modulus: int) -> DataFrame:
     starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", 1, F.size("_ends") - 1), lambda e: e + 1))
     texts = F.zip_with(starts, "_ends", lambda s, e: F.struct((e - s + 1).alias("n"), F.array_join(F.slice("_lines", s + 1, e - s + 1), "\n").alias("chunk")))
     chunks = F.transform(texts, lambda x, i: F.struct(i.alias("no"), x.n.alias("n"), x.chunk.alias("chunk"), F.xxhash64(x.chunk).alias("fp")))
-    return ended.select(*kept, _one(chunks).alias("chunks"))
+    return ended.select(*kept, _one(chunks).alias("_chunks"))
 
 
 def repeated_chunks(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, gone): the (no, fp) of each document's chunks that occur earlier."""
-    rows = _chunked(docs.where("doc_id is not null").select("doc_id", "text"), modulus).select("doc_id", F.explode("chunks").alias("c")).where(F.col("c.n") >= min_lines).select("doc_id", "c.no", "c.fp", "c.chunk")
+    """(doc_id, _gone): the (no, fp) of each document's chunks that occur earlier."""
+    rows = _chunked(docs.where("doc_id is not null").select("doc_id", "text"), modulus).select("doc_id", F.explode("_chunks").alias("c")).where(F.col("c.n") >= min_lines).select("doc_id", "c.no", "c.fp", "c.chunk")
     same = rows.groupBy("fp", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times"))
     known = same.groupBy("fp").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("times").alias("times")).where("texts = 1 and times > 1").select("fp", "first")
     again = rows.select("doc_id", "no", "fp").join(known, "fp").where(F.struct("doc_id", "no") > F.col("first"))
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("no", "fp")).alias("gone"))
+    return again.groupBy("doc_id").agg(F.collect_set(F.struct("no", "fp")).alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with text shortened, and n_lines and n_removed (lines)."""
-    kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+def dedup_lines(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LINES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with text shortened and two columns named by ``counts``: lines, and lines removed."""
+    n_lines, n_removed = counts
+    kept = [c for c in docs.columns if c not in ("text", *counts)]
     found = docs.select(*kept, "text").join(repeated_chunks(docs, modulus, min_lines).hint("shuffle_hash"), "doc_id", "left")
     rebuilt = _chunked(found, modulus)
-    stays = F.filter("chunks", lambda x: ~F.coalesce(F.array_contains("gone", F.struct(x.no, x.fp)), F.lit(False)))
-    done = rebuilt.select(*kept, _one(stays).alias("_s"), F.aggregate("chunks", F.lit(0).cast("long"), lambda a, x: a + x.n).alias("n_lines")).select(
-        *kept, F.array_join(F.transform("_s", lambda x: x.chunk), "\n").alias("text"), "n_lines", (F.col("n_lines") - F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x.n)).alias("n_removed")
+    stays = F.filter("_chunks", lambda x: ~F.coalesce(F.array_contains("_gone", F.struct(x.no, x.fp)), F.lit(False)))
+    done = rebuilt.select(*kept, _one(stays).alias("_s"), F.aggregate("_chunks", F.lit(0).cast("long"), lambda a, x: a + x.n).alias(n_lines)).select(
+        *kept, F.array_join(F.transform("_s", lambda x: x.chunk), "\n").alias("text"), n_lines, (F.col(n_lines) - F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x.n)).alias(n_removed)
     )
-    nulls = docs.where("text is null").select(*kept, F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    nulls = docs.where("text is null").select(*kept, F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_removed))
     return done.unionByName(nulls)
 
 
