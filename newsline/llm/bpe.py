@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.fs
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType
 
 from newsline.plans.storage import table
 
@@ -257,7 +258,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) // 4 for x in found]]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([len(x) // 4 for x in found], pa.int64())], [*kept, "ids", "n_tokens"])
 
-    schema = df.select(kept).schema.add("ids", "array<int>").add("n_tokens", "long")
+    schema = df.select(kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
     return df.select(kept).mapInArrow(run, schema)
 
 
