@@ -47,7 +47,7 @@ def clean_page_text(body: Column) -> Column:
 def post_text(json: Column) -> Column:
     """Self text, a separator, the non-blank comments; broken JSON is empty."""
     post = F.from_json(json, POST)
-    comments = F.filter(F.transform(F.coalesce(post.comments, F.array().cast("array<string>")), F.trim), lambda c: c.isNotNull() & (c != ""))
+    comments = F.filter(F.transform(F.coalesce(post.comments, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
     text = F.trim(F.coalesce(post.selftext, F.lit("")))
     return F.trim(F.when(F.size(comments) > 0, F.concat(text, F.lit(COMMENTS), F.array_join(comments, "\n"))).otherwise(text))
 

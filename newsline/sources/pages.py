@@ -60,10 +60,9 @@ def canonical_timestamp(pages: DataFrame) -> DataFrame:
     body = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r"(?is)<body\b[^>]*>(.*)", 1), r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]*>", " ")
     named = rf"(\d{{1,2}})\s+({'|'.join(MONTHS)})\s+(\d{{4}})"
     month = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, f"{i + 1:02d}")])
-    day = lambda p, *g: F.concat_ws("-", *g)
-    from_name = F.when(F.regexp_extract(body, named, 3) != "", F.try_to_timestamp(day(0, F.regexp_extract(body, named, 3), F.try_element_at(month, F.regexp_extract(body, named, 2)), F.lpad(F.regexp_extract(body, named, 1), 2, "0"))))
+    from_name = F.when(F.regexp_extract(body, named, 3) != "", F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(body, named, 3), F.try_element_at(month, F.regexp_extract(body, named, 2)), F.lpad(F.regexp_extract(body, named, 1), 2, "0"))))
     dotted = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
-    from_dots = F.when(F.regexp_extract(body, dotted, 3) != "", F.try_to_timestamp(day(0, F.regexp_extract(body, dotted, 3), F.lpad(F.regexp_extract(body, dotted, 2), 2, "0"), F.lpad(F.regexp_extract(body, dotted, 1), 2, "0"))))
+    from_dots = F.when(F.regexp_extract(body, dotted, 3) != "", F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(body, dotted, 3), F.lpad(F.regexp_extract(body, dotted, 2), 2, "0"), F.lpad(F.regexp_extract(body, dotted, 1), 2, "0"))))
     rows = pages.select("page_id", "fetched_at", from_ld.alias("ld"), F.coalesce(*metas).alias("meta"), F.coalesce(from_name, from_dots).alias("turkish"))
     method = F.when(F.col("ld").isNotNull(), "json-ld").when(F.col("meta").isNotNull(), "meta").when(F.col("turkish").isNotNull(), "turkish-regex").otherwise("fetched-at")
     return rows.select("page_id", F.coalesce("ld", "meta", "turkish", "fetched_at").alias("ts"), method.alias("method"))
