@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
 
-TILE = 1024
+TILE = 4096
 STEP = 16
 SLACK = 1e-5  # of the turned single-precision vectors; the final test has none
 
@@ -101,16 +101,24 @@ def compare(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, thresh
     dims = x.shape[1]
     tail = lambda v: np.sqrt(np.maximum(np.cumsum((v.astype(np.float64) ** 2)[:, ::-1], axis=1)[:, ::-1], 0))
     tx, ty = tail(x), tail(y)
-    part = x[:, :step] @ y[:, :step].T
+    # One product gives the leading axes and, from a further column, the bound of the rest.
     if dims > step:
-        part += np.outer(tx[:, step], ty[:, step]).astype(np.float32)
-    i, j = np.nonzero(part >= threshold - SLACK)
+        lx, ly = np.column_stack([x[:, :step], tx[:, step].astype(np.float32)]), np.column_stack([y[:, :step], ty[:, step].astype(np.float32)])
+    else:
+        lx, ly = x, y
+    rows, cols, bounds = [], [], []
+    for a in range(0, len(x), 512):
+        part = lx[a : a + 512] @ ly.T
+        hit = np.flatnonzero(part.ravel() >= threshold - SLACK)
+        bounds.append(part.ravel()[hit])
+        rows.append(a + hit // part.shape[1])
+        cols.append(hit % part.shape[1])
+    i, j, bound = np.concatenate(rows), np.concatenate(cols), np.concatenate(bounds)
     at = step
     while at < dims and len(i):
         to = min(at + step, dims)
         # The bound so far less the old suffixes' product, plus the products of the next axes and the new suffixes.
-        bound = part[i, j] - tx[i, at] * ty[j, at] if at == step else bound - tx[i, at] * ty[j, at]
-        bound = bound + np.einsum("ij,ij->i", x[i, at:to], y[j, at:to])
+        bound = bound - tx[i, at] * ty[j, at] + np.einsum("ij,ij->i", x[i, at:to], y[j, at:to])
         if to < dims:
             bound = bound + tx[i, to] * ty[j, to]
         keep = bound >= threshold - SLACK
@@ -195,7 +203,7 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE)
     shifted = shifted.select("cell", "t", "s", F.struct(F.col("cell.dim").alias("dim"), (F.col("cell.a") + F.col("s.x")).alias("a"), (F.col("cell.b") + F.col("s.y")).alias("b")).alias("to"))
     right = names.select(F.col("cell").alias("to"), F.col("t").alias("u"))
     meets = shifted.join(right, "to").where("s.x != 0 or s.y != 0 or t <= u").select(F.col("cell").alias("c1"), "t", F.col("to").alias("c2"), "u")
-    meets = meets.select("*", F.struct("c1", "t", "c2", "u").alias("tiles"))
+    meets = meets.select("*", F.concat_ws("|", "c1.dim", "c1.a", "c1.b", "t", "c2.a", "c2.b", "u").alias("tiles"))
     sides = meets.select("tiles", F.lit(0).alias("side"), F.col("c1").alias("cell"), "t").union(meets.where("not (c1 = c2 and t = u)").select("tiles", F.lit(1).alias("side"), F.col("c2").alias("cell"), F.col("u").alias("t")))
     dealt = tiled.join(sides, ["cell", "t"]).select("tiles", "side", "key", "n", "turned", "unit").repartition(partitions(spark), "tiles").sortWithinPartitions("tiles", "side")
     found = materialize(dealt.mapInArrow(_meet(threshold), "key binary, links long, other binary"), "links")
