@@ -55,7 +55,8 @@ def _packed(sums: np.ndarray) -> np.ndarray:
 class Items:
     """The benchmark: shingles, weights, fingerprints and block tables."""
 
-    def __init__(self, ids: list, texts: list[str], gram: int = GRAM, radius: int = RADIUS) -> None:
+    def __init__(self, ids: list, texts: list[str], gram: int = GRAM, radius: int = RADIUS, counts: tuple | None = None) -> None:
+        """``counts``: (shingles, how many items have each, number of items) of the whole benchmark, if this is a part of it."""
         self.gram, self.radius = gram, radius
         lowered = pa.array([(x or "").lower() for x in texts], pa.large_string())
         self.ids, self.sizes, self.shingles = [], [], []
@@ -68,8 +69,10 @@ class Items:
                     self.sizes.append(int(b - a))
                     self.shingles.append(np.sort(rolling(hashes[a:b], min(gram, int(b - a)))))
         self.known, have = np.unique(np.concatenate([np.unique(x) for x in self.shingles] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.weights = 1 + np.log(max(len(self.ids), 1) / np.maximum(have, 1))
-        self.rare = 1 + np.log(max(len(self.ids), 1))
+        self.counts = (self.known, have, len(self.ids))
+        every, times, total = counts or self.counts
+        self.weights = 1 + np.log(max(total, 1) / np.maximum(times[np.searchsorted(every, self.known)], 1)) if len(self.known) else np.zeros(0)
+        self.rare = 1 + np.log(max(total, 1))
         self.prints = np.array([_packed(((self.weigh(x)[:, None] * _signs(x)).sum(0))[None])[0] for x in self.shingles], np.uint64)
         # For shingle number s, the items owners[first[s] : first[s + 1]] have it.
         number = [np.searchsorted(self.known, np.unique(x)) for x in self.shingles]
@@ -185,11 +188,17 @@ def _packs(benchmark: DataFrame, most: int) -> list:
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     passes = max(1, -(-(size[0] + 16 * size[1]) // most))
-    out = []
-    for i in range(passes):
+
+    def part(i: int) -> tuple[list, list]:
         rows = (items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else items).collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items([r[0] for r in rows], [r[1] for r in rows]))))
-    return out
+        return [r[0] for r in rows], [r[1] for r in rows]
+
+    counts = None
+    if passes > 1:  # weights are those of the whole benchmark, so passes don't change results
+        parts = [Items(*part(i)).counts for i in range(passes)]
+        every, where = np.unique(np.concatenate([c[0] for c in parts]), return_inverse=True)
+        counts = every, np.bincount(where, np.concatenate([c[1] for c in parts]), len(every)), sum(c[2] for c in parts)
+    return [benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items(*part(i), counts=counts))) for i in range(passes)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
