@@ -11,11 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 SLICE_BYTES = 1 << 20
+ARROW_BYTES = "8m"
 _ODD = 0x9E3779B97F4A7C15
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python by bytes: ten thousand long texts at once could fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def _table(seed: int, n: int = 256) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsline.llm.common import firsts_with, mix, rolling, slices, text_of, word_hashes, words
+from newsline.llm.common import bounded_batches, firsts_with, mix, rolling, slices, text_of, word_hashes, words
 from newsline.plans.storage import table
 
 GRAM = 5
@@ -185,6 +185,7 @@ def _search(packed, threshold: float):
 
 def _packs(benchmark: DataFrame, most: int) -> list:
     """The benchmark's items as broadcasts of ``most`` bytes of text or so each."""
+    bounded_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     passes = max(1, -(-(size[0] + 16 * size[1]) // most))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsline.llm.common import mix, powers, rolling
+from newsline.llm.common import bounded_batches, mix, powers, rolling
 from newsline.plans.storage import table
 
 ORDER = 4
@@ -208,6 +208,7 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models:
 
 def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> DataFrame:
     """``docs`` with a struct ``name`` of lang_pred, score and rejected, from the column text; nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
     kept = [c for c in docs.columns if c != name]
     text = kept.index("text")
