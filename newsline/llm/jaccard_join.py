@@ -11,7 +11,7 @@ Frequent is a table of at most ``MAX_FREQUENT`` tokens, counted over all documen
 orders tokens, results don't depend on it. Buckets of up to ``SMALL`` sets give pairs, which
 must share as many prefix tokens as their sizes demand; larger ones hang all their sets on the
 smallest. The candidates' connected groups are then verified whole: sets go in blocks of
-``BLOCK``, every two blocks of a group meet in one task, intersections are counted exactly by a
+``BLOCK_TOKENS``, every two blocks of a group meet in one task, intersections are counted exactly by a
 matrix product, and each task returns a spanning forest of its links, not its pairs.
 Documents with equal sets are one class from the start and stand for their smallest doc_id.
 
@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsline.llm.common import firsts_with, lists, mix, rolling, slices, text_of, word_hashes, words
+from newsline.llm.common import bounded_batches, firsts_with, lists, mix, rolling, slices, text_of, word_hashes, words
+from newsline.llm.membership import keep_wanted
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
 
@@ -36,8 +37,10 @@ FREQUENT_FROM = 32
 MAX_FREQUENT = 1 << 20
 SMALL = 32
 WIDE = 200
-BLOCK = 128
-COUNTED = np.uint64(1 << 62)  # prefixes are made of small hashes; only that quarter is counted
+BLOCK_TOKENS = 1_000_000  # a block of sets in one task; small sets count as SET_COST
+SET_COST = 1000
+COUNTED = np.uint64(1 << 62)  # prefixes of all but small sets are made of small hashes; only that quarter is counted
+COUNT_ALL_UNDER = 100
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -76,8 +79,8 @@ def _repeated_tokens(k: int):
 
         for batch in batches:
             for _, data, offsets in slices(batch.column("text")):
-                token = shingle_sets(data, offsets, k)[1]
-                held.append(token[token < COUNTED])
+                doc, token = shingle_sets(data, offsets, k)
+                held.append(token[(token < COUNTED) | (np.bincount(doc, minlength=1)[doc] < COUNT_ALL_UNDER)])
                 size += len(held[-1])
                 if size > 2_000_000:
                     yield flush()
@@ -157,7 +160,7 @@ def _sets(k: int):
             for row, data, offsets in slices(batch.column("text")):
                 m = len(offsets) - 1
                 doc, token = shingle_sets(data, offsets, k)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, m) for c in ("doc_id", "gid", "block", "blocks")), lists(token.view(np.int64), np.bincount(doc, minlength=m), pa.int64())], ["doc_id", "gid", "block", "blocks", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(row, m) for c in ("doc_id", "gid", "tiles")), lists(token.view(np.int64), np.bincount(doc, minlength=m), pa.int64())], ["doc_id", "gid", "tiles", "tokens"])
 
     return run
 
@@ -165,26 +168,27 @@ def _sets(k: int):
 def forest(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Edges that span the links between these sets, found by exact intersections."""
     n = np.array([len(x) for x in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
-    _, token, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times[token] > 1
-    number = np.cumsum(times > 1) - 1
-    token, owner = number[token[shared]], owner[shared]
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), n)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    again = np.append(False, flat[1:] == flat[:-1])
+    shared = again | np.append(again[1:], False)
+    token, owner = np.cumsum(~again[shared]) - 1, owner[shared]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
-    cuts = np.searchsorted(token, np.arange(0, int((times > 1).sum()) + width, width))
+    width = 2048
+    cuts = np.searchsorted(token, np.arange(0, (int(token[-1]) + 1 if len(token) else 0) + width, width))
     for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         has = np.zeros((len(sets), width), np.float32)
         has[owner[a:b], token[a:b] - c * width] = 1
         both += has @ has.T
-    both = np.rint(both).astype(np.int64)
-    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    linked = np.zeros(both.shape, bool)
+    for a in range(0, len(sets), 256):  # sizes add up in 64 bits, a few rows at a time
+        part = np.rint(both[a : a + 256]).astype(np.int64)
+        linked[a : a + 256] = 100 * part >= percent * (n[a : a + 256, None] + n[None, :] - part)
     np.fill_diagonal(linked, True)
-    label = np.arange(len(sets))
+    label = np.arange(len(sets), dtype=np.int32)
     while True:
-        low = np.where(linked, label[None, :], len(sets)).min(1)
+        low = np.array([label[row].min() for row in linked], np.int32)
         if (low == label).all():
             break
         label = low
@@ -230,8 +234,8 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) whose connected groups hold every linked pair of the classes in ``sets``."""
     keyed = sets.select("doc_id", "n", "f", F.explode(F.concat(F.transform("rare", lambda x: F.struct(x.alias("key"), F.lit(False).alias("free"))), F.transform("often", lambda x: F.struct(x.alias("key"), F.lit(True).alias("free"))))).alias("p"))
     keyed = keyed.select("doc_id", "n", "f", "p.key", "p.free")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("g"), F.min("doc_id").alias("low")).where("g > 1")
-    rows = materialize(keyed.join(buckets, "key"), "postings")
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("g"), F.min("doc_id").alias("low")).where("g > 1"), "buckets")
+    rows = materialize(keep_wanted(keyed, "key", buckets.select("key")).join(buckets, "key"), "postings")
     hung = rows.where((F.col("g") > SMALL) & (F.col("doc_id") != F.col("low"))).select(F.col("low").alias("u"), F.col("doc_id").alias("v"))
     met = rows.where(F.col("g") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc_id", "n", "f", "free")).alias("all"))
     fits = lambda a, b: (b.doc_id > a.doc_id) & (F.least(a.n, b.n) * 100 >= F.greatest(a.n, b.n) * percent)
@@ -247,23 +251,28 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     if not 67 <= percent < 100:
         raise ValueError("two shared prefix tokens are only sure from 67 hundredths on")
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     packed = spark.sparkContext.broadcast(frequent_tokens(docs, k).tobytes())
     marks = materialize(docs.mapInArrow(_signatures(k, percent, packed), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>"), "signatures")
-    classes = marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"))
-    reps = marks.where(f"n >= {smallest(percent)}").join(classes.select(F.col("rep").alias("doc_id")).hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = materialize(marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    # A class may keep a few more of its documents here; they link with each other and end in the same component.
+    reps = keep_wanted(marks.where(f"n >= {smallest(percent)}"), "doc_id", classes.select("rep"))
     groups = connected_components(_candidates(reps, percent), "u", "v")
     sized = groups.join(marks.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]), "node")
-    inside = Window.partitionBy("component")
+    inside, cost = Window.partitionBy("component"), F.greatest(F.col("n"), F.lit(SET_COST))
     members = materialize(
-        sized.select(
-            F.col("node").alias("doc_id"), F.col("component").alias("gid"), F.floor((F.row_number().over(inside.orderBy("n", "node")) - 1) / BLOCK).cast("int").alias("block"),
-            F.ceil(F.count("*").over(inside) / BLOCK).cast("int").alias("blocks"),
-        ), "members",
-    )
-    sets = docs.join(members.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(k), "doc_id long, gid long, block int, blocks int, tokens array<long>")
-    tiles = sets.select("doc_id", "gid", "block", "tokens", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "tokens").repartition(partitions(spark), "gid", "i", "j")
+        sized.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "n", F.floor((F.sum(cost).over(inside.orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)) - cost) / BLOCK_TOKENS).cast("int").alias("block")), "members"
+    )
+    # Blocks are in order of size, so a block meets only those whose sizes are near enough.
+    ranges = members.groupBy("gid", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    later = ranges.select("gid", F.col("block").alias("j"), F.col("lo").alias("lo2"))
+    met = ranges.join(later, "gid").where(f"block <= j and 100 * hi >= {percent} * lo2").select("gid", F.col("block").alias("i"), "j")
+    both = met.select("gid", F.col("i").alias("block"), "i", "j").union(met.where("i < j").select("gid", F.col("j").alias("block"), "i", "j"))
+    partners = both.groupBy("gid", "block").agg(F.collect_list(F.struct("i", "j")).alias("tiles"))
+    listed = materialize(members.drop("n").join(partners, ["gid", "block"]).select("doc_id", "gid", "tiles"), "partners")
+    sets = keep_wanted(docs, "doc_id", listed.select("doc_id")).join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(k), "doc_id long, gid long, tiles array<struct<i:int,j:int>>, tokens array<long>")
+    tiles = sets.select("gid", F.explode("tiles").alias("t"), "doc_id", "tokens").select("gid", "t.i", "t.j", "doc_id", "tokens").repartition(partitions(spark), "gid", "i", "j")
     links = tiles.sortWithinPartitions("gid", "i", "j").mapInArrow(_links(percent), "u long, v long")
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), "component")
     named = classes.join(found, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("own"))
