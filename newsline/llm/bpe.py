@@ -7,8 +7,8 @@ from the left. Places whose pair has changed meanwhile are stale and skipped.
 A merge costs a few word operations however long the pre-token is, so a pre-token of a
 million bytes takes about n log n steps where a rescan takes n squared.
 
-Each task keeps two bounded caches (words with the space before them, and pre-tokens); a
-full cache is emptied, so memory doesn't grow with the corpus and results don't depend on it.
+Each task keeps two bounded caches (words with the space before them, and pre-tokens) of two
+generations; a full one becomes the older, which the one before it leaves, so memory doesn't grow with the corpus and results don't depend on it.
 
 Nulls are encoded as empty texts; empty texts have no tokens. Rows with the same text, null
 ids and extra columns are fine: nothing is grouped. Decoding gives back the exact bytes.
@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
+from newsline.llm.common import bounded_batches
 from newsline.plans.storage import table
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 100_000
 CACHED_CHARS = 64
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 1_500_000
 
 
 class RankQueue:
@@ -79,6 +80,13 @@ class RankQueue:
         return rank, self.buckets.pop(rank)
 
 
+def _refresh(wanted: set[str], young: dict[str, bytes], old: dict[str, bytes]) -> set[str]:
+    """Move what the older cache has into the younger; the rest is returned."""
+    known = wanted & old.keys()
+    young.update((x, old[x]) for x in known)
+    return wanted - known
+
+
 class Codec:
     """Encoder and decoder of one vocabulary."""
 
@@ -95,13 +103,13 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.space = frozenset(regex.findall(r"\s", "".join(map(chr, range(0xD800)))))
         self.glued = regex.compile(r" (?:\s|$)").search
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.older_words = {}, {}
+        self.pieces, self.older_pieces = {}, {}
 
     def _pair(self, key: int) -> int:
         """The merge rank of a pair of ids, -1 if it has none."""
         rank = self.ranks.get(self.token[key // self.size] + self.token[key % self.size], -1)
-        if len(self.pairs) >= 4 * CACHE_ENTRIES:
+        if len(self.pairs) >= 2 * CACHE_ENTRIES:
             self.pairs.clear()
         self.pairs[key] = rank
         return rank
@@ -189,15 +197,22 @@ class Codec:
         cut = [self._parts(x) for x in texts]
         heads = [x.pop(0) for x in cut]
         if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
+            self.words, self.older_words = {}, self.words
         if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
+            self.pieces, self.older_pieces = {}, self.pieces
         words, pieces = self.words, self.pieces
-        new = set().union(*cut).difference(words)
+        new = _refresh(set().union(*cut).difference(words), words, self.older_words)
         chunks = {p: self.find(" " + p) for p in new}
         starts = {p: self.find(p) for p in set(heads)}
-        unknown = list(set().union(*chunks.values(), *starts.values()).difference(pieces))
-        pieces.update(zip(unknown, self.merge([x.encode("utf-8", "surrogatepass") for x in unknown])))
+        unknown = list(_refresh(set().union(*chunks.values(), *starts.values()).difference(pieces), pieces, self.older_pieces))
+        split = []
+        for x, data in [(x, x.encode("utf-8", "surrogatepass")) for x in unknown]:
+            whole = self.ranks.get(data)
+            if whole is None:
+                split.append((x, data))
+            else:
+                pieces[x] = whole.to_bytes(4, "little")
+        pieces.update(zip([x for x, _ in split], self.merge([data for _, data in split])))
         words.update((p, b"".join([pieces[x] for x in found])) for p, found in chunks.items())
         out = [b"".join([*[pieces[x] for x in starts[head]], *map(words.__getitem__, rest)]) for head, rest in zip(heads, cut)]
         for p in new:
@@ -248,6 +263,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ids array<int> and n_tokens long."""
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("ids", "n_tokens")]
     at = kept.index(text)
 
@@ -264,6 +280,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes what it encoded, and digests both."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
