@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType
 
-from newsline.llm.common import bounded_batches
+from newsline.llm.common import bounded_batches, released
 from newsline.plans.storage import table
 
 CACHE_ENTRIES = 100_000
@@ -275,7 +275,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([len(x) // 4 for x in found], pa.int64())], [*kept, "ids", "n_tokens"])
 
     schema = df.select(kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
-    return df.select(kept).mapInArrow(run, schema)
+    return df.select(kept).mapInArrow(released(run), schema)
 
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -292,7 +292,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
                 back.append(hashlib.sha256(own.decode(got)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def public_vocabulary() -> tuple[str, str]:

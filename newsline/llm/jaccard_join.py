@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsline.llm.common import bounded_batches, firsts_with, lists, mix, rolling, slices, text_of, word_hashes, words
+from newsline.llm.common import bounded_batches, firsts_with, lists, mix, released, rolling, slices, text_of, word_hashes, words
 from newsline.llm.membership import keep_wanted
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
@@ -92,7 +92,7 @@ def _repeated_tokens(k: int):
 
 def frequent_tokens(docs: DataFrame, k: int, least: int = FREQUENT_FROM, most: int = MAX_FREQUENT) -> np.ndarray:
     """The tokens counted ``least`` times or more, doubled until at most ``most`` remain; counts miss what is alone in its run of texts."""
-    counts = docs.select("text").mapInArrow(_repeated_tokens(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = docs.select("text").mapInArrow(released(_repeated_tokens(k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counts = materialize(counts, "frequent")
     levels = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).alias("l")).count().collect()}
     while sum(v for level, v in levels.items() if level >= int(np.log2(least))) > most:
@@ -254,7 +254,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     packed = spark.sparkContext.broadcast(frequent_tokens(docs, k).tobytes())
-    marks = materialize(docs.mapInArrow(_signatures(k, percent, packed), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>"), "signatures")
+    marks = materialize(docs.mapInArrow(released(_signatures(k, percent, packed)), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>"), "signatures")
     classes = materialize(marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A class may keep a few more of its documents here; they link with each other and end in the same component.
     reps = keep_wanted(marks.where(f"n >= {smallest(percent)}"), "doc_id", classes.select("rep"))
@@ -271,9 +271,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     both = met.select("gid", F.col("i").alias("block"), "i", "j").union(met.where("i < j").select("gid", F.col("j").alias("block"), "i", "j"))
     partners = both.groupBy("gid", "block").agg(F.collect_list(F.struct("i", "j")).alias("tiles"))
     listed = materialize(members.drop("n").join(partners, ["gid", "block"]).select("doc_id", "gid", "tiles"), "partners")
-    sets = keep_wanted(docs, "doc_id", listed.select("doc_id")).join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(_sets(k), "doc_id long, gid long, tiles array<struct<i:int,j:int>>, tokens array<long>")
+    sets = keep_wanted(docs, "doc_id", listed.select("doc_id")).join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(released(_sets(k)), "doc_id long, gid long, tiles array<struct<i:int,j:int>>, tokens array<long>")
     tiles = sets.select("gid", F.explode("tiles").alias("t"), "doc_id", "tokens").select("gid", "t.i", "t.j", "doc_id", "tokens").repartition(partitions(spark), "gid", "i", "j")
-    links = tiles.sortWithinPartitions("gid", "i", "j").mapInArrow(_links(percent), "u long, v long")
+    links = tiles.sortWithinPartitions("gid", "i", "j").mapInArrow(released(_links(percent)), "u long, v long")
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), "component")
     named = classes.join(found, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("own"))
     return marks.select("doc_id", "n", "c1", "c2").join(named, ["c1", "c2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("own", "doc_id").alias("component_id"))

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from newsline.llm.common import bounded_batches, mix, powers, rolling
+from newsline.llm.common import bounded_batches, mix, powers, released, rolling
 from newsline.plans.storage import table
 
 ORDER = 4
 PER_LANGUAGE = 800
 SLACK = 1.1
-SLICE_CHARS = 1_500_000
+SLICE_CHARS = 500_000
 UNDETERMINED = "und"
 
 
@@ -239,7 +239,7 @@ def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> Da
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns), found], [*kept, name])
                 at = to
 
-    return docs.select(kept).mapInArrow(run, docs.select(kept).schema.add(name, StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")))
+    return docs.select(kept).mapInArrow(released(run), docs.select(kept).schema.add(name, StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
