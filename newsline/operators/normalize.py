@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from newsline.functions.text import fold_key, lead, tokens, word_count
 from newsline.sources.pages import unescape
 
-COMMENTS = "\n\n--- Yorumlar ---\n"
+COMMENTS = "\n\n--- Yorumlar ---\n\n"  # fixed value
 SHORT_HTML = 100
-POST = "selftext string, comments array<string>"
+POST = "selftext string, comments array<struct<body:string>>"
 
 
 def strip_markup(html: Column) -> Column:
@@ -47,9 +47,10 @@ def clean_page_text(body: Column) -> Column:
 def post_text(json: Column) -> Column:
     """Self text, a separator, the non-blank comments; broken JSON is empty."""
     post = F.from_json(json, POST)
-    comments = F.filter(F.transform(F.coalesce(post.comments, F.array().cast("array<string>")), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
+    comments = F.filter(F.transform(F.coalesce(post.comments, F.array().cast("array<struct<body:string>>")), lambda c: F.trim(c.body)), lambda c: c.isNotNull() & (c != ""))
     text = F.trim(F.coalesce(post.selftext, F.lit("")))
-    return F.trim(F.when(F.size(comments) > 0, F.concat(text, F.lit(COMMENTS), F.array_join(comments, "\n"))).otherwise(text))
+    joined = F.concat(text, F.lit(COMMENTS), F.array_join(comments, "\n\n"))
+    return F.regexp_replace(F.when(F.size(comments) > 0, joined).otherwise(text), r"(?U)^\s+|\s+$", "")
 
 
 def normalize(raw: DataFrame, sources: DataFrame) -> DataFrame:

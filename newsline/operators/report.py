@@ -191,7 +191,10 @@ def voiced_scope(reports: DataFrame, key: str = "run_id") -> DataFrame:
 
 
 # How short forms are read.
-ABBREVIATIONS = (("TBMM", "Türkiye Büyük Millet Meclisi"), ("TCMB", "Merkez Bankası"), ("AYM", "Anayasa Mahkemesi"), ("AB", "Avrupa Birliği"), ("ABD", "Amerika Birleşik Devletleri"), ("BM", "Birleşmiş Milletler"))
+ABBREVIATIONS = (
+    ("TCMB", "Te Ce Me Be"), ("BDDK", "Be De De Ka"), ("SPK", "Se Pe Ka"), ("EPDK", "E Pe De Ka"), ("BIST", "Bist"), ("KAP", "Ka A Pe"), ("BES", "Be E Se"), ("RTÜK", "Re Te Ü Ka"), ("TÜİK", "Tüik"), ("TBMM", "Te Be Me Me"), ("AYM", "A Ye Me"),
+    ("YSK", "Ye Se Ka"), ("HSK", "Ha Se Ka"), ("MHP", "Me He Pe"), ("CHP", "Ce He Pe"), ("AKP", "A Ka Pe"), ("DEM", "Dem"), ("MİT", "Mit"), ("AB", "A Be"), ("BM", "Be Me"), ("NATO", "Nato"),
+)
 
 
 def speech_text(lines: DataFrame, key: str = "run_id") -> DataFrame:
@@ -210,7 +213,7 @@ def speech_text(lines: DataFrame, key: str = "run_id") -> DataFrame:
     gone = (F.col("nb") > 0) & (F.col("nb") == F.col("nd"))
     text = F.when(gone & (F.col("pos") == F.col("first")), F.lit(DORMANT_NOTE)).when(gone & F.col("line").startswith("### "), F.lit(None)).when(F.col("d"), F.lit(None)).otherwise(F.col("line"))
     spoken = rows.select(key, "pos", text.alias("line")).where("line is not null")
-    for pattern, to in ((r"^#+\s*(?:❯\s*)?", ""), (r"^- ", ""), (r"[*_`]", ""), (r"\s*·\s*arc_\d{8}_\d+", ""), (r"arc_\d+(?:_\d+)?", ""), (r"\s*·\s*", ", "), *((rf"\b{a}\b", b) for a, b in ABBREVIATIONS)):
+    for pattern, to in ((r"^#+\s*(?:❯\s*)?", ""), (r"^- ", ""), (r"[*_`]", ""), (r"\s*·\s*arc_\d{8}_\d+", ""), (r"arc_\d+(?:_\d+)?", ""), (r"\s*·\s*", ", "), *((rf"(?U)\b{a}\b", b) for a, b in ABBREVIATIONS)):
         spoken = spoken.withColumn("line", F.regexp_replace("line", pattern, to))
     joined = spoken.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n").alias("text"))
     return joined.select(key, F.trim(F.regexp_replace("text", r"\n{3,}", "\n\n")).alias("text"))

@@ -45,9 +45,9 @@ def clean_pages(spark: SparkSession):
 
 
 @register("post_texts", """
-SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE event_type || chr(10) || chr(10) || '--- Yorumlar ---' || chr(10) || 'c' || CAST(user_id AS STRING) END AS text FROM events""")
+SELECT event_id, CASE WHEN event_id % 4 = 3 THEN '' ELSE event_type || chr(10) || chr(10) || '--- Yorumlar ---' || chr(10) || chr(10) || 'c' || CAST(user_id AS STRING) END AS text FROM events""")
 def post_texts(spark: SparkSession):
-    json = F.when(F.col("event_id") % 4 == 3, F.lit("{broken")).otherwise(F.format_string('{"selftext": " %s ", "comments": ["", "c%d", " "]}', "event_type", "user_id"))
+    json = F.when(F.col("event_id") % 4 == 3, F.lit("{broken")).otherwise(F.format_string('{"selftext": " %s ", "comments": [{"body": ""}, {"body": "c%d"}, {"body": " "}]}', "event_type", "user_id"))
     return spark.table("events").select("event_id", op.post_text(json).alias("text"))
 
 

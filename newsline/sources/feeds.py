@@ -54,10 +54,13 @@ def normalize_posts(posts: DataFrame, base: str = "https://www.example.com") ->
     return posts.select("id", F.substring("title", 1, 500).alias("title"), F.substring(F.coalesce("selftext", F.lit("")), 1, 200).alias("body"), F.coalesce(texts, F.array().cast("array<string>")).alias("comments"), link.alias("permalink"), F.when(~F.coalesce("is_self", F.lit(False)), F.col("url")).alias("external_url"))
 
 
-# What marks a section (contained in the line), an item (the whole line) and a reference, in order.
-SECTIONS = ("YÜRÜTME VE İDARE BÖLÜMÜ", "YASAMA BÖLÜMÜ", "YARGI BÖLÜMÜ", "İLÂN BÖLÜMÜ")
-ITEM_TYPES = ("KANUN", "CUMHURBAŞKANLIĞI KARARNAMESİ", "CUMHURBAŞKANI KARARI", "CUMHURBAŞKANLIĞI KARARI", "YÖNETMELİK", "TEBLİĞ", "KURUL KARARI", "ATAMA KARARI", "GENELGE")
-REFERENCES = (r"Kanun No\.?\s*:?\s*\d+", r"Karar Sayısı\s*:?\s*\d+", r"Kararname Numarası\s*:?\s*\d+", r"Karar No\.?\s*:?\s*[\d/]+", r"Tebliğ No\.?\s*:?\s*[\d/]+", r"Esas Sayısı\s*:?\s*[\d/]+")
+# What marks a section (contained in the line), an item (the whole line), and the reference patterns in order.
+SECTIONS = ("YÜRÜTME VE İDARE BÖLÜMÜ", "YARGI BÖLÜMÜ", "İLAN BÖLÜMÜ")
+ITEM_TYPES = ("KANUN", "CUMHURBAŞKANLIĞI KARARNAMESİ", "YÖNETMELİK", "TEBLİĞ", "ATAMA KARARI", "MAHKEME KARARI")
+REFERENCES = (
+    r"Karar\s+No\s*[:：]\s*(\d{1,4}/\d{1,5})", r"Karar\s+Sayısı\s*[:：]\s*(\d{1,5}(?:/\d{1,5})?)", r"Kanun\s+No\s*[:：]\s*(\d{1,5}(?:/\d{1,5})?)",
+    r"Tebliğ\s+No\s*[:：]\s*(\d{1,5}(?:/\d{1,5})?)", r"Yönetmelik\s+No\s*[:：]\s*(\d{1,5}(?:/\d{1,5})?)", r"\bSayı\s*[:：]\s*(\d{1,5}(?:/\d{1,5})?)",
+)
 
 
 def segment_gazette(pages: DataFrame) -> DataFrame:
@@ -68,14 +71,14 @@ def segment_gazette(pages: DataFrame) -> DataFrame:
     line; reference: the first match of the earliest pattern that any line has, by line then pattern.
     """
     lines = pages.select("edition", "page", F.posexplode(F.split("text", "\n")).alias("row", "line")).withColumn("line", F.trim("line"))
-    section = F.coalesce(*(F.when(F.contains(F.upper("line"), F.lit(s)), F.lit(s)) for s in SECTIONS))
+    section = F.coalesce(*(F.when(F.contains(F.col("line"), F.lit(s)), F.lit(s)) for s in SECTIONS))
     kind = F.when(F.col("line").isin(*ITEM_TYPES), F.col("line"))
     order = Window.partitionBy("edition").orderBy("page", "row")
     marked = lines.withColumn("_s", section).withColumn("_k", kind)
     marked = marked.withColumn("section", F.last("_s", ignorenulls=True).over(order)).withColumn("_n", F.sum(F.when(F.col("_s").isNotNull() | F.col("_k").isNotNull(), 1).otherwise(0)).over(order))
     marked = marked.withColumn("kind", F.first("_k", ignorenulls=True).over(Window.partitionBy("edition", "_n")))
     body = marked.where("kind is not null")
-    found = F.coalesce(*(F.nullif(F.regexp_extract("line", f"(?i)({r})", 1), F.lit("")) for r in REFERENCES))
+    found = F.coalesce(*(F.nullif(F.regexp_extract("line", f"(?iu){r}", 1), F.lit("")) for r in REFERENCES))
     is_text = F.col("_k").isNull() & (F.col("line") != "")
     items = body.groupBy("edition", "_n").agg(
         F.min("section").alias("section"), F.min("kind").alias("kind"), F.min_by("line", F.when(is_text, F.struct("page", "row"))).alias("title"),
