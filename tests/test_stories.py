@@ -63,6 +63,22 @@ def test_linking_blocks_equal_one_pass(spark, seed):
     assert {r.cluster_id: r.arc_id for r in got.collect()} == want
 
 
+def test_common_entity_joins_no_blocks(spark):
+    """All stories and arcs share a language; only those that also share a rarer name may link."""
+    rng = np.random.default_rng(6)
+    pick = lambda i: ["en", *(f"s{i // 4}.{k}" for k in range(int(rng.integers(2, 5))))]
+    clusters = [(f"c{i:02d}", int(rng.integers(0, 6)), START + dt.timedelta(hours=i), pick(i), rng.normal(size=6).tolist()) for i in range(60)]
+    arcs = [(f"r{i:02d}", pick(4 * i), rng.normal(size=6).tolist(), 2) for i in range(20)]
+    order = sorted(clusters, key=lambda c: (c[1], c[2], c[0]))
+    want = dict(linking.link_in_order([(c[0], c[3], c[4]) for c in order], arcs, 0.1, 0.4))
+    df = spark.createDataFrame(clusters, "cluster_id string, severity int, created_at timestamp, entities array<string>, vector array<double>")
+    have = spark.createDataFrame(arcs, "id string, entities array<string>, vector array<double>, n int")
+    assert {r.cluster_id: r.arc_id for r in linking.link_arcs(df, have, 0.1, 0.4).collect()} == want
+    assert any(not x.startswith("new:") for x in want.values())
+    nodes = linking.linkable_parts(df, have, 0.4).where("node not like 'e:%'")
+    assert max(r["count"] for r in nodes.groupBy("component").count().collect()) <= 8
+
+
 def test_model_calls(spark):
     def model(texts):
         if any("bad" in x for x in texts):
