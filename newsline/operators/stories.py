@@ -2,22 +2,25 @@
 
 Greedy clustering is sequential, yet splits without changing its result: (1) a gap of more than
 the window between neighbours of one language closes every story; (2) an article that joins a
-story at cosine t has cosine t * t or more with some member, so stories never cross the
-components of the graph of such pairs. Each block (language, gap run, component) is clustered
-on its own; blocks of one article need no Python.
+story at cosine t has cosine t * t or more with some member, and such a pair shares a place in both
+articles' prefixes (their rarest places, cut where the rest is shorter than t * t), so stories
+never cross the components of articles and prefix places. Each block (language, gap run, component)
+is read in order of time and only its open stories are held, so no block is too large; blocks of
+one article need no Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsline.functions.text import word_count
-from newsline.operators.vectors import sparse_pairs
 from newsline.plans.components import connected_components
-from newsline.plans.storage import materialize
+from newsline.plans.storage import materialize, partitions
 
 SKIP_BELOW, SEED_FROM = 10, 30
 
@@ -53,71 +56,112 @@ def gap_runs(df: DataFrame, hours: int = 24) -> DataFrame:
     return joined.withColumn("run", F.concat("run", F.lit("/"), F.when(F.col("_part") > 0, F.concat("_day", F.lit("."), F.col("_part"))).otherwise(""))).drop("_day", "_part")
 
 
+class OpenStories:
+    """The stories that an article may still join; articles come in order of time."""
+
+    def __init__(self, threshold: float, hours: int, dims: int):
+        self.threshold, self.limit, self.dims = threshold, hours * 3_600_000_000, dims
+        self._resize(np.arange(0), 16)
+
+    def _resize(self, keep: np.ndarray, size: int) -> None:
+        old = self.__dict__.copy()
+        self.sums, self.means = np.zeros((size, self.dims)), np.zeros((size, self.dims))
+        self.counts, self.last, self.lengths = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
+        for name in ("sums", "means", "counts", "last", "lengths") if len(keep) else ():
+            getattr(self, name)[: len(keep)] = old[name][keep]
+        self.names = [old["names"][k] for k in keep]
+
+    def _put(self, at: int, time: int) -> None:
+        self.means[at] = self.sums[at] / self.counts[at]
+        self.lengths[at] = np.linalg.norm(self.means[at][None], axis=1)[0]
+        self.last[at] = max(self.last[at], time)
+
+    def place(self, time: int, vector: np.ndarray, norm: float, seed: bool, name):
+        """The name of the story that takes the article, ``name`` itself if it seeds one, None if it does neither."""
+        n = len(self.names)
+        if n == len(self.sums):  # closed stories go, and the tables double only if most are still open
+            keep = np.flatnonzero(time - self.last <= self.limit)
+            self._resize(keep, max(16, 2 * len(keep)))
+            n = len(self.names)
+        if n and norm > 0:
+            length = self.lengths[:n]
+            like = np.where(length > 0, self.means[:n] @ vector / np.where(length > 0, length, 1) / norm, 0.0)
+            like[time - self.last[:n] > self.limit] = -2.0
+            at = int(np.argmax(like))
+            if like[at] >= self.threshold:
+                self.sums[at] += vector
+                self.counts[at] += 1
+                self._put(at, time)
+                return self.names[at]
+        if not seed:
+            return None
+        self.sums[n], self.counts[n], self.last[n] = vector, 1, time
+        self.names.append(name)
+        self._put(n, time)
+        return name
+
+
 def greedy(times: np.ndarray, vectors: np.ndarray, seeds: np.ndarray, threshold: float, hours: int) -> np.ndarray:
     """Story number of each article in order of time, -1 for those that neither join nor seed.
 
     An article joins the story with the highest cosine at the threshold among those updated within ``hours``; the earliest on ties.
     """
     norms = np.linalg.norm(vectors, axis=1)
-    sums, counts, last = [], [], []
+    micros = times.astype("datetime64[us]").astype(np.int64)
+    found, begun = OpenStories(threshold, hours, vectors.shape[1]), 0
     out = np.full(len(times), -1)
-    limit = np.timedelta64(hours, "h")
     for i in range(len(times)):
-        best, at = -2.0, -1
-        if sums and norms[i] > 0:
-            mean = np.stack(sums) / np.array(counts)[:, None]
-            length = np.linalg.norm(mean, axis=1)
-            like = np.where(length > 0, mean @ vectors[i] / np.where(length > 0, length, 1) / norms[i], 0.0)
-            like[times[i] - np.array(last) > limit] = -2.0
-            at = int(np.argmax(like))
-            best = like[at]
-        if at >= 0 and best >= threshold:
-            sums[at] = sums[at] + vectors[i]
-            counts[at] += 1
-            last[at] = max(last[at], times[i])
-            out[i] = at
-        elif seeds[i]:
-            out[i] = len(sums)
-            sums.append(vectors[i].astype(float))
-            counts.append(1)
-            last.append(times[i])
+        story = found.place(int(micros[i]), vectors[i], norms[i], bool(seeds[i]), begun)
+        out[i] = -1 if story is None else story
+        begun += story == begun
     return out
 
 
-def cluster_stories(articles: DataFrame, sparse: DataFrame, threshold: float = 0.7, hours: int = 24, max_block_rows: int = 200_000) -> DataFrame:
+def prefix_places(sparse: DataFrame, threshold: float) -> DataFrame:
+    """(id, cell, idx): each article's rarest places in its cell, cut where those after are shorter than the threshold.
+
+    Unit vectors of one cell with a cosine at the threshold share one of these: linear in the input, where the pairs are not.
+    """
+    counts = sparse.groupBy("cell", "idx").agg(F.count("*").alias("n"))
+    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("id").orderBy("n", "idx").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return sparse.join(counts, ["cell", "idx"]).withColumn("_rest", rest).where((F.col("_rest") >= threshold * threshold - 1e-9) & (F.col("n") > 1)).select("id", "cell", "idx")
+
+
+def cluster_stories(articles: DataFrame, sparse: DataFrame, threshold: float = 0.7, hours: int = 24) -> DataFrame:
     """(id, story): story is the id of its seed; articles that neither join nor seed have null (D3).
 
     ``articles``: id, language, published_at, role; ``sparse``: (id, idx, weight) unit vectors, none for
-    a zero vector. A block beyond ``max_block_rows`` raises: nothing is approximated.
+    a zero vector. Nothing is approximated, and a block may have any size.
     """
     rows = materialize(gap_runs(articles.where("role != 'skip'").select("id", "language", "published_at", "role"), hours), "runs")
-    placed = sparse.join(rows.select("id", F.concat_ws("|", "language", F.col("run").cast("string")).alias("cell")), "id")
-    edges = sparse_pairs(materialize(placed, "placed"), "id", threshold * threshold - 1e-9, "cell")
-    parts = connected_components(edges, "a", "b")
-    blocked = rows.join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    placed = materialize(sparse.join(rows.select("id", F.concat_ws("|", "language", F.col("run").cast("string")).alias("cell")), "id"), "placed")
+    dims = (placed.agg(F.max("idx")).first()[0] or 0) + 1
+    edges = prefix_places(placed, threshold * threshold).select(F.concat(F.lit("a:"), "id").alias("a"), F.concat_ws("|", F.lit("p:"), "cell", "idx").alias("b"))
+    parts = connected_components(edges, "a", "b").where("node like 'a:%'").select(F.expr("substring(node, 3)").alias("id"), "component")
+    blocked = rows.join(parts, "id", "left")
     alone = blocked.where("component is null").select("id", F.when(F.col("role") == "seed", F.col("id")).alias("story"))
-    together = blocked.where("component is not null")
-    largest = together.groupBy("component").count().agg(F.max("count")).first()[0]
-    if largest is not None and largest > max_block_rows:
-        raise ValueError(f"a block has {largest} articles; max_block_rows is {max_block_rows}")
-    vectors = sparse.groupBy("id").agg(F.collect_list(F.struct("idx", "weight")).alias("entries"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["published_at", "id"]).reset_index(drop=True)
-        used = {e["idx"] for es in pdf.entries for e in es}
-        number = {x: i for i, x in enumerate(sorted(used))}
-        dense = np.zeros((len(pdf), max(len(number), 1)))
-        for r, es in enumerate(pdf.entries):
-            for e in es:
-                dense[r, number[e["idx"]]] = e["weight"]
-        label = greedy(pdf.published_at.to_numpy(), dense, (pdf.role == "seed").to_numpy(), threshold, hours)
-        first: dict[int, str] = {}
-        for i, x in zip(pdf.id, label):
-            first.setdefault(x, i)
-        return pd.DataFrame({"id": pdf.id, "story": [first[x] if x >= 0 else None for x in label]})
-
-    grouped = together.join(vectors, "id").groupBy("language", "run", "component").applyInPandas(run, "id string, story string")
-    return grouped.union(alone)
+    vectors = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e")).select("id", F.col("e.idx").alias("idx"), F.col("e.weight").alias("weight"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, None
+        for batch in batches:
+            ids, times, seeds = (batch.column(c).to_pylist() for c in ("id", "time", "seed"))
+            blocks = list(zip(*(batch.column(c).to_pylist() for c in ("language", "run", "component"))))
+            idx, weight = batch.column("idx"), batch.column("weight")
+            ends, places, weights = idx.offsets.to_numpy(), idx.values.to_numpy(), weight.values.to_numpy()
+            starts = weight.offsets.to_numpy()
+            story = []
+            for i, block in enumerate(blocks):
+                if block != at:
+                    at, found = block, OpenStories(threshold, hours, dims)
+                v = np.zeros(dims)
+                v[places[ends[i] : ends[i + 1]]] = weights[starts[i] : starts[i + 1]]
+                story.append(found.place(times[i], v, np.linalg.norm(v[None], axis=1)[0], seeds[i], ids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(story, pa.string())], ["id", "story"])
+
+    together = blocked.where("component is not null").join(vectors, "id").select("language", F.col("run").cast("string").alias("run"), "component", "id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("time"), (F.col("role") == "seed").alias("seed"), "idx", "weight")
+    ordered = together.repartition(partitions(rows.sparkSession), "language", "run", "component").sortWithinPartitions("language", "run", "component", "time", "id")
+    return ordered.mapInArrow(run, "id string, story string").union(alone)
 
 
 def mint_ids(df: DataFrame, prefix: str, day: str, order: list[str], taken: DataFrame | None = None) -> DataFrame:

@@ -42,6 +42,27 @@ def test_blocks_equal_one_pass(spark, seed):
     assert got == whole(rows, 0.7)
 
 
+def test_block_of_any_size_holds_open_stories(spark):
+    """A block that lasts many windows holds the open stories only; the result is that of one pass that keeps all."""
+    rng = np.random.default_rng(7)
+    v = np.abs(rng.normal(size=(600, 12)))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    found = stories.OpenStories(0.95, 24, 12)
+    got, most = [], 0
+    for i in range(600):
+        got.append(found.place(i * 3_600_000_000, v[i], 1.0, i % 3 > 0, i))
+        most = max(most, len(found.names))
+    sums, want = {}, []
+    for i in range(600):
+        near = [(float(s @ v[i] / np.linalg.norm(s)), -k) for k, (s, last) in sums.items() if i - last <= 24]
+        like, k = max(near, default=(-2.0, 0))
+        story = -k if like >= 0.95 else i if i % 3 else None
+        if story is not None:
+            sums[story] = (sums.get(story, (np.zeros(12), 0))[0] + v[i], i)
+        want.append(story)
+    assert got == want and len(set(got)) > 100 and most <= 64
+
+
 def test_minted_ids_continue(spark):
     df = spark.createDataFrame([(i, START + dt.timedelta(hours=i)) for i in range(30)], "k int, at timestamp")
     taken = spark.createDataFrame([("cl_20240101_9998",), ("cl_20240101_0009",)], "id string")
