@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsline.llm.common import lowest
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
 
@@ -130,19 +131,6 @@ def compare(x: np.ndarray, y: np.ndarray, ux: np.ndarray, uy: np.ndarray, thresh
     return i[keep], j[keep]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest row number that links reach from each row."""
-    label = np.arange(n)
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
 def _meet(threshold: float):
     """Rows of one tile pair, the left tile's first: (key, links, other): other spans the links of the tile pair."""
 
@@ -166,7 +154,7 @@ def _meet(threshold: float):
             rows = left if same else left + right
             n = np.array([r[2] for r in rows], np.float64)
             links = np.bincount(i, n[j], len(rows)) + np.bincount(j, n[i], len(rows))
-            low = _forest(len(rows), i, j)
+            low = lowest(len(rows), i, j)
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array([rows[r][1] for r in some], pa.binary()), pa.array(links[some].astype(np.int64)), pa.array([rows[low[r]][1] for r in some], pa.binary())], ["key", "links", "other"])
 

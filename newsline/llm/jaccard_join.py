@@ -7,10 +7,17 @@ for the frequent class, under every pair of frequent tokens of its prefix; sets
 ``WIDE`` tokens or more, which would have very many pairs, go under single frequent tokens too
 (sets small enough to match a narrower one go under both), so no partner is missed.
 
-Frequent is a table of at most ``MAX_FREQUENT`` tokens, counted over all documents; it only
-orders tokens, results don't depend on it. Buckets of up to ``SMALL`` sets give pairs, which
-must share as many prefix tokens as their sizes demand; larger ones hang all their sets on the
-smallest. The candidates' connected groups are then verified whole: sets go in blocks of
+Frequent is a table of at most ``MAX_FREQUENT`` tokens, with counts over all documents: what
+repeats in a run of texts counts exactly, the rest by a sample of one in ``SAMPLED``. It only
+orders tokens, results don't depend on it.
+
+A set's sketch is how many of its tokens fall into each of about n / 6 cells of the hash
+space. Two sets share at most the sum of their cells' smaller counts, so the sketch, a fiftieth
+of the set, rejects nearly all sets that only share a passage. Buckets of up to ``SMALL`` sets
+give pairs, which must share as many prefix tokens as their sizes demand; a larger one is cut
+into classes of sizes, of which only neighbours can link, and into tiles of ``TILE`` sets, and each two
+tiles return a spanning forest of the pairs that their sketches let through. The
+candidates' connected groups are then verified whole: sets go in blocks of
 ``BLOCK_TOKENS``, every two blocks of a group meet in one task, intersections are counted exactly by a
 matrix product, and each task returns a spanning forest of its links, not its pairs.
 Documents with equal sets are one class from the start and stand for their smallest doc_id.
@@ -21,6 +28,7 @@ get the component of their class; repeated rows are copies; empty tables give em
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +36,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsline.llm.common import bounded_batches, firsts_with, lists, mix, released, rolling, slices, text_of, word_hashes, words
+from newsline.llm.common import bounded_batches, firsts_with, lists, lowest, mix, released, rolling, slices, text_of, word_hashes, words
 from newsline.llm.membership import keep_wanted
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
 
-FREQUENT_FROM = 32
+FREQUENT_FROM = 160
+SAMPLED = 32
 MAX_FREQUENT = 1 << 20
 SMALL = 32
-WIDE = 200
+WIDE = 64
+TILE = 1024
 BLOCK_TOKENS = 1_000_000  # a block of sets in one task; small sets count as SET_COST
 SET_COST = 1000
-COUNTED = np.uint64(1 << 62)  # prefixes of all but small sets are made of small hashes; only that quarter is counted
-COUNT_ALL_UNDER = 100
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -66,8 +74,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return doc[new], token[new]
 
 
-def _repeated_tokens(k: int):
-    """(token, n) of the tokens that several documents of a run of slices have."""
+def _token_counts(k: int, sampled: int):
+    """(token, n) of the tokens that several documents of a run of slices have, and of a sample of the others, weighted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -75,14 +83,16 @@ def _repeated_tokens(k: int):
         def flush() -> pa.RecordBatch:
             token, n = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(token[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["token", "n"])
+            picked = mix(token ^ mix(token[:1] + np.uint64(len(token)))) % np.uint64(sampled) == 0  # another sample in every run
+            weight = np.where(n > 1, n, sampled)
+            keep = (n > 1) | picked
+            return pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(weight[keep].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
             for _, data, offsets in slices(batch.column("text")):
-                doc, token = shingle_sets(data, offsets, k)
-                held.append(token[(token < COUNTED) | (np.bincount(doc, minlength=1)[doc] < COUNT_ALL_UNDER)])
+                held.append(shingle_sets(data, offsets, k)[1])
                 size += len(held[-1])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     yield flush()
                     size = 0
         yield flush()
@@ -91,8 +101,8 @@ def _repeated_tokens(k: int):
 
 
 def frequent_tokens(docs: DataFrame, k: int, least: int = FREQUENT_FROM, most: int = MAX_FREQUENT) -> np.ndarray:
-    """The tokens counted ``least`` times or more, doubled until at most ``most`` remain; counts miss what is alone in its run of texts."""
-    counts = docs.select("text").mapInArrow(released(_repeated_tokens(k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """The tokens counted ``least`` times or more, doubled until at most ``most`` remain."""
+    counts = docs.select("text").mapInArrow(released(_token_counts(k, SAMPLED)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counts = materialize(counts, "frequent")
     levels = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n")).alias("l")).count().collect()}
     while sum(v for level, v in levels.items() if level >= int(np.log2(least))) > most:
@@ -109,6 +119,44 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.minimum(n, n - (percent * n + 99) // 100 + 2)
 
 
+def sketch_cells(n: np.ndarray) -> np.ndarray:
+    """The number of a sketch's cells as a power of two: 4 to 8 tokens a cell, 16 cells at least."""
+    return np.maximum(4, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2)
+
+
+def _sketches(doc: np.ndarray, token: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The sketch of each text as bytes; 255 stands for that many or more."""
+    power = sketch_cells(n)
+    cells = np.where(n > 0, 1 << power, 0)
+    at = np.append(0, np.cumsum(cells))
+    counts = np.bincount(at[doc] + (token >> (64 - power[doc]).astype(np.uint64)).astype(np.int64), minlength=at[-1])
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(np.minimum(counts, 255).astype(np.uint8).tobytes())])
+
+
+def unfolded(sketches: list[bytes], cells: int) -> np.ndarray:
+    """Sketches as rows of ``cells`` counts, neighbouring cells added up where there are more."""
+    out = np.zeros((len(sketches), cells), np.int32)
+    for i, x in enumerate(sketches):
+        own = np.frombuffer(x, np.uint8).astype(np.int32)
+        own[own == 255] = 1 << 24
+        out[i] = own.reshape(cells, -1).sum(1)
+    return out
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bounds of the intersections of all sketches in a with all in b: sums of the smaller counts, level by level."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    level = 1
+    while True:
+        some = np.flatnonzero((a >= level).any(0) & (b >= level).any(0))
+        if not len(some):
+            return out
+        # From level 64 on one step stands for all that may follow: a bound need not be tight there.
+        step = 1 if level < 64 else 1 << 24
+        out += step * ((a[:, some] >= level).astype(np.float32) @ (b[:, some] >= level).astype(np.float32).T)
+        level += step
+
+
 def _signatures(k: int, percent: int, packed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = np.frombuffer(packed.value, np.uint64)
@@ -124,7 +172,8 @@ def _signatures(k: int, percent: int, packed):
                 if len(has):
                     c1[has] = np.add.reduceat(mix(token), first)
                     c2[has] = np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), first)
-                common = np.isin(token, frequent) if len(frequent) else np.zeros(len(token), bool)
+                sketches = _sketches(doc, token, n)
+                common = frequent[np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)] == token if len(frequent) else np.zeros(len(token), bool)
                 order = np.lexsort((token, common, doc))
                 doc, token, common = doc[order], token[order], common[order]
                 place = np.arange(len(doc)) - np.repeat(first, n[has])
@@ -146,9 +195,9 @@ def _signatures(k: int, percent: int, packed):
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, m), pa.array(n.astype(np.int64)), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64)), pa.array(f.astype(np.int64)),
-                        lists(token[rare].view(np.int64), np.bincount(doc[rare], minlength=m), pa.int64()), lists(np.concatenate(keys).view(np.int64), np.bincount(owner, minlength=m), pa.int64()),
+                        lists(token[rare].view(np.int64), np.bincount(doc[rare], minlength=m), pa.int64()), lists(np.concatenate(keys).view(np.int64), np.bincount(owner, minlength=m), pa.int64()), sketches,
                     ],
-                    ["doc_id", "n", "c1", "c2", "f", "rare", "often"],
+                    ["doc_id", "n", "c1", "c2", "f", "rare", "often", "sketch"],
                 )
 
     return run
@@ -230,20 +279,104 @@ def _need(a: str, b: str, percent: int) -> Column:
     return F.least(prefix(a) - F.col(a) + alpha, prefix(b) - F.col(b) + alpha)
 
 
+def _enough(shared: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    shared = np.rint(shared).astype(np.int64)
+    return 100 * shared >= percent * (na + nb - shared)
+
+
+def _let_through(percent: int):
+    """The rows (u, v, nu, nv, su, sv) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nu, nv = (batch.column(c).to_numpy() for c in ("nu", "nv"))
+            shared = np.zeros(batch.num_rows)
+            for i, (a, b) in enumerate(zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist())):
+                x, y = (unfolded([s], min(len(a), len(b)))[0] for s in (a, b))
+                shared[i] = np.minimum(np.minimum(x, y).sum(), min(nu[i], nv[i]))
+            yield batch.select(["u", "v"]).filter(pa.array(_enough(shared, nu, nv, percent)))
+
+    return run
+
+
+def _tile_forests(percent: int):
+    """Rows sorted by tile pair, (key, s, across, i, j): edges that span the pairs that the sketches let through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            left = [r for r in held if not r[0]]
+            right = [r for r in held if r[0]] if key[2] else left
+            u = v = np.zeros(0, np.int64)
+            if left and right and (key[2] or len(left) > 1):
+                cells = min(len(r[3]) for r in (*left, *right))
+                a = unfolded([r[3] for r in left], cells)
+                b = unfolded([r[3] for r in right], cells) if key[2] else a
+                na, nb = np.array([r[2] for r in left]), np.array([r[2] for r in right])
+                shared = np.minimum(most_shared(a, b), np.minimum(na[:, None], nb[None, :]))
+                i, j = np.nonzero(_enough(shared, na[:, None], nb[None, :], percent))
+                both = left + right if key[2] else left
+                low = lowest(len(both), i, j + len(left) if key[2] else j)
+                far = np.flatnonzero(low != np.arange(len(both)))
+                ids = np.array([r[1] for r in both])
+                u, v = ids[far], ids[low[far]]
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("key", "s", "across", "i", "j")))
+            for own, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("right", "doc_id", "n", "sketch"))):
+                if own != key:
+                    if key is not None:
+                        yield close()
+                    key, held = own, []
+                held.append(row)
+        if key is not None:
+            yield close()
+
+    return run
+
+
+def _large_buckets(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Edges (u, v) of the buckets in (key, doc_id, n): classes of sizes meet themselves and the next one, tile by tile."""
+    # Sizes that may link are at most a factor of 100 / percent apart, so in the same or neighbouring classes.
+    size = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+    rows = rows.select("key", "doc_id", "n", size.alias("s"))
+    counts = rows.groupBy("key", "s").agg(F.count("*").alias("m"))
+    sized = counts.select("key", "s", "m", F.ceil(F.col("m") / TILE).cast("int").alias("r"))
+    beside = lambda d, name: sized.select("key", (F.col("s") + d).alias("s"), F.col("r").alias(name))
+    sized = sized.join(beside(-1, "after"), ["key", "s"], "left").join(beside(1, "before"), ["key", "s"], "left").where("m > 1 or after is not null or before is not null")
+    dealt = rows.join(sized, ["key", "s"]).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("r")).cast("int"))
+    tile = lambda s, across, i, j, right: F.struct(s.alias("s"), F.lit(across).alias("across"), i.alias("i"), j.alias("j"), F.lit(right).alias("right"))
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<s:int,across:boolean,i:int,j:int,right:boolean>>"))
+    tiles = F.concat(
+        each("r", lambda j: tile(F.col("s"), False, F.least("b", j), F.greatest("b", j), False)),
+        each("after", lambda j: tile(F.col("s"), True, F.col("b"), j, False)),
+        each("before", lambda i: tile(F.col("s") - 1, True, i, F.col("b"), True)),
+    )
+    met = dealt.select("key", "doc_id", F.explode(tiles).alias("t")).join(sketches.hint("shuffle_hash"), "doc_id").select("key", "t.*", "doc_id", "n", "sketch")
+    at = ["key", "s", "across", "i", "j"]
+    return met.repartition(partitions(rows.sparkSession), *at).sortWithinPartitions(*at).mapInArrow(released(_tile_forests(percent)), "u long, v long")
+
+
 def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) whose connected groups hold every linked pair of the classes in ``sets``."""
     keyed = sets.select("doc_id", "n", "f", F.explode(F.concat(F.transform("rare", lambda x: F.struct(x.alias("key"), F.lit(False).alias("free"))), F.transform("often", lambda x: F.struct(x.alias("key"), F.lit(True).alias("free"))))).alias("p"))
     keyed = keyed.select("doc_id", "n", "f", "p.key", "p.free")
-    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("g"), F.min("doc_id").alias("low")).where("g > 1"), "buckets")
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("g")).where("g > 1"), "buckets")
     rows = materialize(keep_wanted(keyed, "key", buckets.select("key")).join(buckets, "key"), "postings")
-    hung = rows.where((F.col("g") > SMALL) & (F.col("doc_id") != F.col("low"))).select(F.col("low").alias("u"), F.col("doc_id").alias("v"))
     met = rows.where(F.col("g") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("doc_id", "n", "f", "free")).alias("all"))
     fits = lambda a, b: (b.doc_id > a.doc_id) & (F.least(a.n, b.n) * 100 >= F.greatest(a.n, b.n) * percent)
     pairs = met.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: fits(F.col("a"), b))).alias("b"))
     pairs = pairs.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(
         F.count("*").alias("c"), F.max("a.free").alias("free"), F.min("a.n").alias("na"), F.min("b.n").alias("nb"), F.min(F.least("a.f", "b.f")).alias("f")
     )
-    return hung.union(pairs.where(F.col("free") | (F.col("c") + F.col("f") >= _need("na", "nb", percent))).select("u", "v"))
+    # What two sets share in large buckets isn't in c, but the tiles of these find such pairs too.
+    pairs = pairs.where(F.col("free") | (F.col("c") + F.col("f") >= _need("na", "nb", percent))).select("u", "v")
+    sketches = sets.select("doc_id", "n", "sketch")
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")).hint("shuffle_hash")
+    near = pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(released(_let_through(percent)), "u long, v long")
+    return near.union(_large_buckets(rows.where(F.col("g") > SMALL).select("key", "doc_id", "n"), sketches, percent))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -254,7 +387,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     packed = spark.sparkContext.broadcast(frequent_tokens(docs, k).tobytes())
-    marks = materialize(docs.mapInArrow(released(_signatures(k, percent, packed)), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>"), "signatures")
+    marks = materialize(docs.mapInArrow(released(_signatures(k, percent, packed)), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>, sketch binary"), "signatures")
     classes = materialize(marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A class may keep a few more of its documents here; they link with each other and end in the same component.
     reps = keep_wanted(marks.where(f"n >= {smallest(percent)}"), "doc_id", classes.select("rep"))

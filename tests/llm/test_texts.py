@@ -103,7 +103,7 @@ def linked(rows, k, percent):
 def test_op4(spark, monkeypatch, k, percent, tight):
     """Tight: nearly all tokens are frequent, buckets are large, blocks small."""
     if tight:
-        for name, value in (("FREQUENT_FROM", 2), ("SMALL", 2), ("WIDE", 60), ("BLOCK_TOKENS", 3000)):
+        for name, value in (("SMALL", 2), ("WIDE", 60), ("TILE", 3), ("BLOCK_TOKENS", 3000)):
             monkeypatch.setattr(jaccard_join, name, value)
         monkeypatch.setattr(jaccard_join.frequent_tokens, "__defaults__", (2, 1 << 20))
     rows = made(n=40 if tight else 60)
