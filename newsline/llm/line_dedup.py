@@ -1,17 +1,27 @@
 """Removal of repeated multi-line chunks, in Spark SQL functions only.
 
-Lines are hashed; a rolling hash over two line hashes ends a chunk where it divides by
-``MODULUS``. A boundary depends on two lines alone, so chunks line up again after an insertion,
-whatever stands before. Chunks of ``MIN_LINES`` lines or more that occur anywhere else are
-removed at every place but the first by (doc_id, place). Chunks meet by a 64-bit
-fingerprint and count as equal only if their bytes are: they're grouped by fingerprint and
-text (Spark pre-aggregates before it shuffles, so copies of one chunk collapse in their own
-tasks), and a fingerprint with two texts removes nothing.
-
-Rows move as digests but for two shuffles: the distinct chunks once, the texts once by doc_id.
+Lines are hashed; a rolling hash over two line hashes ends a chunk at about three lines in four. A
+boundary depends on two lines alone, so chunks line up again after an insertion, whatever
+stands before. What is compared are spans of ``MIN_LINES`` lines or more: each chunk, the chunk with the line
+before it, and with the line after it, so the ends of a repeated passage, which share a chunk with
+unrelated lines, are found from the chunk beside them, and a chunk of one line counts with a neighbour.
+Every line of a span that occurs earlier (by doc_id, then place) goes; spans are judged on
+the input, not on what is left.
+
+Spans meet by 64-bit fingerprints first. Of those that occur once only their places travel;
+the texts of the others are grouped byte by byte, pre-aggregated before the shuffle, and each
+text's first place is reported to its document. A document then drops its spans that are neither
+unique nor first, so no join has a span as its key and no passage, however common, meets in one task;
+two texts under one fingerprint are two groups.
+
+Of all lines that stand in runs of two or more lines seen earlier, 0.94 are removed in the
+10,000 documents at hand and 0.95 in the first 1,000 (``tests/llm`` holds the rule to 0.9): a run of
+two or three lines may have no chunk of its own in both places.
+
 A null text stays null with no lines; an empty text is one empty line; a text that loses all
-its chunks becomes empty. Rows that repeat a doc_id with equal text count as one document and
-stay; rows with a null doc_id are left as they are. Other columns are untouched.
+its lines becomes empty. Rows that repeat a doc_id with equal text count as one document and
+stay; where their texts differ, a span that is unique or first in one stays in the others too. Rows
+with a null doc_id are left as they are. Other columns are untouched.
 """
 
 from __future__ import annotations
@@ -21,7 +31,6 @@ from pyspark.sql import functions as F
 
 from newsline.plans.storage import table
 
-MODULUS = 3
 MIN_LINES = 2
 
 
@@ -30,57 +39,89 @@ def _one(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _chunked(docs: DataFrame, modulus: int) -> DataFrame:
-    """``docs`` with _chunks, an array of (no, n, chunk, fp); rows with null text are left out."""
+def _code(begin: Column, end: Column) -> Column:
+    """A span [begin, end) of lines as one long, so that sets of spans hash."""
+    return begin.cast("long") * (1 << 31) + end
+
+
+def _spans(docs: DataFrame, min_lines: int) -> DataFrame:
+    """``docs`` with _lines and _codes, the spans to compare; rows with null text are left out."""
     kept = docs.columns
     lines = docs.where("text is not null").select(*kept, _one(F.split("text", "\n")).alias("_lines"))
     hashed = lines.select("*", _one(F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))).alias("_h"))
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_h", 1, F.size("_h") - 1))
-    cut = F.zip_with("_h", before, lambda h, p: (h + p * 31) % modulus == 0)
-    ends = F.array_distinct(F.concat(F.filter(F.transform(cut, lambda c, i: F.when(c, i)), lambda i: i.isNotNull()), F.array(F.size("_lines") - 1)))
-    ended = hashed.select(*kept, "_lines", _one(ends).alias("_ends"))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("_ends", 1, F.size("_ends") - 1), lambda e: e + 1))
-    texts = F.zip_with(starts, "_ends", lambda s, e: F.struct((e - s + 1).alias("n"), F.array_join(F.slice("_lines", s + 1, e - s + 1), "\n").alias("chunk")))
-    chunks = F.transform(texts, lambda x, i: F.struct(i.alias("no"), x.n.alias("n"), x.chunk.alias("chunk"), F.xxhash64(x.chunk).alias("fp")))
-    return ended.select(*kept, _one(chunks).alias("_chunks"))
+    cut = F.zip_with("_h", before, lambda h, p: F.shiftright(h + p * 31, 5) % 4 > 0)
+    inner = F.filter(F.transform(cut, lambda c, i: F.when(c & (i < F.size("_h") - 1), i + 1)), lambda i: i.isNotNull())
+    ended = hashed.select(*kept, "_lines", _one(F.concat(inner, F.array(F.size("_lines")))).alias("_ends"))
+    starts = F.concat(F.array(F.lit(0)), F.slice("_ends", 1, F.size("_ends") - 1))
+    chunked = ended.select(*kept, "_lines", _one(F.arrays_zip(starts.alias("s"), F.col("_ends").alias("e"))).alias("_c"))
+    whole = F.transform(F.filter("_c", lambda c: c.e - c.s >= min_lines), lambda c: _code(c.s, c.e))
+    earlier = F.transform(F.filter("_c", lambda c: (c.s > 0) & (c.e - c.s + 1 >= min_lines)), lambda c: _code(c.s - 1, c.e))
+    later = F.transform(F.filter("_c", lambda c: (c.e < F.size("_lines")) & (c.e - c.s + 1 >= min_lines)), lambda c: _code(c.s, c.e + 1))
+    return chunked.select(*kept, "_lines", _one(F.array_distinct(F.concat(whole, earlier, later))).alias("_codes"))
+
+
+def _texts(codes: Column) -> Column:
+    """(code, chunk) of each span of _lines."""
+    begin, size = lambda c: F.shiftright(c, 31).cast("int"), lambda c: (c % (1 << 31)).cast("int") - F.shiftright(c, 31).cast("int")
+    return F.transform(codes, lambda c: F.struct(c.alias("code"), F.array_join(F.slice("_lines", begin(c) + 1, size(c)), "\n").alias("chunk")))
+
+
+def _none() -> Column:
+    return F.array().cast("array<long>")
+
+
+def unique_spans(docs: DataFrame, min_lines: int) -> DataFrame:
+    """(doc_id, _unique): the spans of each document whose fingerprint occurs once."""
+    rows = _spans(docs.select("doc_id", "text"), min_lines).select("doc_id", F.explode(_texts(F.col("_codes"))).alias("t")).select("doc_id", "t.code", F.xxhash64("t.chunk").alias("fp"))
+    once = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "code")).alias("at")).where("n = 1")
+    return once.groupBy("at.doc_id").agg(F.collect_list("at.code").alias("_unique"))
 
 
-def repeated_chunks(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_id, _gone): the (no, fp) of each document's chunks that occur earlier."""
-    rows = _chunked(docs.where("doc_id is not null").select("doc_id", "text"), modulus).select("doc_id", F.explode("_chunks").alias("c")).where(F.col("c.n") >= min_lines).select("doc_id", "c.no", "c.fp", "c.chunk")
-    same = rows.groupBy("fp", "chunk").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("times"))
-    known = same.groupBy("fp").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("times").alias("times")).where("texts = 1 and times > 1").select("fp", "first")
-    again = rows.select("doc_id", "no", "fp").join(known, "fp").where(F.struct("doc_id", "no") > F.col("first"))
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("no", "fp")).alias("_gone"))
+def first_spans(marked: DataFrame, min_lines: int) -> DataFrame:
+    """(doc_id, _first): of the spans not in _unique, those that no equal text precedes."""
+    found = _spans(marked.select("doc_id", "text", "_unique"), min_lines)
+    rows = found.select("doc_id", F.explode(_texts(F.array_except("_codes", F.coalesce("_unique", _none())))).alias("t"))
+    same = rows.groupBy(F.xxhash64("t.chunk").alias("fp"), "t.chunk").agg(F.min(F.struct("doc_id", "t.code")).alias("at"))
+    return same.groupBy("at.doc_id").agg(F.collect_list("at.code").alias("_first"))
 
 
-def dedup_lines(docs: DataFrame, modulus: int = MODULUS, min_lines: int = MIN_LINES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """``docs`` with text shortened and two columns named by ``counts``: lines, and lines removed."""
     n_lines, n_removed = counts
     kept = [c for c in docs.columns if c not in ("text", *counts)]
-    found = docs.select(*kept, "text").join(repeated_chunks(docs, modulus, min_lines).hint("shuffle_hash"), "doc_id", "left")
-    rebuilt = _chunked(found, modulus)
-    stays = F.filter("_chunks", lambda x: ~F.coalesce(F.array_contains("_gone", F.struct(x.no, x.fp)), F.lit(False)))
-    done = rebuilt.select(*kept, _one(stays).alias("_s"), F.aggregate("_chunks", F.lit(0).cast("long"), lambda a, x: a + x.n).alias(n_lines)).select(
-        *kept, F.array_join(F.transform("_s", lambda x: x.chunk), "\n").alias("text"), n_lines, (F.col(n_lines) - F.aggregate("_s", F.lit(0).cast("long"), lambda a, x: a + x.n)).alias(n_removed)
-    )
-    nulls = docs.where("text is null").select(*kept, F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_removed))
-    return done.unionByName(nulls)
+    named = docs.where("doc_id is not null and text is not null").select(*kept, "text")
+    marked = named.join(unique_spans(named, min_lines).hint("shuffle_hash"), "doc_id", "left")
+    placed = marked.join(first_spans(marked, min_lines).hint("shuffle_hash"), "doc_id", "left")
+    repeated = F.array_except("_codes", F.concat(F.coalesce("_unique", _none()), F.coalesce("_first", _none())))
+    gone = F.flatten(F.transform(repeated, lambda c: F.sequence(F.shiftright(c, 31).cast("int"), (c % (1 << 31)).cast("int") - 1)))
+    found = _spans(placed, min_lines).select(*kept, "_lines", F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), gone).alias("_stay"))
+    done = found.select(
+        *kept, F.array_join(F.transform("_stay", lambda i: F.get("_lines", i)), "\n").alias("text"),
+        F.size("_lines").cast("long").alias(n_lines), (F.size("_lines") - F.size("_stay")).cast("long").alias(n_removed),
+    )
+    size = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    rest = docs.where("doc_id is null or text is null").select(*kept, "text", size.alias(n_lines), F.lit(0).cast("long").alias(n_removed))
+    return done.unionByName(rest)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the multi-line chunks that stand earlier."""
+    """Every document without the multi-line spans that stand earlier."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_removed")
 
 
 ORACLE_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 h AS (SELECT doc_id, line, i, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-b AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS cut FROM h),
+b AS (SELECT *, ((h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) // 32) % 4 > 0 AS cut FROM h),
 c AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
-k AS (SELECT doc_id, no, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, no),
-r AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY n >= 2, chunk ORDER BY doc_id, no) > 1 AS gone FROM k)
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '') AS text,
-       CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN n ELSE 0 END) AS BIGINT) AS n_removed FROM r GROUP BY doc_id
+k AS (SELECT doc_id, min(i) AS s, max(i) AS e FROM c GROUP BY doc_id, no),
+n AS (SELECT doc_id, max(i) AS n FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, s, e FROM k WHERE e > s UNION SELECT doc_id, s - 1, e FROM k WHERE s > 1 UNION SELECT doc_id, s, e + 1 FROM k JOIN n USING (doc_id) WHERE e < n),
+t AS (SELECT p.doc_id, s, e, string_agg(line, chr(10) ORDER BY i) AS txt FROM p JOIN l ON l.doc_id = p.doc_id AND l.i BETWEEN s AND e GROUP BY p.doc_id, s, e),
+r AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY txt ORDER BY doc_id, s) > 1 AS gone FROM t),
+g AS (SELECT DISTINCT r.doc_id, l.i FROM r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN s AND e WHERE gone)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text, count(*) AS n_lines, count(g.i) AS n_removed
+FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id
 UNION ALL SELECT doc_id, text, 0, 0 FROM documents WHERE text IS NULL
 """

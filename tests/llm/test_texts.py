@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsline.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, substring_dedup
 
@@ -137,29 +138,30 @@ def test_encoded_column(spark):
     assert [(r.doc_id, r.n_tokens, len(r.ids)) for r in df.orderBy("doc_id").collect()] == [(1, 2, 2), (2, 0, 0)] or df.first().n_tokens == len(df.first().ids)
 
 
+def spans(lines):
+    """The spans [begin, end) that are compared: chunks, and chunks with a line more on either side."""
+    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    parts, begin = [], 0
+    for j in range(len(lines)):
+        if j == len(lines) - 1 or ((hashes[j] + 31 * (hashes[j - 1] if j else 0)) >> 5) % 4 > 0:
+            parts.append((begin, j + 1))
+            begin = j + 1
+    wider = parts + [(a - 1, b) for a, b in parts if a] + [(a, b + 1) for a, b in parts if b < len(lines)]
+    return sorted({(a, b) for a, b in wider if b - a >= line_dedup.MIN_LINES})
+
+
 def chunks(rows):
-    out, seen = {}, set()
+    out, first = {}, {}
     for i, t, *_ in sorted(rows, key=lambda r: r[0]):
         if t is None:
             out[i] = (None, 0, 0)
             continue
         lines = t.split("\n")
-        hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        parts, begin = [], 0
-        for j in range(len(lines)):
-            if j == len(lines) - 1 or (hashes[j] + 31 * (hashes[j - 1] if j else 0)) % line_dedup.MODULUS == 0:
-                parts.append(lines[begin : j + 1])
-                begin = j + 1
-        kept, gone = [], 0
-        for p in parts:
-            key = "\n".join(p)
-            if len(p) >= 2 and key in seen:
-                gone += len(p)
-                continue
-            if len(p) >= 2:
-                seen.add(key)
-            kept.append(key)
-        out[i] = ("\n".join(kept), len(lines), gone)
+        gone = set()
+        for a, b in spans(lines):
+            if first.setdefault("\n".join(lines[a:b]), (i, a)) != (i, a):
+                gone |= set(range(a, b))
+        out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
     return out
 
 
@@ -169,6 +171,40 @@ def test_op9(spark, folder):
     assert got == want and sum(x[2] for x in want.values()) > 0
 
 
+def test_op9_finds_repeated_passages():
+    """Of all lines in runs of two or more that stand earlier, nine in ten go, and no other line."""
+    rng = random.Random(11)
+    fresh = lambda k: ["".join(rng.choice("abcdefgh ") for _ in range(30)) for _ in range(k)]
+    passages = [fresh(rng.choice([2, 3, 4, 6, 9, 15])) for _ in range(40)]
+    rows = [(i, "\n".join(fresh(rng.randint(1, 8)) + rng.choice(passages) + fresh(rng.randint(1, 8)))) for i in range(400)]
+    seen, again = set(), 0
+    for _, t in rows:
+        lines, hit = t.split("\n"), set()
+        for k in range(len(lines) - 1):
+            hit |= {k, k + 1} if (lines[k], lines[k + 1]) in seen else set()
+            seen.add((lines[k], lines[k + 1]))
+        again += len(hit)
+    removed = sum(x[2] for x in chunks(rows).values())
+    assert 0.9 * again <= removed <= again
+
+
+def test_op9_null_and_repeated_ids(spark):
+    text = "one line\nanother line\nthird line\nfourth line"
+    rows = [(1, text, 5), (1, text, 6), (2, text, 7), (None, text, 8), (None, None, 9), (3, None, 1), (4, "", 2), (5, "x\nx\nx\nx", 3)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int"), counts=("lines", "removed")).collect()
+    assert sorted(((str(r.doc_id), r.n_lines, r.text, r.lines, r.removed) for r in got), key=str) == sorted(
+        [("1", 5, text, 4, 0), ("1", 6, text, 4, 0), ("2", 7, "", 4, 4), ("None", 8, text, 4, 0), ("None", 9, None, 0, 0), ("3", 1, None, 0, 0), ("4", 2, "", 1, 0), ("5", 3, chunks([(5, "x\nx\nx\nx")])[5][0], 4, chunks([(5, "x\nx\nx\nx")])[5][2])], key=str
+    )
+
+
+def test_op9_equal_fingerprints(spark, monkeypatch):
+    """Texts under one fingerprint are told apart by their bytes."""
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *a: F.lit(1).cast("long"))
+    rows = made(n=30)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == chunks(rows)
+
+
 def test_op7(spark, write):
     rng = random.Random(1)
     words = {"aa": ["shtal", "ombra", "vent", "kelo"], "bb": ["ýrui", "çoqe", "ñamp", "luti"]}
