@@ -6,8 +6,12 @@ record that doesn't pass undecoded: an uncompressed record is seeked over, a gzi
 that carries its length (the ``sl`` extra field, which the writer sets) too. A reader with
 ``payload = false`` never decodes payloads. Files are opened through pyarrow's file systems.
 
-Writing makes one file a task under a name of its own and lists the committed files in
-``_committed``; files of lost or failed attempts are not in the list and never read.
+Writing makes files of about ``FILE_BYTES`` (option ``fileBytes``) under names of their own, so no archive of its
+own becomes one huge task, and lists those of each write in a ``_committed-`` file of its own: a
+reader takes the union of the lists, and files of lost or failed attempts are in none.
+Overwriting names the lists it replaces, so readers see the old files or the new ones, then
+removes these. A folder without lists is read whole. A file of other origin is one task. A
+record that is cut off at the end of a file raises an error, it never ends the file in silence.
 
 Null target URIs have no header and are read as null; null payloads write an empty block;
 records with null types are ``resource``. Folders without files give no rows. Extra columns
@@ -36,6 +40,7 @@ from newsline.plans.storage import scratch, table
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
 PARTITION_BYTES = 64 << 20
+FILE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 REVISIT_FROM = 1000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,8 +70,9 @@ def _member(record: bytes) -> bytes:
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, overwrite: bool = False) -> None:
         self.path, self.gzip, self.date = options["path"], options.get("gzip", "true") == "true", options.get("date", "1970-01-01T00:00:00Z")
+        self.overwrite, self.file_bytes = overwrite, int(options.get("filebytes", FILE_BYTES))
 
     def _record(self, row: dict) -> bytes:
         kind, payload = row.get("record_type") or "resource", row.get("payload") or b""
@@ -90,24 +96,32 @@ class WarcWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
-        name, out = f"part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}", None
+        names, out = [], None
         for batch in iterator:
             for i in range(batch.num_rows):
                 if out is None:
-                    out = store.open_output_stream(f"{root}/{name}", compression=None)
+                    names.append(f"part-{uuid.uuid4().hex}.warc{'.gz' * self.gzip}")
+                    out = store.open_output_stream(f"{root}/{names[-1]}", compression=None)
                 record = self._record({c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)})
                 out.write(_member(record) if self.gzip else record)
-        if out is None:
-            return _Written([])
-        out.close()
-        return _Written([name])
+                if out.tell() >= self.file_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return _Written(names)
 
     def commit(self, messages: list) -> None:
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
+        old = _commits(store, root) if self.overwrite else {}
+        loose = [n for n in _archives(store, root) if not any(n in x["files"] for x in old.values())] if self.overwrite else []
         names = sorted(n for m in messages if m is not None for n in m.names)
-        with store.open_output_stream(f"{root}/_committed") as out:
-            out.write(json.dumps(names).encode())
+        with store.open_output_stream(f"{root}/_committed-{uuid.uuid4().hex}") as out:
+            out.write(json.dumps({"files": names, "replaces": sorted(old)}).encode())
+        for name in [*old, *(n for x in old.values() for n in x["files"]), *(n for n in loose if n not in names)]:
+            if store.get_file_info(f"{root}/{name}").is_file:
+                store.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list) -> None:
         store, root = _store(self.path)
@@ -115,6 +129,23 @@ class WarcWriter(DataSourceArrowWriter):
             store.delete_file(f"{root}/{name}")
 
 
+def _archives(store: pa.fs.FileSystem, root: str) -> dict[str, pa.fs.FileInfo]:
+    """The archive files of a folder by name."""
+    infos = store.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
+    return {i.base_name: i for i in infos if i.is_file and re.search(r"\.warc(\.gz)?$", i.base_name)}
+
+
+def _commits(store: pa.fs.FileSystem, root: str) -> dict[str, dict]:
+    """The lists of writes that no other list replaces."""
+    found = {}
+    for info in store.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
+        if info.is_file and info.base_name.startswith("_committed-"):
+            with store.open_input_stream(info.path) as f:
+                found[info.base_name] = json.loads(f.read())
+    gone = {n for x in found.values() for n in x["replaces"]}
+    return {n: x for n, x in found.items() if n not in gone}
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.path, self.payload = options["path"], options.get("payload", "true") == "true"
@@ -134,14 +165,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         store, root = _store(self.path)
-        infos = {i.base_name: i for i in store.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)) if i.is_file}
-        if "_committed" in infos:
-            with store.open_input_stream(f"{root}/_committed") as f:
-                infos = {n: infos[n] for n in json.loads(f.read())}
+        infos, commits = _archives(store, root), _commits(store, root)
+        if commits:
+            infos = {n: infos[n] for x in commits.values() for n in x["files"]}
         out, size = [], 0
         for name, info in sorted(infos.items(), key=lambda x: (x[1].size, x[0])):
-            if not re.search(r"\.warc(\.gz)?$", name):
-                continue
             if not out or size + info.size > PARTITION_BYTES:
                 out.append(_Files([]))
                 size = 0
@@ -192,8 +220,9 @@ def _parse(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]) if k}
 
 
-#: Of a record whose payload isn't wanted, so many bytes of the block are read: the HTTP headers.
-_HTTP_HEAD = 8192
+def _has_head(headers: dict[str, str], block: bytes) -> bool:
+    """Whether what was read of a block holds all that a row without payload needs: the HTTP headers, if it has any."""
+    return not headers.get("content-type", "").startswith("application/http") or b"\r\n\r\n" in block
 
 
 def _plain_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
@@ -201,18 +230,26 @@ def _plain_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
     while at < size:
         f.seek(at)
         head = b""
-        while b"\r\n\r\n" not in head:
+        while b"\r\n\r\n" not in head.lstrip(b"\r\n"):
             more = f.read(4096)
             if not more:
+                if head.strip():
+                    raise ValueError("a record's headers are cut off")
                 return
             head += more
-        head = head[: head.index(b"\r\n\r\n")]
-        headers = _parse(head.lstrip(b"\r\n"))
+        blank = len(head) - len(head.lstrip(b"\r\n"))
+        head = head[: head.index(b"\r\n\r\n", blank)]
+        headers = _parse(head[blank:])
         begin, length = at + len(head) + 4, int(headers["content-length"])
+        if begin + length > size:
+            raise ValueError("a record is cut off")
         if wanted(headers):
             f.seek(begin)
-            yield headers, f.read(length if payload else min(length, _HTTP_HEAD))
-        at = begin + length + 4
+            block = f.read(length) if payload else b""
+            while not payload and len(block) < length and not _has_head(headers, block):
+                block += f.read(min(8192, length - len(block)))
+            yield headers, block
+        at = begin + length
 
 
 def _gzip_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
@@ -230,17 +267,23 @@ def _gzip_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
             got += unpack.decompress(raw)
         head, _, block = got.partition(b"\r\n\r\n")
         headers = _parse(head)
+        if "content-length" not in headers or at + known > size:
+            raise ValueError("a record is cut off")
         length = int(headers["content-length"])
         keep = wanted(headers)
-        need = length if keep and payload else min(length, _HTTP_HEAD) if keep else 0
         parts, have = [block], len(block)
-        while not unpack.eof and raw and (have < need or not known):
+        while not unpack.eof and raw:
+            enough = have >= length or not payload and _has_head(headers, b"".join(parts))
+            if known and (not keep or enough):
+                break
             raw = f.read(65536)
             used += len(raw)
             more = unpack.decompress(raw)
-            if have < need:
+            if keep and not enough:
                 parts.append(more)
             have += len(more)
+        if not known and not unpack.eof:
+            raise ValueError("a record is cut off")
         if keep:
             yield headers, b"".join(parts)[:length]
         at += known or used - len(unpack.unused_data)
@@ -260,7 +303,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

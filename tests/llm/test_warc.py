@@ -1,6 +1,8 @@
 import gzip
 import hashlib
 
+import pytest
+
 from newsline.llm import warc
 from newsline.plans.storage import scratch
 
@@ -52,5 +54,50 @@ def test_foreign_members_and_lost_files(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record) + gzip.compress(record.replace(b"urn:a", b"urn:b")))
     got = spark.read.format("warc").load(str(tmp_path)).collect()
     assert [(r.record_id, bytes(r.payload)) for r in got] == [("urn:a", b"abc"), ("urn:b", b"abc")]
-    (tmp_path / "_committed").write_text("[]")
+    (tmp_path / "_committed-1").write_text('{"files": [], "replaces": []}')
     assert spark.read.format("warc").load(str(tmp_path)).count() == 0
+
+
+def test_appends_and_overwrites(spark):
+    """Every write's records are read; overwriting leaves only its own."""
+    warc.register(spark)
+    path = scratch(spark, "warc")
+    one = lambda i: warc.with_revisits(spark.createDataFrame([(i, "u", f"page {i}", 0)], SCHEMA))
+    read = lambda: sorted(r.record_id for r in spark.read.format("warc").load(path).collect())
+    one(1).write.format("warc").mode("append").save(path)
+    one(2).write.format("warc").mode("append").save(path)
+    assert read() == ["urn:page:1", "urn:page:2"]
+    one(3).write.format("warc").mode("overwrite").save(path)
+    assert read() == ["urn:page:3"]
+    one(4).write.format("warc").mode("append").save(path)
+    assert read() == ["urn:page:3", "urn:page:4"]
+
+
+def test_files_roll(spark, tmp_path):
+    warc.register(spark)
+    path = f"{tmp_path}/rolled"
+    rows = warc.with_revisits(spark.createDataFrame([(i, "u", f"page {i}" * 50, 0) for i in range(40)], SCHEMA)).coalesce(1)
+    rows.write.format("warc").mode("append").option("fileBytes", "500").save(path)
+    assert len(list((tmp_path / "rolled").glob("*.warc.gz"))) > 5 and spark.read.format("warc").load(path).count() == 40
+
+
+@pytest.mark.parametrize("form", ["true", "false"])
+def test_long_http_headers_and_cut_off_records(spark, tmp_path, form):
+    warc.register(spark)
+    http = b"HTTP/1.1 200 OK\r\nX-Long: " + b"x" * 50_000 + b"\r\n\r\n" + b"p" * 20_000
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:a>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    name, data = ("x.warc.gz", gzip.compress(record)) if form == "true" else ("x.warc", record)
+    (tmp_path / name).write_bytes(data + data)
+    for payload in ("true", "false"):
+        got = spark.read.format("warc").option("payload", payload).load(str(tmp_path)).collect()
+        assert [r.payload_bytes for r in got] == [20_000] * 2
+    (tmp_path / name).write_bytes(data + data[:-600])
+    with pytest.raises(Exception, match="cut off"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
+def test_null_ids_and_repeated_rows(spark, write):
+    """A row without page_id is a response of its own; repeated rows of one page are all responses or all revisits."""
+    rows = [(None, "u", BIG, 0), (9, "u", BIG, 0), (9, "u", BIG, 0), (2, "u", BIG, 0), (2, "u", BIG, 0), (None, None, None, 0)]
+    got = warc.op1_warc(spark, write("pages", rows, SCHEMA)).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("2", "revisit", 9)] * 2 + [("9", "response", None)] * 2 + [("None", "response", None)] * 2
