@@ -91,7 +91,7 @@ def test_long_http_headers_and_cut_off_records(spark, tmp_path, form):
     for payload in ("true", "false"):
         got = spark.read.format("warc").option("payload", payload).load(str(tmp_path)).collect()
         assert [r.payload_bytes for r in got] == [20_000] * 2
-    (tmp_path / name).write_bytes(data + data[:-600])
+    (tmp_path / name).write_bytes(data + data[:-20])
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("warc").load(str(tmp_path)).collect()
 
