@@ -3,19 +3,24 @@
 Texts are lower-cased and cut into words of letters, digits and anything beyond ASCII. A
 benchmark item is its ``GRAM``-word shingles (all its words, if fewer); a window of a
 document is as many words as the item has. Shingles are weighted: a benchmark shingle by
-the logarithm of how few items have it, any other as the rarest. For each place where a
-document meets an item's shingle, the item-sized windows around it are fingerprinted
-with a weighted 64-bit SimHash; a window shares at least one of ``BLOCKS`` blocks within
-``RADIUS // BLOCKS`` bits with every item within ``RADIUS`` (pigeonhole), so block tables
-list all of those. Candidates are then compared exactly: weighted Jaccard similarity of the
-window's and the item's shingle multisets, kept at ``THRESHOLD`` or more. A window with no
-shingle of an item has similarity 0, so starting at shared shingles loses nothing.
-
-The benchmark is the bounded side: it is collected and broadcast after a check of its size
-(``MAX_ITEM_BYTES``); a larger one is processed in several passes over blocks of items.
-
-Nulls: null and empty texts have no words and match nothing, as items or documents. Several
-rows with one doc_id each give rows; equal items all match. Empty tables give no rows.
+the logarithm of how few items have it, any other as the rarest. A window with no shingle of
+an item has similarity 0 with it, so only windows around a shared shingle that share enough
+weight are fingerprinted, with a weighted 64-bit SimHash, and meet the items they share shingles
+with. Fingerprints within ``RADIUS`` agree in one of ``BLOCKS`` blocks up to ``RADIUS // BLOCKS`` bits
+(pigeonhole); pairs that pass in some block and then in all bits are compared exactly:
+weighted Jaccard similarity of the window's and the item's shingle multisets, kept at
+``THRESHOLD`` or more. A document shorter than an item is one window.
+
+Recall: the radius is the only inexact step. Of windows at similarity 0.8 the fingerprints are
+about 10 bits apart, spread by 3, so a radius of 23 loses about one in 100,000; ``tests/llm`` compares
+with a search of all windows and finds no difference.
+
+The benchmark is the bounded side: it is collected and broadcast as an index of at most about
+``MAX_INDEX_BYTES`` (``INDEX_FACTOR`` bytes for a byte of text, checked first); a larger one is processed
+in several passes over parts of the items, with the same results.
+
+Nulls: null and empty texts have no words and match nothing, as items or documents; null ids
+stay null. Several rows with one doc_id each give rows; equal items all match. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +38,10 @@ from newsline.plans.storage import table
 
 GRAM = 5
 THRESHOLD = 0.8
-RADIUS = 16
+RADIUS = 23
 BLOCKS = 8
-MAX_ITEM_BYTES = 64 << 20
+MAX_INDEX_BYTES = 256 << 20
+INDEX_FACTOR = 20
 
 _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -80,25 +86,19 @@ class Items:
         item = np.repeat(np.arange(len(number)), [len(x) for x in number])
         order = np.argsort(flat, kind="stable")
         self.owners, self.first = item[order], np.searchsorted(flat[order], np.arange(len(self.known) + 1))
-        # tables[b][v]: the items whose block b differs from v in at most radius // BLOCKS bits.
-        self.tables = []
-        for b in range(BLOCKS):
-            own = ((self.prints >> np.uint64(8 * b)) & np.uint64(255)).astype(np.int64)
-            near = _NEAR[np.arange(256)[:, None] ^ own[None, :]] <= radius // BLOCKS
-            self.tables.append([np.flatnonzero(near[v]) for v in range(256)])
+        self.mass = np.array([self.weigh(x).sum() for x in self.shingles])
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
         return np.where(self.known[at] == hashes, self.weights[at], self.rare) if len(self.known) else np.full(len(hashes), self.rare)
 
-    def within(self, prints: np.ndarray) -> list[np.ndarray]:
-        """Items within the radius of each fingerprint, by the block tables."""
-        out = []
-        for p in prints.tolist():
-            some = np.unique(np.concatenate([self.tables[b][(p >> (8 * b)) & 255] for b in range(BLOCKS)]))
-            apart = np.array([int(x).bit_count() for x in (self.prints[some] ^ np.uint64(p)).tolist()], int)
-            out.append(some[apart <= self.radius])
-        return out
+    def near(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which pairs of a fingerprint and an item are within the radius: near in a block first, then in all bits."""
+        apart = prints ^ self.prints[items]
+        blocks = _NEAR[(apart[:, None] >> (np.uint64(8) * np.arange(BLOCKS, dtype=np.uint64))) & np.uint64(255)]
+        near = (blocks <= self.radius // BLOCKS).any(1)
+        near[near] = blocks[near].sum(1) <= self.radius
+        return near
 
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of shingle multisets."""
@@ -121,32 +121,35 @@ class Items:
             many = self.first[at[hits] + 1] - self.first[at[hits]]
             inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             owner, place = self.owners[np.repeat(self.first[at[hits]], many) + inside], np.repeat(hits, many)
-            begins: dict[int, list[np.ndarray]] = {}
-            for item in np.unique(owner).tolist():
-                size = self.sizes[item]
-                inner = size - k + 1
-                if min(self.gram, size) != k or inner > len(grams):
+            order = np.argsort(owner, kind="stable")
+            owner, place = owner[order], place[order]
+            found: dict[int, list[tuple[np.ndarray, int]]] = {}
+            for at in np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)].tolist():
+                item = int(owner[at])
+                if min(self.gram, self.sizes[item]) != k:
                     continue
-                own = place[owner == item]
+                inner = min(self.sizes[item] - k + 1, len(grams))
+                own = place[at : np.searchsorted(owner, item, "right")]
                 some = np.unique(np.clip(own[:, None] - np.arange(inner)[None, :], 0, len(grams) - inner))
                 weight = np.append(0, np.cumsum(self.weigh(grams[own])))
                 shared = weight[np.searchsorted(own, some + inner)] - weight[np.searchsorted(own, some)]
                 # What a window shares is at most this, and similarity t needs t times the item's weight.
-                begins.setdefault(size, []).append(some[shared >= threshold * self.weigh(self.shingles[item]).sum() - 1e-9])
-            for size, found in begins.items():
-                inner = size - k + 1
-                some = np.unique(np.concatenate(found))
-                for part in np.array_split(some, max(1, len(some) * inner // 20_000)):
-                    if not len(part):
-                        continue
+                found.setdefault(inner, []).append((some[shared >= threshold * self.mass[item] - 1e-9], item))
+            for inner, own in found.items():
+                begins = np.unique(np.concatenate([x for x, _ in own]))
+                if not len(begins):
+                    continue
+                prints = []
+                for part in np.array_split(begins, len(begins) * inner // 20_000 + 1):
                     flat = grams[(part[:, None] + np.arange(inner)[None, :]).ravel()]
-                    sums = (self.weigh(flat)[:, None] * _signs(flat)).reshape(len(part), inner, 64).sum(1)
-                    for begin, items in zip(part.tolist(), self.within(_packed(sums))):
-                        for item in items.tolist():
-                            if self.sizes[item] == size:
-                                like = self.similarity(grams[begin : begin + inner], item)
-                                if like >= threshold and like > best.get(item, (0.0,))[0]:
-                                    best[item] = (like, begin, begin + size)
+                    prints.append(_packed((self.weigh(flat)[:, None] * _signs(flat)).reshape(len(part), inner, 64).sum(1)))
+                prints = np.concatenate(prints)
+                for some, item in own:
+                    near = self.near(prints[np.searchsorted(begins, some)], np.full(len(some), item))
+                    for begin in some[near].tolist():
+                        like = self.similarity(grams[begin : begin + inner], item)
+                        if like >= threshold and like > best.get(item, (0.0,))[0]:
+                            best[item] = (like, begin, begin + inner + k - 1)
         return [(i, *best[i]) for i in sorted(best)]
 
 
@@ -184,11 +187,11 @@ def _search(packed, threshold: float):
 
 
 def _packs(benchmark: DataFrame, most: int) -> list:
-    """The benchmark's items as broadcasts of ``most`` bytes of text or so each."""
+    """The benchmark's items as broadcast indexes of about ``most`` bytes each."""
     bounded_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    passes = max(1, -(-(size[0] + 16 * size[1]) // most))
+    passes = max(1, -(-(INDEX_FACTOR * size[0] + 64 * size[1]) // most))
 
     def part(i: int) -> tuple[list, list]:
         rows = (items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else items).collect()
@@ -202,16 +205,16 @@ def _packs(benchmark: DataFrame, most: int) -> list:
     return [benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items(*part(i), counts=counts))) for i in range(passes)]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): every item that a document holds, with its best window."""
     out = None
-    for packed in _packs(benchmark, max_item_bytes):
+    for packed in _packs(benchmark, max_index_bytes):
         found = docs.select("doc_id", "text").mapInArrow(_search(packed, threshold), "doc_id long, item_id long, similarity double, first_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
 
 
-def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_item_bytes: int = MAX_ITEM_BYTES) -> DataFrame:
+def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged; nothing is shuffled."""
     at = docs.columns.index("text")
 
@@ -225,7 +228,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
         return keep
 
-    for packed in _packs(benchmark, max_item_bytes):
+    for packed in _packs(benchmark, max_index_bytes):
         docs = docs.mapInArrow(run(packed), docs.schema)
     return docs
 

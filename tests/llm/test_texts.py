@@ -241,17 +241,70 @@ def test_op10(spark, write):
     got = decontaminate.op10_decontaminate(spark, folder).collect()
     assert {(r.doc_id, r.item_id) for r in got} == want | {(901, 30)}
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
-    small = decontaminate.contaminated(docs, bench, max_item_bytes=500)
+    small = decontaminate.contaminated(docs, bench, max_index_bytes=10_000)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got))
     assert {r.doc_id for r in decontaminate.without_items(docs, bench).collect()} == {r[0] for r in rows} - {r.doc_id for r in got}
 
 
+def test_op10_against_all_windows(spark):
+    """Every window of every item's size, compared by weighted shingles in plain Python."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(9)
+    say = lambda k: [rng.choice(vocabulary) for _ in range(k)]
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    items = [say(rng.randint(3, 40)) for _ in range(12)]
+    items[5] = items[4][:30] + say(3)
+    docs = []
+    for i in range(60):
+        words = say(rng.randint(0, 60))
+        own = list(items[i % 12])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        docs.append(words + own + say(rng.randint(0, 30)) if i % 3 else own[: max(1, len(own) - i % 4)])
+    docs[1] = None
+    grams = lambda words, k: [" ".join(words[j : j + k]) for j in range(len(words) - k + 1)]
+    have = Counter(g for w in items for g in set(grams(w, min(5, len(w)))))
+    weigh = lambda g: 1 + math.log(len(items) / max(have[g], 1)) if g in have else 1 + math.log(len(items))
+    want = {}
+    for i, words in enumerate(docs):
+        for j, item in enumerate(items):
+            k = min(5, len(item))
+            b, size = Counter(grams(item, k)), min(len(item), len(words or []))
+            for at in range(len(words or []) - size + 1 if size >= k else 0):
+                a = Counter(grams(words[at : at + size], k))
+                shared = sum(weigh(g) * n for g, n in (a & b).items())
+                union = sum(weigh(g) * n for g, n in (a | b).items())
+                if union and shared / union >= 0.8 - 1e-12 and shared / union > want.get((i, j), (0,))[0] + 1e-12:
+                    want[i, j] = (shared / union, at, at + size)
+    got = decontaminate.contaminated(
+        spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"),
+        spark.createDataFrame([(j, " ".join(w)) for j, w in enumerate(items)], "item_id long, text string"),
+    ).collect()
+    assert {(r.doc_id, r.item_id): (round(r.similarity, 9), r.first_word, r.end_word) for r in got} == {k: (round(v[0], 9), *v[1:]) for k, v in want.items()}
+    assert len(got) > 25
+
+
+def test_op10_null_and_repeated_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"so {item} it is"), (1, f"so {item} it is"), (1, "clean"), (None, item), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (None, item), (8, None)], "item_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert sorted(str((r.doc_id, r.item_id)) for r in got) == sorted(str(x) for d in (1, 1, None) for x in ((d, 7), (d, 7), (d, None)))
+    assert sorted(str(r.doc_id) for r in decontaminate.without_items(docs, bench).collect()) == ["1", "2"]
+
+
 def test_fingerprints_within_radius():
     rng = np.random.default_rng(0)
     items = decontaminate.Items(list(range(200)), [" ".join(rng.choice(list("abcdefghij"), 30)) for _ in range(200)])
-    probes = np.concatenate([items.prints ^ (np.uint64(1) << np.uint64(int(b))) for b in rng.integers(0, 64, 9)])
-    for p, found in zip(probes.tolist(), items.within(probes)):
-        assert set(found.tolist()) == {i for i, q in enumerate(items.prints.tolist()) if (p ^ q).bit_count() <= items.radius}
+    which = rng.integers(0, 200, 4000)
+    probes = items.prints[which]
+    for _ in range(34):  # 0 to 34 bits away
+        flip = rng.integers(0, 64, 4000).astype(np.uint64)
+        probes = np.where(rng.random(4000) < 0.6, probes ^ (np.uint64(1) << flip), probes)
+    apart = [(int(p) ^ int(items.prints[i])).bit_count() for p, i in zip(probes, which)]
+    assert items.near(probes, which).tolist() == [x <= items.radius for x in apart] and min(apart) < items.radius < max(apart)
 
 
 @pytest.mark.parametrize("name", ["op2", "op4", "op7", "op8", "op9", "op10"])
