@@ -8,18 +8,25 @@ bucketed and sorted by fingerprint. A new batch is merge-joined with itself and
 older runs, bucket by bucket and without a shuffle of the runs. Where a fingerprint
 returns, the windows at it are hashed whole (64 bits, other base, beside the 64 bits of
 the anchor) and compared; only windows equal in both are repeats, so a shared anchor alone
-removes nothing. When enough runs have gathered, they are compacted into one.
+removes nothing. Older texts are read again only for documents whose fingerprints return: a run with
+all window hashes would be larger than the texts.
 
-Nulls: a null text has no words; a row with null doc_id is processed as a document of its
-own that can't be an original for others. Repeated doc_ids: each row is a document; rows
-of one doc_id share its removals, so ids should be unique. Empty tables give empty results.
+A task compares the windows of its own texts first and hands on only the oldest of equal
+ones, so a passage that a third of all documents share is a row a task, not a row a document.
+
+Runs have tiers: ``FAN`` runs of one tier are compacted into one of the next, so a row is
+rewritten a logarithmic number of times. The list of runs is a small table written anew with
+every change; ``FingerprintIndex.open`` reads the last one, in any session.
+
+Nulls: a null text has no words. Rows that share a doc_id are separate documents, in order of
+their place in the table as written; rows with null doc_id come after all others and are separate documents
+too. So of equal rows the first keeps its text. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsline.llm.common import firsts_with, lists, rolling, slices, text_of, word_hashes, words
-from newsline.plans.storage import partitions, scratch, table
+from newsline.llm.common import bounded_batches, firsts_with, lists, released, rolling, slices, text_of, word_hashes, words
+from newsline.llm.membership import keep_wanted
+from newsline.plans.storage import materialize, partitions, remove, scratch, table
 
 WINDOW = 20
 GRAM = 6
+FAN = 2
+BATCHES = 3
+HELD = 1_000_000  # windows that a task compares at a time
+_LAST = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -71,24 +83,45 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
 def _fingerprints(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
             for row, data, offsets in slices(batch.column("text")):
                 anchor, _, _, grams, _, bounds = _anchored(data, offsets, window, gram)
-                doc = text_of(bounds)[anchor]
+                doc = pa.array(text_of(bounds)[anchor] + row)
                 if len(anchor):
-                    yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), ids.take(pa.array(doc + row))], ["fp", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[anchor].view(np.int64)), batch.column("ord").take(doc), batch.column("copy").take(doc)], ["fp", "ord", "copy"])
 
     return run
 
 
+_WINDOW_ROWS = "hash long, fp long, is_new boolean, ord long, copy long, start int, again boolean"
+
+
 def _windows(window: int, gram: int):
-    """Rows (fp, doc_id, batch, start, n, hashes) of the anchors that the document's list names."""
+    """Rows of ``_WINDOW_ROWS``: the windows at the fingerprints that the document's list names.
+
+    Of equal windows held together only the oldest is handed on to be compared; the other new ones are
+    marked as repeats, and the other old ones are dropped.
+    """
+    names = [x.split()[0] for x in _WINDOW_ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            whole, fp, is_new, ord_, copy, start = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((start, copy, ord_, is_new, fp, whole))
+            whole, fp, is_new, ord_, copy, start = (x[order] for x in (whole, fp, is_new, ord_, copy, start))
+            again = np.append(False, (whole[1:] == whole[:-1]) & (fp[1:] == fp[:-1]))
+            keep = is_new | ~again
+            # Repeats are done with; their own key deals them out evenly.
+            whole = np.where(again, ord_ * 31 + start, whole)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, fp, is_new, ord_, copy, start, again)], names)
+
         for batch in batches:
             batch = batch.filter(batch.column("fps").is_valid())
-            ids, seq = batch.column("doc_id"), batch.column("batch")
             fps = batch.column("fps")
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("is_new", "ord", "copy")]
             for row, data, offsets in slices(batch.column("text")):
                 anchor, first, count, grams, whole, bounds = _anchored(data, offsets, window, gram)
                 if not len(anchor):
@@ -100,102 +133,132 @@ def _windows(window: int, gram: int):
                 if not len(first):
                     continue
                 inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                hashes = lists(whole[np.repeat(first, count) + inside].view(np.int64), count, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp.view(np.int64)), ids.take(pa.array(doc + row)), seq.take(pa.array(doc + row)), pa.array((first - bounds[doc]).astype(np.int32)), hashes],
-                    ["fp", "doc_id", "batch", "start", "hashes"],
-                )
+                at, doc = np.repeat(first, count) + inside, np.repeat(doc, count)
+                held.append((whole[at].view(np.int64), np.repeat(fp, count).view(np.int64), *(x[row + doc] for x in own), (at - bounds[doc]).astype(np.int32)))
+                size += len(at)
+                if size >= HELD:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
 
     return run
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by fp and then age: the starts of windows whose hash came before under the same fp.
-
-    Keeps the window hashes of one fingerprint at a time, each once.
-    """
-    last, seen = None, np.zeros(0, np.int64)
+    """Of rows sorted by window and then age, the new ones that are marked or not the first of their window."""
+    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        fp = batch.column("fp").to_numpy()
-        col = batch.column("hashes")
-        counts = np.diff(col.offsets.to_numpy())
-        flat = col.flatten().to_numpy()
-        row = np.repeat(np.arange(len(fp)), counts)
-        group = np.cumsum(np.append(0, fp[1:] != fp[:-1]))
-        order = np.lexsort((flat, group[row]))
-        g, h = group[row][order], flat[order]
-        again = np.zeros(len(flat), bool)
-        again[order[1:]] = (g[1:] == g[:-1]) & (h[1:] == h[:-1])
-        if last is not None and fp[0] == last:
-            begun = group[row] == 0
-            again[begun] |= np.isin(flat[begun], seen)
-        else:
-            seen = np.zeros(0, np.int64)
-        tail = flat[group[row] == group[-1]]
-        seen = np.union1d(seen, tail) if group[-1] == 0 else np.unique(tail)
-        last = fp[-1]
-        new = batch.column("is_new").to_numpy(zero_copy_only=False)
-        again &= new[row]
-        if not again.any():
-            continue
-        inside = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = batch.column("start").to_numpy()[row] + inside
-        hit = np.unique(row[again])
-        per = np.bincount(row[again], minlength=len(fp))[hit]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(hit)), lists(start[again].astype(np.int32), per, pa.int32())], ["doc_id", "starts"])
+        whole, fp = batch.column("hash").to_numpy(), batch.column("fp").to_numpy()
+        again = batch.column("again").to_numpy(zero_copy_only=False)
+        same = np.append(last == (whole[0], fp[0], again[0]), (whole[1:] == whole[:-1]) & (fp[1:] == fp[:-1]) & (again[1:] == again[:-1]))
+        last = whole[-1], fp[-1], again[-1]
+        hit = again | same & batch.column("is_new").to_numpy(zero_copy_only=False)
+        yield batch.select(["ord", "copy", "start"]).filter(pa.array(hit))
 
 
 class FingerprintIndex:
-    """Runs of (fp, doc_id): ``add`` finds the repeats of a batch and makes it a run."""
-
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, max_runs: int = 4) -> None:
-        self.spark, self.window, self.gram, self.max_runs = spark, window, gram, max_runs
-        self.runs: list[DataFrame] = []
-        self.buckets = partitions(spark)
-        self.added = 0
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        name = f"fingerprints_{uuid.uuid4().hex[:12]}"
+    """Runs of (fp, ord, copy): ``add`` finds the repeats of a batch and makes it a run."""
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, path: str | None = None, fan: int = FAN) -> None:
+        self.spark, self.window, self.gram, self.fan = spark, window, gram, fan
+        self.path = path or scratch(spark, "fingerprints")
+        self.runs: list[tuple[str, int]] = []  # (table, tier), oldest first
+        self.version, self.made, self.buckets = 0, 0, partitions(spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, fan: int = FAN) -> FingerprintIndex:
+        """The index as its last change left it."""
+        rows = spark.read.schema("version long, made long, place int, name string, tier int, window int, gram int, buckets int").json(f"{path}/manifest-*").collect()
+        rows = sorted((r for r in rows if r.version == max(x.version for x in rows)), key=lambda r: r.place)
+        index = cls(spark, rows[0].window, rows[0].gram, path, fan)
+        index.version, index.made, index.buckets = rows[0].version, rows[0].made, rows[0].buckets
+        for r in rows:
+            if r.name is not None:
+                spark.sql(f"CREATE TABLE IF NOT EXISTS {r.name} (fp BIGINT, ord BIGINT, copy BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {r.buckets} BUCKETS LOCATION '{path}/{r.name}'")
+                index.runs.append((r.name, r.tier))
+        return index
+
+    def _save(self) -> None:
+        """Write the list of runs; a reader sees the old one or the new one."""
+        self.version += 1
+        fixed = (self.window, self.gram, self.buckets)
+        rows = [(self.version, self.made, i, name, tier, *fixed) for i, (name, tier) in enumerate(self.runs)] or [(self.version, self.made, 0, None, None, *fixed)]
+        found = self.spark.createDataFrame(rows, "version long, made long, place int, name string, tier int, window int, gram int, buckets int")
+        found.coalesce(1).write.json(f"{self.path}/manifest-{self.version:08d}")
+
+    def _write(self, rows: DataFrame) -> str:
+        self.made += 1
+        name = f"run_{self.path.rstrip('/').rsplit('/', 1)[-1].replace('-', '_')}_{self.made}"
         (
             rows.repartition(self.buckets, "fp").sortWithinPartitions("fp").write.format("parquet").bucketBy(self.buckets, "fp").sortBy("fp")
-            .option("path", scratch(self.spark, name)).option("compression", "zstd").saveAsTable(name)
+            .option("path", f"{self.path}/{name}").option("compression", "zstd").mode("overwrite").saveAsTable(name)
         )
-        return self.spark.table(name)
+        return name
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            rows = self.runs[0]
-            for run in self.runs[1:]:
-                rows = rows.union(run)
-            self.runs = [self._write(rows.distinct())]
+        """Merge runs of one tier, newest tiers first, as long as ``fan`` of them are there."""
+        while self.runs:
+            tier = self.runs[-1][1]
+            same = [r for r in self.runs if r[1] == tier]
+            if len(same) < self.fan:
+                return
+            rows = self.spark.table(same[0][0])
+            for name, _ in same[1:]:
+                rows = rows.union(self.spark.table(name))
+            self.runs = [r for r in self.runs if r[1] != tier] + [(self._write(rows), tier + 1)]
+            self._save()
+            for name, _ in same:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                remove(self.spark, f"{self.path}/{name}")
+
+    def drop(self) -> None:
+        """Remove the index and its files."""
+        for name, _ in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
+        remove(self.spark, self.path)
 
     def add(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """(doc_id, starts): the windows of ``docs`` that started earlier; ``history``: all documents added before.
+        """(ord, copy, start), written: the windows of ``docs`` that started earlier; ``history``: all documents added before.
 
-        ``docs`` must come after ``history`` in the order of doc_id.
+        Both have (ord, copy, text), a row's age being (ord, copy); all of ``docs`` counts as newer than ``history``.
         """
-        texts = docs.select("doc_id", "text", F.lit(self.added).alias("batch"))
-        run = self._write(texts.mapInArrow(_fingerprints(self.window, self.gram), "fp long, doc_id long"))
-        counts = run.groupBy("fp").agg(F.count("*").alias("n"))
-        found = run.join(counts.where("n > 1").select("fp"), "fp", "left_semi")
-        for old in self.runs:
-            found = found.union(run.join(old.select("fp"), "fp", "left_semi")).union(old.join(run.select("fp"), "fp", "left_semi"))
-        wanted = found.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+        bounded_batches(self.spark)
+        at = ["ord", "copy"]
+        name = self._write(docs.select(*at, "text").mapInArrow(released(_fingerprints(self.window, self.gram)), "fp long, ord long, copy long"))
+        run = self.spark.table(name)
+        found = run.join(run.groupBy("fp").count().where("count > 1").select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(True).alias("is_new"))
+        for old in (self.spark.table(r) for r, _ in self.runs):
+            found = found.union(run.join(old.select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(True)))
+            found = found.union(old.join(run.select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(False)))
+        wanted = materialize(found.groupBy("is_new", *at).agg(F.collect_set("fp").alias("fps")), "wanted")
+        texts = docs.select(*at, "text").join(wanted.where("is_new").hint("shuffle_hash"), at).select("is_new", *at, "text", "fps")
         if history is not None and self.runs:
-            texts = history.select("doc_id", "text", F.lit(-1).alias("batch")).union(texts)
-        rows = texts.join(wanted.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "batch", "text", "fps").mapInArrow(_windows(self.window, self.gram), "fp long, doc_id long, batch int, start int, hashes array<long>")
-        repeats = (
-            rows.select("fp", "doc_id", "start", "hashes", (F.col("batch") == self.added).alias("is_new")).repartition(self.buckets, "fp")
-            .sortWithinPartitions("fp", "is_new", "doc_id", "start").mapInArrow(_repeats, "doc_id long, starts array<int>")
-        )
-        self.runs.append(run)
-        self.added += 1
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return repeats.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+            older = wanted.where("not is_new")
+            kept = keep_wanted(history.select(*at, "text"), "ord", older.select("ord"))
+            texts = texts.union(kept.join(older.hint("shuffle_hash"), at).select("is_new", *at, "text", "fps"))
+        rows = texts.mapInArrow(released(_windows(self.window, self.gram)), _WINDOW_ROWS)
+        order = ["hash", "fp", "again", "is_new", *at, "start"]
+        dealt = rows.repartition(partitions(self.spark), "hash").sortWithinPartitions(*order)
+        repeats = materialize(dealt.mapInArrow(_repeats, "ord long, copy long, start int").groupBy(*at).agg(F.collect_list("start").alias("starts")), "repeats")
+        self.runs.append((name, 0))
+        self._save()
+        self.compact()
+        return repeats
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, ord, copy, text): ord and copy name a row and give its age; null doc_ids come last.
+
+    Rows are numbered, in a written table, only if doc_ids are null or repeated.
+    """
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("ord"), F.lit(0).cast("long").alias("copy"), "text")
+    if rows.groupBy("ord").agg(F.count("*").alias("n")).where(F.col("n") > 1).isEmpty():
+        return rows
+    return materialize(rows.withColumn("copy", F.monotonically_increasing_id()), "numbered")
 
 
 def _cut(window: int):
@@ -210,8 +273,7 @@ def _cut(window: int):
                     step = np.zeros(n + 1, np.int64)
                     np.add.at(step, at, 1)
                     np.add.at(step, at + window, -1)
-                    keep = np.cumsum(step)[:n] == 0
-                    found = [found[i] for i in np.flatnonzero(keep)]
+                    found = [found[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0)]
                 n_words.append(n)
                 n_removed.append(n - len(found))
                 kept.append(" ".join(found))
@@ -227,15 +289,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): every word under a listed window is gone, the others joined by one space."""
-    rows = docs.select("doc_id", "text").join(starts.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "starts")
-    return rows.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+def remove_repeats(rows: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of numbered rows: every word under a listed window is gone, the others joined by one space."""
+    found = rows.join(starts.hint("shuffle_hash"), ["ord", "copy"], "left").select("doc_id", "text", "starts")
+    return found.mapInArrow(released(_cut(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All of ``docs`` as the first batch of an empty index."""
-    return remove_repeats(docs, FingerprintIndex(docs.sparkSession, window).add(docs), window)
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+    """All of ``docs``, added to an empty index in batches in order of doc_id."""
+    rows = numbered(docs)
+    ends = sorted({min(int(x), _LAST - 1) for x in rows.approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01)})
+    index, found = FingerprintIndex(docs.sparkSession, window), None
+    for low, high in zip([None, *ends], [*ends, None]):
+        batch = rows if low is None else rows.where(F.col("ord") > low)
+        starts = index.add(batch if high is None else batch.where(F.col("ord") <= high), None if low is None else rows.where(F.col("ord") <= low))
+        found = starts if found is None else found.union(starts)
+    index.drop()
+    return remove_repeats(rows, found, window)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,17 +63,36 @@ def test_op2(spark, folder):
 
 
 def test_op2_in_batches(spark):
-    """Batches in order of doc_id, with compaction between them, remove what one batch removes."""
+    """Batches with compaction between them, reopened each time, remove what one batch removes."""
     rows = made()
-    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    df = substring_dedup.numbered(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
     cut = sorted(r[0] for r in rows)
-    index = substring_dedup.FingerprintIndex(spark, max_runs=1)
-    total = {}
-    for a, b in zip([0, *(cut[len(cut) * k // 3] for k in (1, 2))], [*(cut[len(cut) * k // 3] for k in (1, 2)), 10**9]):
+    ends = [0, *(cut[len(cut) * k // 4] for k in (1, 2, 3)), 10**9]
+    index = substring_dedup.FingerprintIndex(spark)
+    total, counts = {}, []
+    for a, b in zip(ends[:-1], ends[1:]):
         batch, past = df.where(f"doc_id >= {a} and doc_id < {b}"), df.where(f"doc_id < {a}")
         for r in substring_dedup.remove_repeats(batch, index.add(batch, past)).collect():
             total[r.doc_id] = (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())
-    assert len(index.runs) == 1 and total == windows(rows)
+        counts.append([tier for _, tier in index.runs])
+        for name, _ in index.runs:
+            spark.sql(f"DROP TABLE {name}")
+        index = substring_dedup.FingerprintIndex.open(spark, index.path)
+    assert counts == [[0], [1], [1, 0], [2]] and total == windows(rows)
+    index.drop()
+
+
+@pytest.mark.parametrize("held", [1, 1_000_000])
+def test_op2_null_and_repeated_ids(spark, monkeypatch, held):
+    """Rows are separate documents: of equal ones the first keeps its text, and null ids come last."""
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(25))
+    rows = [(1, text), (1, text), (1, other), (2, f"{other} {text}"), (None, text), (None, None), (None, f"x {other} y"), (None, " ".join(f"u{i}" for i in range(30))), (3, "")]
+    got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in got) == [
+        ("1", 25, 0), ("1", 40, 0), ("1", 40, 40), ("2", 65, 65), ("3", 0, 0), ("None", 0, 0), ("None", 27, 25), ("None", 30, 0), ("None", 40, 40),
+    ]
+    assert {r.kept for r in got if r.n_words == 27} == {"x y"}
 
 
 def shingles(text, k=4):
