@@ -8,8 +8,10 @@ different ones). A text's language is the one with the lowest cross-entropy a sy
 texts whose best cross-entropy is beyond what labelled texts ever show are rejected.
 
 The models are fitted on at most ``PER_LANGUAGE`` documents of each language, and the bound
-of rejection on half as many others, all the first by a hash of doc_id. Everything
-else covers all rows. A task scores each different word of a slice once.
+of rejection on half as many others, all the first by a hash of doc_id. Tasks count the n-grams
+and score the calibration texts, so the driver gets counts of n-grams and one number a
+language, never texts; the number of languages is taken to be small. Everything else covers
+all rows. A task scores each different word of a slice once.
 
 Nulls: a null text, one without letters, or any text when nothing could be learned is
 ``und`` with score 0 and rejected. Rows with null lang or doc_id are predicted, never
@@ -32,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsline.llm.common import bounded_batches, mix, powers, released, rolling
-from newsline.plans.storage import table
+from newsline.plans.storage import materialize, table
 
 ORDER = 4
 PER_LANGUAGE = 800
 SLACK = 1.1
+RANKED_APART = 64
 SLICE_CHARS = 500_000
 UNDETERMINED = "und"
 
@@ -161,26 +164,28 @@ class Models:
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of the sample with their counts."""
+    """(lang, gram, n): n-grams of the highest order, and shorter ones at a word's start; a word mark is a space."""
     for batch in batches:
-        seen: dict[str, Counter] = defaultdict(Counter)
+        words: dict[str, Counter] = defaultdict(Counter)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            symbols, starts, ends, _ = _word_runs([text or ""])
-            flat = symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").replace("\0", " ")
-            seen[lang].update(flat.split(" "))
-        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items() if w]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
+            symbols, _, _, _ = _word_runs([text or ""])
+            words[lang].update(symbols.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").replace("\0", " ").split())
+        rows = []
+        for lang, seen in words.items():
+            own: Counter = Counter()
+            for word, times in seen.items():
+                marked = f" {word} "
+                for i in range(1, len(marked)):
+                    own[marked[i - min(ORDER, i + 1) + 1 : i + 1]] += times
+            rows += [(lang, g, n) for g, n in own.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
 
 
 def _counts(rows: list) -> dict[str, dict[int, Counter]]:
     """Counts of the highest order; continuation counts below, but plain ones for grams at a word's start."""
     out: dict[str, dict[int, Counter]] = {}
-    for lang, word, times in rows:
-        own = out.setdefault(lang, {n: Counter() for n in range(1, ORDER + 1)})
-        marked = f" {word} "
-        for i in range(1, len(marked)):
-            n = min(ORDER, i + 1)
-            own[n][marked[i - n + 1 : i + 1]] += times
+    for lang, gram, times in rows:
+        out.setdefault(lang, {n: Counter() for n in range(1, ORDER + 1)})[len(gram)][gram] += times
     for own in out.values():
         for n in range(ORDER, 1, -1):
             own[n - 1].update(Counter(g[1:] for g in own[n]))
@@ -189,25 +194,25 @@ def _counts(rows: list) -> dict[str, dict[int, Counter]]:
 
 def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models:
     """Models of the languages in (doc_id, text, lang); rows with a null lang teach nothing."""
-    ranked = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("rank"))
-    chosen = ranked.where(F.col("rank") <= per_language + per_language // 2)
-    sample = labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "rank").cache()
-    words = sample.where("rank % 3 != 0").mapInArrow(_grams, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n"))
-    models = Models(_counts([tuple(r) for r in words.collect()]))
-    rest = sample.where("rank % 3 = 0 and text is not null").select("lang", "text").toPandas()
-    sample.unpersist()
-    if len(rest) and models.languages:
-        found, size = models.entropies(rest.text.tolist())
-        best = found.argmin(1)
-        for j, lang in enumerate(models.languages):
-            own = found[(rest.lang.to_numpy() == lang) & (best == j) & (size > 0), j]
-            if len(own):
-                models.bound[j] = SLACK * own.max()
+    bounded_batches(labelled.sparkSession)
+    most = per_language + per_language // 2
+    rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(RANKED_APART)).alias("part"))
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    # The first of each part, then the first of these: no task ranks all of a language.
+    some = rows.withColumn("rank", first("lang", "part")).where(F.col("rank") <= most)
+    chosen = some.withColumn("rank", first("lang")).where(F.col("rank") <= most).select("doc_id", "lang", "rank")
+    sample = materialize(labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "rank"), "sample")
+    grams = sample.where("rank % 3 != 0").select("lang", "text").mapInArrow(released(_grams), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n"))
+    models = Models(_counts([tuple(r) for r in grams.collect()]))
+    if models.languages:
+        told = predict_rows(sample.where("rank % 3 = 0"), models).where("lang = _language.lang_pred").groupBy("lang").agg(F.max("_language.cross_entropy").alias("most"))
+        for lang, most_seen in told.collect():
+            models.bound[models.languages.index(lang)] = SLACK * most_seen
     return models
 
 
 def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> DataFrame:
-    """``docs`` with a struct ``name`` of lang_pred, score and rejected, from the column text; nothing is shuffled."""
+    """``docs`` with a struct ``name`` of lang_pred, score, rejected and cross_entropy (nats a symbol, null if undetermined), from the column text; nothing is shuffled."""
     bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
     kept = [c for c in docs.columns if c != name]
@@ -233,17 +238,17 @@ def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> Da
                     score = np.where(known, 1 / odds.sum(1), 0.0)
                     rejected = ~known | (low > own.bound[best])
                 else:
-                    best, score, rejected = np.zeros(to - at, int), np.zeros(to - at), np.ones(to - at, bool)
+                    best, score, rejected, low = np.zeros(to - at, int), np.zeros(to - at), np.ones(to - at, bool), np.zeros(to - at)
                 pred = [names[b] if k else UNDETERMINED for b, k in zip(best, known)]
-                found = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["lang_pred", "score", "rejected"])
+                found = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected), pa.array(low, pa.float64(), mask=~known)], ["lang_pred", "score", "rejected", "cross_entropy"])
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, to - at) for c in batch.columns), found], [*kept, name])
                 at = to
 
-    return docs.select(kept).mapInArrow(released(run), docs.select(kept).schema.add(name, StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")))
+    return docs.select(kept).mapInArrow(released(run), docs.select(kept).schema.add(name, StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean").add("cross_entropy", "double")))
 
 
 def predict(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, lang_pred, score, rejected) of every row of (doc_id, text)."""
+    """(doc_id, lang_pred, score, rejected, cross_entropy) of every row of (doc_id, text)."""
     return predict_rows(docs.select("doc_id", "text"), models).select("doc_id", "_language.*")
 
 

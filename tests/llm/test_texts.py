@@ -238,6 +238,51 @@ def test_op7(spark, write):
     assert {r.lang_pred for r in language_id.op7_language_id(spark, write("documents", rows[300:302], SCHEMA)).collect()} == {"und"}
 
 
+def test_op7_scores(spark):
+    """Cross-entropies against interpolated Kneser-Ney written out by definition, with dictionaries and recursion."""
+    from collections import Counter
+    from math import log
+
+    rng = random.Random(4)
+    said = {"aa": [rng.choice(["shtal", "ombra", "vent", "kelo", "om"]) for _ in range(60)], "bb": [rng.choice(["ýrui", "ñamp", "luti", "om"]) for _ in range(50)]}
+    order = language_id.ORDER
+    rows = []
+    for lang, words in said.items():
+        rows += list(next(language_id._grams([language_id.pa.RecordBatch.from_pydict({"lang": [lang], "text": [" ".join(words)]})])).to_pylist())
+    models = language_id.Models(language_id._counts([(r["lang"], r["gram"], r["n"]) for r in rows]))
+    letters = {g for words in said.values() for w in words for g in f"{w} "}
+    tests = ["ombra om", "luti ñamp shtal", "zzz q", "kel"]
+    got, size = models.entropies(tests)
+    for j, lang in enumerate(models.languages):
+        marked = [f" {w} " for w in said[lang]]
+        full = Counter(m[i - n + 1 : i + 1] for m in marked for i in range(1, len(m)) for n in [min(order, i + 1)])
+        count = {order: Counter({g: n for g, n in full.items() if len(g) == order})}
+        for n in range(order - 1, 0, -1):
+            count[n] = Counter(g[1:] for g in count[n + 1]) + Counter({g: c for g, c in full.items() if len(g) == n})
+
+        def p(gram):
+            n = len(gram)
+            if not n:
+                return 1 / (len(letters) + 1)
+            own = [c for g, c in count[n].items() if g[:-1] == gram[:-1]]
+            if not own:
+                return p(gram[1:])
+            ones, twos = (sum(c == k for c in count[n].values()) for k in (1, 2))
+            d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+            return max(count[n][gram] - d, 0) / sum(own) + d * len(own) / sum(own) * p(gram[1:])
+
+        for t, text in enumerate(tests):
+            marked = [f" {w} " for w in text.split()]
+            probs = [p(m[max(0, i - order + 1) : i + 1]) for m in marked for i in range(1, len(m))]
+            assert size[t] == len(probs) and abs(got[t, j] + sum(map(log, probs)) / len(probs)) < 1e-5
+
+
+def test_op7_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 5 or None, f"words of the kind {i % 3}", "en" if i % 2 else None) for i in range(30)], "doc_id long, text string, lang string")
+    got = language_id.predict(docs, language_id.learn(docs)).collect()
+    assert len(got) == 30 and {r.lang_pred for r in got} == {"en"} and sum(r.doc_id is None for r in got) == 6
+
+
 def test_op10(spark, write):
     rng = random.Random(5)
     say = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(k))
