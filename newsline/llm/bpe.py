@@ -227,6 +227,10 @@ class Codec:
         """Ids of one text."""
         return self.encode_all([text])[0]
 
+    def shrink(self) -> None:
+        """Forget the older generations, so a worker that serves other operators next holds less."""
+        self.older_words, self.older_pieces = {}, {}
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of the ids."""
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -273,6 +277,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
             found = list(_encoded(own, batch.column(at)))
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) // 4 for x in found]]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([len(x) // 4 for x in found], pa.int64())], [*kept, "ids", "n_tokens"])
+        own.shrink()
 
     schema = df.select(kept).schema.add("ids", ArrayType(IntegerType())).add("n_tokens", "long")
     return df.select(kept).mapInArrow(released(run), schema)
@@ -291,6 +296,7 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids.append(hashlib.sha256(got).hexdigest())
                 back.append(hashlib.sha256(own.decode(got)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.shrink()
 
     return df.select("doc_id", "text").mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
