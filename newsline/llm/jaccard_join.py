@@ -390,7 +390,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     marks = materialize(docs.mapInArrow(released(_signatures(k, percent, packed)), "doc_id long, n long, c1 long, c2 long, f long, rare array<long>, often array<long>, sketch binary"), "signatures")
     classes = materialize(marks.where("n > 0").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     # A class may keep a few more of its documents here; they link with each other and end in the same component.
-    reps = keep_wanted(marks.where(f"n >= {smallest(percent)}"), "doc_id", classes.select("rep"))
+    # Written, so that no task runs two Python filters, and two pairs of workers, at once.
+    columns = ("doc_id", "n", "f", "rare", "often", "sketch")
+    reps = materialize(keep_wanted(marks.where(f"n >= {smallest(percent)}").select(*columns), "doc_id", classes.select("rep")), "reps")
     groups = connected_components(_candidates(reps, percent), "u", "v")
     sized = groups.join(marks.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]), "node")
     inside, cost = Window.partitionBy("component"), F.greatest(F.col("n"), F.lit(SET_COST))
