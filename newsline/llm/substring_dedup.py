@@ -261,7 +261,9 @@ def numbered(docs: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("copy", F.monotonically_increasing_id()), "numbered")
 
 
-def _cut(window: int):
+def _cut(window: int, digest: bool):
+    """(doc_id, n_words, n_removed, kept): kept words joined by one space, or their digest, so no second copy of the texts moves."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
@@ -276,26 +278,23 @@ def _cut(window: int):
                     found = [found[i] for i in np.flatnonzero(np.cumsum(step)[:n] == 0)]
                 n_words.append(n)
                 n_removed.append(n - len(found))
-                kept.append(" ".join(found))
+                joined = " ".join(found)
+                kept.append(hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest() if digest else joined)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept text as its digest, inside the same task: no second copy of the texts moves."""
-    for batch in batches:
-        sha = [hashlib.sha256((x.as_py() or "").encode("utf-8", "surrogatepass")).hexdigest() for x in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
+def remove_repeats(rows: DataFrame, starts: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of numbered rows: every word under a listed window is gone, the others joined by one space.
 
-def remove_repeats(rows: DataFrame, starts: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of numbered rows: every word under a listed window is gone, the others joined by one space."""
+    With ``digest``, kept is the SHA-256 of that text.
+    """
     found = rows.join(starts.hint("shuffle_hash"), ["ord", "copy"], "left").select("doc_id", "text", "starts")
-    return found.mapInArrow(released(_cut(window)), "doc_id long, n_words long, n_removed long, kept string")
+    return found.mapInArrow(released(_cut(window, digest)), "doc_id long, n_words long, n_removed long, kept string")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, digest: bool = False) -> DataFrame:
     """All of ``docs``, added to an empty index in batches in order of doc_id."""
     rows = numbered(docs)
     ends = sorted({min(int(x), _LAST - 1) for x in rows.approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01)})
@@ -305,9 +304,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, batches: int = BATCH
         starts = index.add(batch if high is None else batch.where(F.col("ord") <= high), None if low is None else rows.where(F.col("ord") <= low))
         found = starts if found is None else found.union(starts)
     index.drop()
-    return remove_repeats(rows, found, window)
+    return remove_repeats(rows, found, window, digest)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 20-word windows of all documents, cut at every place but the first."""
-    return dedup_substrings(table(spark, sf_dir, "documents")).mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return dedup_substrings(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
