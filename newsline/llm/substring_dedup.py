@@ -11,8 +11,10 @@ the anchor) and compared; only windows equal in both are repeats, so a shared an
 removes nothing. Older texts are read again only for documents whose fingerprints return: a run with
 all window hashes would be larger than the texts.
 
-A task compares the windows of its own texts first and hands on only the oldest of equal
-ones, so a passage that a third of all documents share is a row a task, not a row a document.
+Windows travel by fingerprint, but those at very common fingerprints (more than one in a hundred thousand rows
+of a run, ``HOT`` at least) by their own hashes: there a task compares the windows of its own texts
+first and hands on only the oldest of equal ones, so of a passage that a third of all documents share each
+window is a row a task, not a row a document.
 
 Runs have tiers: ``FAN`` runs of one tier are compacted into one of the next, so a row is
 rewritten a logarithmic number of times. The list of runs is a small table written anew with
@@ -42,7 +44,8 @@ WINDOW = 20
 GRAM = 6
 FAN = 2
 BATCHES = 3
-HELD = 1_000_000  # windows that a task compares at a time
+HOT = 1000
+HELD = 1_000_000  # windows at common fingerprints that a task compares at a time
 _LAST = (1 << 63) - 1
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -92,18 +95,19 @@ def _fingerprints(window: int, gram: int):
     return run
 
 
-_WINDOW_ROWS = "hash long, fp long, is_new boolean, ord long, copy long, start int, again boolean"
+_WINDOW_ROWS = "key long, fp long, is_new boolean, ord long, copy long, start int, again boolean, hashes array<long>"
 
 
-def _windows(window: int, gram: int):
-    """Rows of ``_WINDOW_ROWS``: the windows at the fingerprints that the document's list names.
+def _windows(window: int, gram: int, packed):
+    """Rows of ``_WINDOW_ROWS``: the windows, from start on, at the fingerprints that the document's list names.
 
-    Of equal windows held together only the oldest is handed on to be compared; the other new ones are
-    marked as repeats, and the other old ones are dropped.
+    At a common fingerprint a row is one window. Of equal ones held together only the oldest is handed on
+    to be compared; the other new ones are marked as repeats, and the other old ones are dropped.
     """
     names = [x.split()[0] for x in _WINDOW_ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.frombuffer(packed.value, np.uint64)
         held: list[tuple] = []
         size = 0
 
@@ -114,9 +118,10 @@ def _windows(window: int, gram: int):
             whole, fp, is_new, ord_, copy, start = (x[order] for x in (whole, fp, is_new, ord_, copy, start))
             again = np.append(False, (whole[1:] == whole[:-1]) & (fp[1:] == fp[:-1]))
             keep = is_new | ~again
-            # Repeats are done with; their own key deals them out evenly.
-            whole = np.where(again, ord_ * 31 + start, whole)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (whole, fp, is_new, ord_, copy, start, again)], names)
+            # Repeats are done with; a key of their own deals them out evenly.
+            key = np.where(again, ord_ * 31 + start, whole)
+            cols = [pa.array(x[keep]) for x in (key, fp, is_new, ord_, copy, start, again)]
+            return pa.RecordBatch.from_arrays([*cols, lists(whole[keep], np.ones(int(keep.sum()), np.int64), pa.int64())], names)
 
         for batch in batches:
             batch = batch.filter(batch.column("fps").is_valid())
@@ -129,13 +134,20 @@ def _windows(window: int, gram: int):
                 doc, fp = text_of(bounds)[anchor], grams[anchor]
                 wanted = np.unique(fps.slice(row, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 keep = np.isin(fp, wanted)
-                first, count, doc, fp = first[keep], count[keep], doc[keep], fp[keep]
-                if not len(first):
-                    continue
-                inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                at, doc = np.repeat(first, count) + inside, np.repeat(doc, count)
-                held.append((whole[at].view(np.int64), np.repeat(fp, count).view(np.int64), *(x[row + doc] for x in own), (at - bounds[doc]).astype(np.int32)))
-                size += len(at)
+                common = np.isin(fp, hot) & keep
+                for some in (keep & ~common, common):
+                    if not some.any():
+                        continue
+                    f, n, d, key = first[some], count[some], doc[some], fp[some].view(np.int64)
+                    at = np.repeat(f, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    hashes = whole[at].view(np.int64)
+                    if some is common:
+                        d = np.repeat(d, n)
+                        held.append((hashes, np.repeat(key, n), *(x[row + d] for x in own), (at - bounds[d]).astype(np.int32)))
+                        size += len(at)
+                    else:
+                        cols = [pa.array(x) for x in (key, key, *(x[row + d] for x in own), (f - bounds[d]).astype(np.int32), np.zeros(len(d), bool))]
+                        yield pa.RecordBatch.from_arrays([*cols, lists(hashes, n, pa.int64())], names)
                 if size >= HELD:
                     yield flush()
                     size = 0
@@ -146,17 +158,41 @@ def _windows(window: int, gram: int):
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by window and then age, the new ones that are marked or not the first of their window."""
-    last = None
+    """Of rows sorted by key and then age, the starts of new windows that are marked or came before under the same key.
+
+    Keeps the window hashes of one key at a time, each once.
+    """
+    last, seen = None, np.zeros(0, np.int64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole, fp = batch.column("hash").to_numpy(), batch.column("fp").to_numpy()
-        again = batch.column("again").to_numpy(zero_copy_only=False)
-        same = np.append(last == (whole[0], fp[0], again[0]), (whole[1:] == whole[:-1]) & (fp[1:] == fp[:-1]) & (again[1:] == again[:-1]))
-        last = whole[-1], fp[-1], again[-1]
-        hit = again | same & batch.column("is_new").to_numpy(zero_copy_only=False)
-        yield batch.select(["ord", "copy", "start"]).filter(pa.array(hit))
+        key, fp, marked = batch.column("key").to_numpy(), batch.column("fp").to_numpy(), batch.column("again").to_numpy(zero_copy_only=False)
+        col = batch.column("hashes")
+        counts = np.diff(col.offsets.to_numpy())
+        flat = col.flatten().to_numpy()
+        row = np.repeat(np.arange(len(fp)), counts)
+        group = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1]) | (marked[1:] != marked[:-1])))
+        order = np.lexsort((flat, group[row]))
+        g, h = group[row][order], flat[order]
+        again = np.zeros(len(flat), bool)
+        again[order[1:]] = (g[1:] == g[:-1]) & (h[1:] == h[:-1])
+        if last == (key[0], fp[0], marked[0]):
+            begun = group[row] == 0
+            again[begun] |= np.isin(flat[begun], seen)
+        else:
+            seen = np.zeros(0, np.int64)
+        tail = flat[group[row] == group[-1]]
+        seen = np.union1d(seen, tail) if group[-1] == 0 else np.unique(tail)
+        last = key[-1], fp[-1], marked[-1]
+        again = (again | marked[row]) & batch.column("is_new").to_numpy(zero_copy_only=False)[row]
+        if not again.any():
+            continue
+        inside = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = batch.column("start").to_numpy()[row] + inside
+        hit = np.unique(row[again])
+        per = np.bincount(row[again], minlength=len(fp))[hit]
+        at = pa.array(hit)
+        yield pa.RecordBatch.from_arrays([batch.column("ord").take(at), batch.column("copy").take(at), lists(start[again].astype(np.int32), per, pa.int32())], ["ord", "copy", "starts"])
 
 
 class FingerprintIndex:
@@ -222,28 +258,32 @@ class FingerprintIndex:
         remove(self.spark, self.path)
 
     def add(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
-        """(ord, copy, start), written: the windows of ``docs`` that started earlier; ``history``: all documents added before.
+        """(ord, copy, starts), written: the windows of ``docs`` that started earlier; ``history``: all documents added before.
 
         Both have (ord, copy, text), a row's age being (ord, copy); all of ``docs`` counts as newer than ``history``.
         """
         bounded_batches(self.spark)
         at = ["ord", "copy"]
         name = self._write(docs.select(*at, "text").mapInArrow(released(_fingerprints(self.window, self.gram)), "fp long, ord long, copy long"))
-        run = self.spark.table(name)
+        run, olds = self.spark.table(name), [self.spark.table(r) for r, _ in self.runs]
         found = run.join(run.groupBy("fp").count().where("count > 1").select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(True).alias("is_new"))
-        for old in (self.spark.table(r) for r, _ in self.runs):
+        for old in olds:
             found = found.union(run.join(old.select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(True)))
             found = found.union(old.join(run.select("fp"), "fp", "left_semi").select(*at, "fp", F.lit(False)))
         wanted = materialize(found.groupBy("is_new", *at).agg(F.collect_set("fp").alias("fps")), "wanted")
+        # A fingerprint is common if it has more than its share of a run's rows, so there are few of them at any size.
+        most = [(x, max(HOT, x.count() // 100_000)) for x in (run, *olds)]
+        hot = sorted({r[0] for x, m in most for r in x.groupBy("fp").count().where(F.col("count") > m).select("fp").collect()})
+        packed = self.spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64).tobytes())
         texts = docs.select(*at, "text").join(wanted.where("is_new").hint("shuffle_hash"), at).select("is_new", *at, "text", "fps")
-        if history is not None and self.runs:
+        if history is not None and olds:
             older = wanted.where("not is_new")
             kept = keep_wanted(history.select(*at, "text"), "ord", older.select("ord"))
             texts = texts.union(kept.join(older.hint("shuffle_hash"), at).select("is_new", *at, "text", "fps"))
-        rows = texts.mapInArrow(released(_windows(self.window, self.gram)), _WINDOW_ROWS)
-        order = ["hash", "fp", "again", "is_new", *at, "start"]
-        dealt = rows.repartition(partitions(self.spark), "hash").sortWithinPartitions(*order)
-        repeats = materialize(dealt.mapInArrow(_repeats, "ord long, copy long, start int").groupBy(*at).agg(F.collect_list("start").alias("starts")), "repeats")
+        rows = texts.mapInArrow(released(_windows(self.window, self.gram, packed)), _WINDOW_ROWS)
+        dealt = rows.repartition(partitions(self.spark), "key").sortWithinPartitions("key", "fp", "again", "is_new", *at, "start")
+        starts = dealt.mapInArrow(_repeats, "ord long, copy long, starts array<int>")
+        repeats = materialize(starts.groupBy(*at).agg(F.flatten(F.collect_list("starts")).alias("starts")), "repeats")
         self.runs.append((name, 0))
         self._save()
         self.compact()

@@ -57,7 +57,9 @@ def windows(rows, size=20):
     return out
 
 
-def test_op2(spark, folder):
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_op2(spark, folder, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.op2_substring_dedup(spark, folder).collect()}
     assert got == windows(made())
 
@@ -84,8 +86,9 @@ def test_op2_in_batches(spark):
 
 @pytest.mark.parametrize("held", [1, 1_000_000])
 def test_op2_null_and_repeated_ids(spark, monkeypatch, held):
-    """Rows are separate documents: of equal ones the first keeps its text, and null ids come last."""
+    """Rows are separate documents: of equal ones the first keeps its text, and null ids come last; fingerprints may be common."""
     monkeypatch.setattr(substring_dedup, "HELD", held)
+    monkeypatch.setattr(substring_dedup, "HOT", held)
     text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(25))
     rows = [(1, text), (1, text), (1, other), (2, f"{other} {text}"), (None, text), (None, None), (None, f"x {other} y"), (None, " ".join(f"u{i}" for i in range(30))), (3, "")]
     got = substring_dedup.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
