@@ -84,36 +84,43 @@ def tag_language(df: DataFrame, profiles: DataFrame, fallback: str = "tr") -> Da
     return df.join(best, "id", "left").select("id", F.when(short, "unknown").otherwise(F.coalesce("found", F.lit(fallback))).alias("language"))
 
 
+#: What names are made of; anything else is a boundary.
+WORD = r"[\p{L}\p{N}]"
+
+
 def entity_vocabulary(entries: DataFrame) -> DataFrame:
-    """(surface, canonical, type): a row a name or alias, by its folded form; of equal forms the smallest canonical."""
-    rows = entries.select("canonical", "type", F.explode(F.concat(F.array("canonical"), "aliases")).alias("form"))
-    return rows.select(fold_key(F.col("form")).alias("surface"), "canonical", "type").groupBy("surface").agg(F.min(F.struct("canonical", "type")).alias("e")).select("surface", "e.canonical", "e.type")
+    """(surface, canonical, type): a row a name or alias, by its folded form; of equal forms the smallest canonical; blank forms go."""
+    rows = entries.select("canonical", "type", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form"))
+    rows = rows.select(F.trim(fold_key(F.col("form"))).alias("surface"), "canonical", "type").where("surface != ''")
+    return rows.groupBy("surface").agg(F.min(F.struct("canonical", "type")).alias("e")).select("surface", "e.canonical", "e.type")
 
 
-def extract_entities(df: DataFrame, vocabulary: DataFrame, longest: int = 4) -> DataFrame:
+def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, start, end, text, type): names at word boundaries in folded text, half-open spans from 0.
 
-    Runs of up to ``longest`` words are joined with the vocabulary, so no document meets every
-    name. Of overlapping spans the earliest start stays, then the longest; later ones are dropped.
+    Names have any length and may begin or end with other characters than words have; one without any
+    letter or digit never matches. A text's distinct words are joined with the names' first words, so
+    only names that may occur meet a text, and only texts with such names move. Of overlapping
+    spans the earliest start stays, then the longest; later ones are dropped. ``id`` is unique.
     """
     # Folding keeps the number of characters, so places in the folded text are places in the text.
     folded = df.select("id", fold_key(F.col("body")).alias("t")).where("t is not null")
-    pieces = folded.select("id", F.posexplode(F.regexp_extract_all("t", F.lit(r"([^\p{L}\p{N}_]*[\p{L}\p{N}_]+)"), 1)).alias("i", "piece"))
-    order = Window.partitionBy("id").orderBy("i")
-    placed = pieces.select("id", F.regexp_replace("piece", r"^[^\p{L}\p{N}_]+", "").alias("surface"), F.sum(F.length("piece")).over(order).cast("int").alias("end"), *(F.lead("piece", j).over(order).alias(f"p{j}") for j in range(1, longest)))
-    start, surface, end = F.col("end") - F.length("surface"), F.col("surface"), F.col("end")
-    options = [F.struct(start.alias("start"), end.alias("end"), surface.alias("surface"))]
-    for j in range(1, longest):
-        surface, end = F.concat(surface, F.col(f"p{j}")), end + F.length(f"p{j}")  # null past the last word
-        options.append(F.struct(start.alias("start"), end.alias("end"), surface.alias("surface")))
-    runs = placed.select("id", F.explode(F.array(*options)).alias("r")).select("id", "r.*").where("surface is not null")
-    hits = runs.join(F.broadcast(vocabulary), "surface")
-    listed = hits.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "canonical", "type"))).alias("h"))
+    named = vocabulary.select("surface", "canonical", "type", F.regexp_extract("surface", WORD + "+", 0).alias("word")).where("word != ''")
+    words = folded.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD + "+"), F.lit(0)))).alias("word"))
+    listed = words.join(named, "word").groupBy("id").agg(F.collect_set(F.struct("surface", "canonical", "type")).alias("names"))
+    some = folded.join(listed, "id").select("id", "t", F.explode(F.filter("names", lambda n: F.contains(F.col("t"), n.surface))).alias("n"))
+    # The pieces between a name's occurrences give its places.
+    quoted = F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace("n.surface", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
+    lengths = some.select("id", "n", F.transform(F.split("t", quoted, -1), lambda x: F.length(x)).alias("gaps"), F.length("n.surface").alias("size"))
+    places = F.transform(F.sequence(F.lit(0), F.size("gaps") - 2), lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.col("size"))
+    hits = lengths.where(F.size("gaps") > 1).select("id", "n", "size", F.explode(places).alias("start"))
+    sorted_hits = F.sort_array(F.collect_list(F.struct("start", (-F.col("start") - F.col("size")).alias("back"), "n.canonical", "n.type")))
     kept = F.aggregate(
         "h", F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,back:int,canonical:string,type:string>>").alias("k")),
         lambda a, x: F.when(x.start >= a.upto, F.struct((-x.back).alias("upto"), F.concat(a.k, F.array(x)).alias("k"))).otherwise(a), lambda a: a.k,
     )
-    return listed.select("id", F.explode(kept).alias("k")).select("id", "k.start", (-F.col("k.back")).alias("end"), F.col("k.canonical").alias("text"), "k.type")
+    found = hits.groupBy("id").agg(sorted_hits.alias("h")).select("id", F.explode(kept).alias("k"))
+    return found.select("id", "k.start", (-F.col("k.back")).alias("end"), F.col("k.canonical").alias("text"), "k.type")
 
 
 def isolate_errors(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -42,7 +42,7 @@ SELECT concat('arc_', lpad(CAST(user_id AS STRING),4,'0')) AS id, min(ts) AS cre
 }
 
 #: Prefix of an oracle's SELECT.
-WITH = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in ADAPTERS.items()) + "\n"
+WITH = "WITH RECURSIVE " + ",\n".join(f"{name} AS ({sql})" for name, sql in ADAPTERS.items()) + "\n"
 
 
 def load(spark: SparkSession, sf_dir: str) -> SparkSession:

@@ -68,26 +68,36 @@ def folded_titles(spark: SparkSession):
     return spark.table("articles").select("id", t.fold_key(F.col("title")).alias("key"))
 
 
-VOCABULARY = "SELECT * FROM VALUES ('the', 'INSTITUTION', array('of the', 'The')), ('und', 'PARTY', array('die')), ('avec', 'PERSON', array('dans', 'est')), ('para', 'COMPANY', array('por')) AS v(canonical, type, aliases)"
-
-
-@register("entity_vocabulary", """
-SELECT * FROM (VALUES ('the', 'the', 'INSTITUTION'), ('of the', 'the', 'INSTITUTION'), ('und', 'und', 'PARTY'), ('die', 'und', 'PARTY'), ('avec', 'avec', 'PERSON'), ('dans', 'avec', 'PERSON'), ('est', 'avec', 'PERSON'), ('para', 'para', 'COMPANY'), ('por', 'para', 'COMPANY')) AS v(surface, canonical, type) WHERE EXISTS (SELECT 1 FROM documents)""")
+#: Names from the tables: of each source the words that begin its first document, five of them, and its second, with shorter aliases.
+ENTRIES = """
+SELECT array_join(slice(w, 1, 5), ' ') AS canonical, CASE WHEN no % 2 = 0 THEN 'PARTY' ELSE 'COMPANY' END AS type,
+array(array_join(slice(w, 1, 2), ' '), concat(element_at(w, 3), '.'), element_at(w, 4)) AS aliases
+FROM (SELECT no, split(regexp_replace(trim(text), '\\\\s+', ' '), ' ') AS w FROM (SELECT text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS no FROM documents WHERE text LIKE '% % % % % %')) WHERE no <= 2 AND size(w) > 5"""
+NAMES = r"""
+, en AS (SELECT no, string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' ') AS w FROM (SELECT text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS no FROM documents WHERE text LIKE '% % % % % %') WHERE no <= 2),
+ef AS (SELECT array_to_string(w[1:5], ' ') AS canonical, CASE WHEN no % 2 = 0 THEN 'PARTY' ELSE 'COMPANY' END AS type, unnest([array_to_string(w[1:5], ' '), array_to_string(w[1:2], ' '), w[3] || '.', w[4]]) AS form FROM en WHERE len(w) > 5),
+eg AS (SELECT trim(replace(replace(replace(replace(replace(replace(lower(translate(form, 'İI', 'iı')), 'ı', 'i'), 'ş', 's'), 'ğ', 'g'), 'ü', 'u'), 'ö', 'o'), 'ç', 'c')) AS surface, canonical, type FROM ef),
+vo AS (SELECT surface, min({'canonical': canonical, 'type': type}) AS e FROM eg WHERE surface <> '' GROUP BY surface)
+"""
+
+
+@register("entity_vocabulary", NAMES + "SELECT surface, e.canonical AS canonical, e.type AS type FROM vo")
 def entity_vocabulary(spark: SparkSession):
-    return op.entity_vocabulary(spark.sql(VOCABULARY)).where(F.lit(True))
+    return op.entity_vocabulary(spark.sql(ENTRIES))
 
 
-@register("extracted_entities", r"""
+@register("extracted_entities", NAMES + r"""
 , f AS (SELECT id, replace(replace(replace(replace(replace(replace(lower(translate(body, 'İI', 'iı')), 'ı', 'i'), 'ş', 's'), 'ğ', 'g'), 'ü', 'u'), 'ö', 'o'), 'ç', 'c') AS t FROM articles),
-p AS (SELECT id, unnest(regexp_extract_all(t, '([^\p{L}\p{N}_]*[\p{L}\p{N}_]+)', 1)) AS piece, generate_subscripts(regexp_extract_all(t, '([^\p{L}\p{N}_]*[\p{L}\p{N}_]+)', 1), 1) AS i FROM f),
-w AS (SELECT id, i, piece, regexp_replace(piece, '^[^\p{L}\p{N}_]+', '') AS word, sum(length(piece)) OVER (PARTITION BY id ORDER BY i) AS stop, lead(piece) OVER (PARTITION BY id ORDER BY i) AS nxt FROM p),
-two AS (SELECT *, word = 'of' AND nxt = ' the' AS pair, lag(word = 'of' AND piece IS NOT NULL) OVER (PARTITION BY id ORDER BY i) AS after_of FROM w)
-SELECT id, CAST(stop - length(word) AS INT) AS start, CAST(CASE WHEN pair THEN stop + 4 ELSE stop END AS INT) AS "end",
-CASE WHEN pair OR word = 'the' THEN 'the' WHEN word IN ('und', 'die') THEN 'und' WHEN word IN ('avec', 'dans', 'est') THEN 'avec' ELSE 'para' END AS text,
-CASE WHEN pair OR word = 'the' THEN 'INSTITUTION' WHEN word IN ('und', 'die') THEN 'PARTY' WHEN word IN ('avec', 'dans', 'est') THEN 'PERSON' ELSE 'COMPANY' END AS type
-FROM two WHERE pair OR (word IN ('the', 'und', 'die', 'avec', 'dans', 'est', 'para', 'por') AND NOT (coalesce(after_of, false) AND piece = ' the'))""")
+x AS (SELECT f.id, t, surface, e, string_split(t, surface) AS gaps FROM f JOIN vo ON contains(t, surface) WHERE regexp_matches(surface, '[\p{L}\p{N}]')),
+y AS (SELECT id, t, surface, e, unnest(generate_series(1, len(gaps) - 1)) AS i, gaps FROM x),
+z AS (SELECT id, t, surface, e, CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + (i - 1) * length(surface) AS INT) AS start FROM y),
+hits AS (SELECT id, e, start, start + length(surface) AS stop FROM z WHERE (start = 0 OR NOT regexp_matches(substr(t, start, 1), '[\p{L}\p{N}]')) AND NOT regexp_matches(substr(t, start + length(surface) + 1, 1), '[\p{L}\p{N}]')),
+ordered AS (SELECT id, start, arg_max(stop, stop) AS stop, arg_max(e, stop) AS e FROM hits GROUP BY id, start),
+kept AS (SELECT * FROM ordered QUALIFY row_number() OVER (PARTITION BY id ORDER BY start) = 1
+UNION ALL SELECT o.* FROM kept k JOIN ordered o ON o.id = k.id AND o.start >= k.stop QUALIFY row_number() OVER (PARTITION BY o.id ORDER BY o.start) = 1)
+SELECT id, start, CAST(stop AS INT) AS "end", e.canonical AS text, e.type AS type FROM kept""")
 def extracted_entities(spark: SparkSession):
-    return op.extract_entities(spark.table("articles").select("id", "body"), op.entity_vocabulary(spark.sql(VOCABULARY)))
+    return op.extract_entities(spark.table("articles").select("id", "body"), op.entity_vocabulary(spark.sql(ENTRIES)))
 
 
 @register("isolated_rows", "SELECT count(*) FILTER (WHERE event_id % 4 <> 3 AND value >= 1) AS good, count(*) FILTER (WHERE event_id % 4 = 3) AS no_json, count(*) FILTER (WHERE event_id % 4 <> 3 AND value < 1) AS low FROM events")

@@ -23,8 +23,7 @@ def register(name: str, sql: str | None = None):
     def put(build: Callable[[SparkSession], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(load(spark, sf_dir))
         if sql is not None:
-            text = sql.strip()
-            ORACLE_SQL[name] = WITH + text if text.startswith(",") else WITH + text
+            ORACLE_SQL[name] = WITH + sql.strip()
         return build
 
     return put
