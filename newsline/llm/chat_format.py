@@ -1,9 +1,11 @@
 r"""Chat formatting: records of many layouts to canonical turns, to marked text with a loss mask.
 
-A record is JSON. Its nested field paths, sorted and hashed, are its schema's fingerprint,
-and the fingerprint selects a declarative mapping: which lists hold turns, which fields are
-role and text, or which fields are prompt, context and answer. A record of an unknown
-fingerprint is reported as such, never guessed.
+A record is JSON. Its nested field paths with the kinds of their values, sorted and hashed, are its
+schema's fingerprint, and the fingerprint selects a declarative mapping: which lists hold turns,
+which fields are role and text, or which fields are prompt, context and answer. A record of an
+unknown fingerprint, such as one with a number where a text belongs, is reported as such, never
+guessed. Null counts as an empty text. A list of no turns gives no rows; broken JSON, and JSON
+nested deeper than the parser goes, is ``broken``; half of a surrogate pair becomes U+FFFD.
 
 Turns are written ``<|im_start|>role\ntext<|im_end|>\n``. Inside texts and roles a backslash
 is doubled and a backslash is put after the first character of every control string, so no
@@ -47,12 +49,12 @@ def unescape(text: str) -> str:
 
 
 def paths(value, at: str = "") -> set[str]:
-    """The nested field paths of a JSON value, lists as []."""
+    """The nested field paths of a JSON value, lists as [], with the kind of each value that isn't a text or null."""
     if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {at}
+        return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else {f"{at}:object"}
     if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]:none"}
+    return {at if value is None or isinstance(value, str) else f"{at}:{'flag' if isinstance(value, bool) else 'number'}"}
 
 
 def fingerprint(names: set[str]) -> str:
@@ -60,14 +62,18 @@ def fingerprint(names: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:16]
 
 
-#: Layouts: paths -> ("list", list, role field, text field) or ("pair", [(role, [fields joined by a blank line])]) or ("row", role field, text field).
+#: Layouts: paths -> ("list", list, role field, text field) or ("parts", list, role field, list of parts, text field), ("pair", [(role, [fields joined by a blank line])]) or ("row", role field, text field).
 LAYOUTS: dict[tuple[str, ...], tuple] = {
     ("messages[].content", "messages[].role"): ("list", "messages", "role", "content"),
+    ("messages[]:none",): ("list", "messages", "role", "content"),
+    ("messages[].content[].text", "messages[].content[].type", "messages[].role"): ("parts", "messages", "role", "content", "text"),
+    ("conversations[]:none",): ("list", "conversations", "from", "value"),
     ("conversations[].from", "conversations[].value"): ("list", "conversations", "from", "value"),
     ("turns[].speaker", "turns[].text"): ("list", "turns", "speaker", "text"),
     ("completion", "prompt"): ("pair", [("user", ["prompt"]), ("assistant", ["completion"])]),
     ("prompt", "response"): ("pair", [("user", ["prompt"]), ("assistant", ["response"])]),
     ("prompt", "response", "system"): ("pair", [("system", ["system"]), ("user", ["prompt"]), ("assistant", ["response"])]),
+    ("messages[].content", "messages[].role", "system"): ("list", "messages", "role", "content", "system"),
     ("answer", "question"): ("pair", [("user", ["question"]), ("assistant", ["answer"])]),
     ("instruction", "output"): ("pair", [("user", ["instruction"]), ("assistant", ["output"])]),
     ("input", "instruction", "output"): ("pair", [("user", ["instruction", "input"]), ("assistant", ["output"])]),
@@ -85,15 +91,23 @@ def turns_of(record, mappings: dict[str, tuple] = MAPPINGS) -> tuple[str, list[t
     mapping = mappings.get(own)
     if mapping is None:
         return own, None
-    if mapping[0] == "list":
-        return own, [(ROLES.get(x.get(mapping[2]), x.get(mapping[2]) or ""), x.get(mapping[3]) or "") for x in record[mapping[1]]]
+    if mapping[0] in ("list", "parts"):
+        body = (lambda x: x.get(mapping[3]) or "") if mapping[0] == "list" else (lambda x: "".join(p.get(mapping[4]) or "" for p in x.get(mapping[3]) or []))
+        turns = [(ROLES.get(x.get(mapping[2]), x.get(mapping[2]) or ""), body(x)) for x in record[mapping[1]]]
+        first = record.get(mapping[4]) if mapping[0] == "list" and len(mapping) > 4 else None
+        return own, [("system", first), *turns] if first else turns
     if mapping[0] == "row":
         return own, [(record[mapping[1]] or "", record[mapping[2]] or "")]
     found = [(role, "\n\n".join(record[f] for f in fields if record[f])) for role, fields in mapping[1]]
     return own, [x for x in found if x[1] or x[0] != "system"]
 
 
-def canonical(records: DataFrame, order: list[str] | None = None) -> DataFrame:
+def _whole(text: str) -> str:
+    """The text with U+FFFD for each half of a surrogate pair."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+def canonical(records: DataFrame) -> DataFrame:
     """(conv_id, turn, part, role, text, fingerprint) of (conv_id, turn, record): a row a turn; role is null where the layout is unknown or the JSON broken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +116,9 @@ def canonical(records: DataFrame, order: list[str] | None = None) -> DataFrame:
             for conv, turn, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "turn", "record"))):
                 try:
                     mark, turns = turns_of(json.loads(text or ""))
-                except ValueError:
+                except (ValueError, RecursionError):
                     mark, turns = "broken", None
-                rows += [(conv, turn, i, r, t, mark) for i, (r, t) in enumerate(turns)] if turns is not None else [(conv, turn, 0, None, text, mark)]
+                rows += [(conv, turn, i, _whole(r), _whole(t), mark) for i, (r, t) in enumerate(turns)] if turns is not None else [(conv, turn, 0, None, text, mark)]
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["conv_id", "turn", "part", "role", "text", "fingerprint"])
@@ -167,10 +181,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(_read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def as_records(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, record): each turn as JSON, in five layouts by turn; roles that layouts rename stay in a plain row."""
+    role, text = F.col("role"), F.col("text")
+    one = lambda a, b: F.struct(role.alias(a), text.alias(b))
+    kinds = [one("role", "text"), one("role", "content"), F.struct(F.array(one("role", "content")).alias("messages")), F.struct(F.array(one("from", "value")).alias("conversations")), F.struct(F.array(one("speaker", "text")).alias("turns"))]
+    number = F.pmod(F.coalesce("conv_id", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(len(kinds)))
+    plain, *others = [F.to_json(k, {"ignoreNullFields": "false"}) for k in kinds]
+    record = F.when(role.isin(*ROLES), plain)
+    for i, other in enumerate(others, 1):
+        record = record.when(number == i, other)
+    return turns.select("conv_id", "turn", record.otherwise(plain).alias("record"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and one that tries to forge turns, formatted and read back."""
+    """All conversations and one that tries to forge turns, as records of several layouts, formatted and read back."""
     forged = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", forged), (-7, 1, "assistant", forged)], rows.schema))
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    return read_back(format_turns(canonical(records)))
+    return read_back(format_turns(canonical(as_records(rows))))

@@ -54,3 +54,32 @@ def test_layouts(spark):
     for i in range(4):
         assert [(r.role, r.text) for r in rows if r.conv_id == i] == [("user", "q"), ("assistant", "a")]
     assert [(r.conv_id, r.role) for r in rows if r.conv_id > 7] == [(8, None), (9, None), (10, None)]
+
+
+def test_odd_records(spark):
+    """Kinds are part of a fingerprint, so nothing that isn't a text is taken for one; nothing crashes."""
+    deep = "[" * 100_000 + "]" * 100_000
+    records = [
+        '{"prompt": 1, "response": "a"}', '{"messages": [{"role": "user", "content": 5}]}', '{"prompt": true, "response": "a"}', '{"messages": ["x"]}', '{"messages": [null]}', '{"prompt": {"a": "b"}, "response": "x"}', "7", '"x"', "[]", "{}",
+        '{"prompt": "\\ud800", "response": "ok"}', '{"messages": []}', '{"system": "s", "messages": [{"role": "user", "content": null}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}', deep, "9" * 5000, '{"prompt": null, "response": "a"}',
+    ]
+    rows = cf.canonical(spark.createDataFrame(list(zip(range(len(records)), [0] * len(records), records)), "conv_id long, turn long, record string")).collect()
+    found = {i: [(r.role, r.text) for r in rows if r.conv_id == i] for i in range(len(records))}
+    assert all(found[i] == [(None, records[i])] for i in (*range(10), 14, 15))
+    assert found[10] == [("user", "\ufffd"), ("assistant", "ok")] and found[11] == []
+    assert found[12] == [("system", "s"), ("user", "")] and found[13] == [("user", "ab")] and found[16] == [("user", ""), ("assistant", "a")]
+    assert {r.fingerprint for r in rows if r.conv_id in (14, 15)} == {"broken"}
+
+
+def test_null_ids_and_ties(spark, write):
+    rows = [(None, 0, "user", "a"), (None, None, "assistant", "b"), (1, 0, "user", "y"), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, 0, "gpt", "kept"), (2, 1, None, "t")]
+    folder = write("conversations", rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.turns_sha256) for r in cf.op6_chat_format(spark, folder).collect() if r.conv_id != -7}
+    sha = lambda *turns: (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest())
+    assert got == {None: sha(("assistant", "b"), ("user", "a")), 1: sha(("user", "x"), ("user", "x"), ("user", "y")), 2: sha(("gpt", "kept"), ("", "t"))}
+
+
+def test_query_meets_several_layouts(spark):
+    turns = spark.createDataFrame([(1, i, "user", "x") for i in range(10)], "conv_id long, turn long, role string, text string")
+    assert cf.canonical(cf.as_records(turns)).select("fingerprint").distinct().count() == 5
