@@ -192,6 +192,18 @@ class Codec:
             parts = joined
         return parts
 
+    def _found(self, parts: list[str] | set[str]) -> dict[str, list[str]]:
+        """The pre-tokens of each part behind a space; all are found in one pass, as such a space begins one."""
+        found, out = iter(self.find(" " + " ".join(parts)) if parts else ()), {}
+        for p in parts:
+            own, left = [], len(p) + 1
+            while left:
+                piece = next(found)
+                own.append(piece)
+                left -= len(piece)
+            out[p] = own
+        return out
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._parts(x) for x in texts]
@@ -202,7 +214,7 @@ class Codec:
             self.pieces, self.older_pieces = {}, self.pieces
         words, pieces = self.words, self.pieces
         new = _refresh(set().union(*cut).difference(words), words, self.older_words)
-        chunks = {p: self.find(" " + p) for p in new}
+        chunks = self._found(new)
         starts = {p: self.find(p) for p in set(heads)}
         unknown = list(_refresh(set().union(*chunks.values(), *starts.values()).difference(pieces), pieces, self.older_pieces))
         split = []
