@@ -57,45 +57,51 @@ def gap_runs(df: DataFrame, hours: int = 24) -> DataFrame:
 
 
 class OpenStories:
-    """The stories that an article may still join; articles come in order of time."""
+    """The stories that an article may still join; articles come in order of time.
+
+    Means lie by place, so an article's few places are a few contiguous rows over all open stories.
+    """
 
     def __init__(self, threshold: float, hours: int, dims: int):
         self.threshold, self.limit, self.dims = threshold, hours * 3_600_000_000, dims
         self._resize(np.arange(0), 16)
 
     def _resize(self, keep: np.ndarray, size: int) -> None:
-        old = self.__dict__.copy()
-        self.sums, self.means = np.zeros((size, self.dims)), np.zeros((size, self.dims))
+        old, n = self.__dict__.copy(), len(keep)
+        self.sums, self.means = np.zeros((size, self.dims)), np.zeros((self.dims, size))
         self.counts, self.last, self.lengths = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
-        for name in ("sums", "means", "counts", "last", "lengths") if len(keep) else ():
-            getattr(self, name)[: len(keep)] = old[name][keep]
+        if n:
+            self.means[:, :n] = old["means"][:, keep]
+            for name in ("sums", "counts", "last", "lengths"):
+                getattr(self, name)[:n] = old[name][keep]
         self.names = [old["names"][k] for k in keep]
 
     def _put(self, at: int, time: int) -> None:
-        self.means[at] = self.sums[at] / self.counts[at]
-        self.lengths[at] = np.linalg.norm(self.means[at][None], axis=1)[0]
+        mean = self.sums[at] / self.counts[at]
+        self.means[:, at] = mean
+        self.lengths[at] = np.linalg.norm(mean)
         self.last[at] = max(self.last[at], time)
 
-    def place(self, time: int, vector: np.ndarray, norm: float, seed: bool, name):
+    def place(self, time: int, places: np.ndarray, weights: np.ndarray, seed: bool, name):
         """The name of the story that takes the article, ``name`` itself if it seeds one, None if it does neither."""
-        n = len(self.names)
+        n, norm = len(self.names), np.linalg.norm(weights)
         if n == len(self.sums):  # closed stories go, and the tables double only if most are still open
             keep = np.flatnonzero(time - self.last <= self.limit)
             self._resize(keep, max(16, 2 * len(keep)))
             n = len(self.names)
         if n and norm > 0:
             length = self.lengths[:n]
-            like = np.where(length > 0, self.means[:n] @ vector / np.where(length > 0, length, 1) / norm, 0.0)
+            like = np.where(length > 0, weights @ self.means[places, :n] / np.where(length > 0, length, 1) / norm, 0.0)
             like[time - self.last[:n] > self.limit] = -2.0
             at = int(np.argmax(like))
             if like[at] >= self.threshold:
-                self.sums[at] += vector
+                self.sums[at, places] += weights
                 self.counts[at] += 1
                 self._put(at, time)
                 return self.names[at]
         if not seed:
             return None
-        self.sums[n], self.counts[n], self.last[n] = vector, 1, time
+        self.sums[n, places], self.counts[n], self.last[n] = weights, 1, time
         self.names.append(name)
         self._put(n, time)
         return name
@@ -106,12 +112,12 @@ def greedy(times: np.ndarray, vectors: np.ndarray, seeds: np.ndarray, threshold:
 
     An article joins the story with the highest cosine at the threshold among those updated within ``hours``; the earliest on ties.
     """
-    norms = np.linalg.norm(vectors, axis=1)
     micros = times.astype("datetime64[us]").astype(np.int64)
     found, begun = OpenStories(threshold, hours, vectors.shape[1]), 0
     out = np.full(len(times), -1)
     for i in range(len(times)):
-        story = found.place(int(micros[i]), vectors[i], norms[i], bool(seeds[i]), begun)
+        some = np.flatnonzero(vectors[i])
+        story = found.place(int(micros[i]), some, vectors[i][some], bool(seeds[i]), begun)
         out[i] = -1 if story is None else story
         begun += story == begun
     return out
@@ -154,9 +160,7 @@ def cluster_stories(articles: DataFrame, sparse: DataFrame, threshold: float = 0
             for i, block in enumerate(blocks):
                 if block != at:
                     at, found = block, OpenStories(threshold, hours, dims)
-                v = np.zeros(dims)
-                v[places[ends[i] : ends[i + 1]]] = weights[starts[i] : starts[i + 1]]
-                story.append(found.place(times[i], v, np.linalg.norm(v[None], axis=1)[0], seeds[i], ids[i]))
+                story.append(found.place(times[i], places[ends[i] : ends[i + 1]], weights[starts[i] : starts[i + 1]], seeds[i], ids[i]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(story, pa.string())], ["id", "story"])
 
     together = blocked.where("component is not null").join(vectors, "id").select("language", F.col("run").cast("string").alias("run"), "component", "id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("time"), (F.col("role") == "seed").alias("seed"), "idx", "weight")

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from newsline.functions import rules
+from newsline.functions.text import embedding_input, word_count
 from newsline.operators import arcs as arc_op
 from newsline.operators import linking, scoring, stories
 from newsline.operators import vectors as vec
@@ -35,8 +36,6 @@ def eligible_articles(spark: SparkSession):
 
 
 def _roles(spark: SparkSession):
-    from newsline.functions.text import word_count
-
     return stories.length_gate(spark.table("articles").withColumn("word_count", word_count(F.col("body"))))
 
 
@@ -46,7 +45,8 @@ def article_roles(spark: SparkSession):
 
 
 def _stories(spark: SparkSession):
-    return stories.cluster_stories(_roles(spark), vec.hashed_bow(spark.table("articles"), "id", "lead"), 0.7)
+    text = embedding_input(F.col("title"), F.col("lead")).alias("text")
+    return stories.cluster_stories(_roles(spark), vec.hashed_bow(spark.table("articles").select("id", text), "id", "text"), 0.7)
 
 
 @register("clustered_stories")

@@ -50,7 +50,7 @@ def test_block_of_any_size_holds_open_stories(spark):
     found = stories.OpenStories(0.95, 24, 12)
     got, most = [], 0
     for i in range(600):
-        got.append(found.place(i * 3_600_000_000, v[i], 1.0, i % 3 > 0, i))
+        got.append(found.place(i * 3_600_000_000, np.arange(12), v[i], i % 3 > 0, i))
         most = max(most, len(found.names))
     sums, want = {}, []
     for i in range(600):
