@@ -24,7 +24,7 @@ def sources_where(sources: DataFrame, band: str | None = None, tier: str | None
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Rows of both, of each key the one with the largest version; updates win ties (A3)."""
+    """Rows of both, one a key: an update wins over what is there, and of several rows of one side the largest version (A3)."""
     rows = target.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     newest = Window.partitionBy(*keys).orderBy(F.col("_new").desc(), F.col(version).desc_nulls_last())
     return rows.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank", "_new")

@@ -65,9 +65,9 @@ def parse_responses(answers: DataFrame, text: str = "response") -> DataFrame:
     return rows.withColumn("reason", reason).withColumn("parsed", F.when(F.col("reason").isNull(), parsed)).drop("_p", "_c")
 
 
-def pick_response(attempts: DataFrame, max_retries: int = 2) -> DataFrame:
-    """(cluster_id, severity, category, headline, fell_back): the first valid of the attempts 0 to ``max_retries``, else the fixed fallback."""
-    rows = parse_responses(attempts.where(F.col("attempt") <= max_retries))
+def pick_response(attempts: DataFrame, max_retries: int | None = 2) -> DataFrame:
+    """(cluster_id, severity, category, headline, fell_back): the first valid of the attempts 0 to ``max_retries`` (all, if None), else the fixed fallback."""
+    rows = parse_responses(attempts if max_retries is None else attempts.where(F.col("attempt") <= max_retries))
     best = rows.groupBy("cluster_id").agg(F.min_by(F.when(F.col("reason").isNull(), F.col("parsed")), F.when(F.col("reason").isNull(), F.col("attempt"))).alias("p"))
     return best.select(
         "cluster_id", F.coalesce("p.severity", F.lit(5)).alias("severity"), F.coalesce("p.category", F.lit("SINIFLANDIRILMADI")).alias("category"),

@@ -107,10 +107,13 @@ def parsed_answers(spark: SparkSession):
 
 
 @register("picked_answers", ANSWERED + """
-, v AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY attempt, event_id) AS n FROM (SELECT cluster_id, min(event_id) AS event_id, attempt, any_value(user_id) AS user_id, min(k) AS k FROM r WHERE k < 2 GROUP BY cluster_id, attempt, event_id))
-SELECT c.cluster_id, v.cluster_id IS NULL AS fell_back FROM (SELECT DISTINCT cluster_id FROM r) c LEFT JOIN v ON v.cluster_id = c.cluster_id AND v.n = 1""")
+, v AS (SELECT cluster_id, event_id, k, user_id, row_number() OVER (PARTITION BY cluster_id ORDER BY attempt, event_id) AS n FROM r WHERE k < 2)
+SELECT c.cluster_id, CAST(CASE v.k WHEN 0 THEN user_id % 6 WHEN 1 THEN 2 ELSE 5 END AS INT) AS severity, CASE v.k WHEN 0 THEN 'EKONOMİ' WHEN 1 THEN 'GÜVENLİK' ELSE 'SINIFLANDIRILMADI' END AS category,
+coalesce('h' || CAST(event_id AS STRING), '(başlıksız)') AS headline, v.cluster_id IS NULL AS fell_back FROM (SELECT DISTINCT cluster_id FROM r) c LEFT JOIN v ON v.cluster_id = c.cluster_id AND v.n = 1""")
 def picked_answers(spark: SparkSession):
-    return scoring.pick_response(spark.sql(ANSWERS)).select("cluster_id", "fell_back")
+    """Answers in order of attempt; the events of one attempt are numbered apart by their ids."""
+    rows = spark.sql(ANSWERS).withColumn("attempt", F.struct("attempt", "event_id"))
+    return scoring.pick_response(rows, max_retries=None)
 
 
 @register("normalized_categories", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'DİPLOMASİ' WHEN 1 THEN 'TOPLUM' ELSE event_type END AS category FROM events")

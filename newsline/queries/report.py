@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from newsline.functions import rules
 from newsline.operators import report as op
 from newsline.queries.news import AGE, NOW, RULES, promotion
 from newsline.registry import register
@@ -44,9 +45,16 @@ def cluster_sources(spark: SparkSession):
     return sources(spark).select("cluster_id", F.array_join("sources", ",").alias("sources"), "n_sources")
 
 
-@register("social_only_clusters", VIEWS + "SELECT cluster_id FROM vw WHERE is_social_only")
+@register("social_only_clusters", """
+, b AS (SELECT a.language, strftime(a.published_at, '%Y%m%d%H') AS hour, list(DISTINCT s.band) AS bands FROM articles a JOIN sources s ON s.id = a.source_id GROUP BY 1, 2)
+SELECT language, hour, len(bands) AS n_bands, len(list_filter(bands, lambda x: x NOT IN ('social_x', 'social_reddit'))) = 0 AS is_social_only FROM b
+UNION ALL SELECT 'none', s.band, 1, s.band IN ('social_x', 'social_reddit') FROM sources s GROUP BY s.band""")
 def social_only_clusters(spark: SparkSession):
-    return views(spark).where("is_social_only").select("cluster_id")
+    """Articles of one hour and language, and each band alone."""
+    rows = spark.table("articles").join(spark.table("sources").select(F.col("id").alias("source_id"), "band"), "source_id")
+    grouped = rows.groupBy("language", F.date_format("published_at", "yyyyMMddHH").alias("hour")).agg(F.collect_set("band").alias("bands"))
+    alone = spark.table("sources").groupBy(F.lit("none").alias("language"), F.col("band").alias("hour")).agg(F.collect_set("band").alias("bands"))
+    return grouped.union(alone).select("language", "hour", F.size("bands").cast("long").alias("n_bands"), rules.social_only(F.col("bands")).alias("is_social_only"))
 
 
 KEPT = "(state = 'OPEN' OR (state = 'RESOLVED' AND last_update_at >= TIMESTAMP '2024-01-11 00:00:00'))"

@@ -12,21 +12,31 @@ from newsline.registry import register
 UNESCAPED = "replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
 
 
-@register("normalized_articles", """
-SELECT CAST(doc_id AS STRING) AS id, CASE WHEN CAST(substr(source,4) AS INT) % 4 = 2 THEN 'PDF' ELSE 'RSS' END AS kind,
-len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS word_count FROM documents WHERE CAST(substr(source,4) AS INT) % 4 IN (0, 2) AND NOT regexp_matches(text, '(?im)^[ \\t]*(?:sayfa[ \\t]*)?[-–—]?[ \\t]*\\d{1,4}[ \\t]*[-–—]?[ \\t]*$') AND NOT regexp_matches(text, '<[a-zA-Z/!][^>]*>')""")
+NUMBERS = "(?im)^[ \\t]*(?:sayfa[ \\t]*)?[-–—]?[ \\t]*\\d{1,4}[ \\t]*[-–—]?[ \\t]*$"
+BARE = UNESCAPED.format("replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '&nbsp;', ' ')")
+
+
+@register("normalized_articles", f"""
+, k AS (SELECT doc_id, CASE CAST(substr(source,4) AS INT) % 4 WHEN 0 THEN 'RSS' WHEN 1 THEN 'HTML' WHEN 2 THEN 'PDF' ELSE 'API' END AS kind, text FROM documents),
+b AS (SELECT doc_id, kind, CASE kind WHEN 'HTML' THEN {BARE.format("text")} WHEN 'RSS' THEN CASE WHEN regexp_matches(text, '<[a-zA-Z/!][^>]*>') AND trim({BARE.format("text")}) <> '' THEN {BARE.format("text")} ELSE text END
+WHEN 'PDF' THEN regexp_replace(text, '{NUMBERS}', '', 'g') ELSE '' END AS body FROM k)
+SELECT CAST(doc_id AS STRING) AS id, kind, len(list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '')) AS word_count FROM b""")
 def normalized_articles(spark: SparkSession):
-    raw = spark.sql("SELECT CAST(doc_id AS STRING) AS id, source AS source_id, split_part(text, chr(10), 1) AS title, text AS content, text FROM documents")
-    plain = raw.where(~F.col("text").rlike(r"(?im)^[ \t]*(?:sayfa[ \t]*)?[-–—]?[ \t]*\d{1,4}[ \t]*[-–—]?[ \t]*$") & ~F.col("text").rlike("<[a-zA-Z/!][^>]*>"))
-    return op.normalize(plain.drop("text"), spark.table("sources")).where("kind in ('RSS', 'PDF')").select("id", "kind", "word_count")
+    raw = spark.sql("SELECT CAST(doc_id AS STRING) AS id, source AS source_id, split_part(text, chr(10), 1) AS title, text AS content FROM documents")
+    return op.normalize(raw, spark.table("sources")).select("id", "kind", "word_count")
 
 
 @register("html_main_texts", f"""
-, a AS (SELECT page_id, html, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<aside\\b.*?</aside>|<header\\b.*?</header>|<form\\b.*?</form>|<noscript\\b.*?</noscript>', ' ', 'g') AS b FROM pages),
-c AS (SELECT page_id, regexp_extract(b, '(?is)<article\\b[^>]*>(.*)</article>', 1) AS x FROM a WHERE html LIKE '%</article>%')
-SELECT page_id, trim(regexp_replace({UNESCAPED.format("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\\s+', ' ', 'g')) AS text FROM c""")
+, a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<nav\\b.*?</nav>|<footer\\b.*?</footer>|<aside\\b.*?</aside>|<header\\b.*?</header>|<form\\b.*?</form>|<noscript\\b.*?</noscript>', ' ', 'g') AS b
+FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN replace(replace(html, '<article>', '<section>'), '</article>', '</section>') WHEN page_id % 4 = 1 THEN replace(html, '</article>', '</article><p>After.</p>') ELSE html END AS html FROM pages)),
+d AS (SELECT page_id, regexp_replace(regexp_replace(b, '(?is)<div[^>]*class="[^"]*\\b(?:ad|ads|advert|banner)\\b[^"]*"[^>]*>.*?</div>', ' ', 'g'), '(?is)<head\\b.*?</head>', ' ', 'g') AS b FROM a),
+c AS (SELECT page_id, CASE WHEN b LIKE '%</article>%' THEN regexp_extract(b, '(?is)<article\\b[^>]*>(.*)</article>', 1) ELSE b END AS x FROM d)
+SELECT page_id, trim(regexp_replace(replace(replace(replace({UNESCAPED.format("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS text FROM c""")
 def html_main_texts(spark: SparkSession):
-    return spark.table("pages").where("html like '%</article>%'").select("page_id", op.html_main_text(F.col("html")).alias("text"))
+    """Every page; a quarter of them without an article, a quarter with text behind it."""
+    html = F.when(F.col("page_id") % 4 == 0, F.replace(F.replace("html", F.lit("<article>"), F.lit("<section>")), F.lit("</article>"), F.lit("</section>")))
+    html = html.when(F.col("page_id") % 4 == 1, F.replace("html", F.lit("</article>"), F.lit("</article><p>After.</p>"))).otherwise(F.col("html"))
+    return spark.table("pages").select("page_id", op.html_main_text(html).alias("text"))
 
 
 @register("feed_texts", f"""
@@ -57,10 +67,20 @@ def enriched_articles(spark: SparkSession):
     return spark.table("articles").select("id", t.lead(F.col("body")).alias("lead"), t.word_count(F.col("body")).alias("word_count"))
 
 
-@register("tagged_languages")
+@register("tagged_languages", """
+, w AS (SELECT id, language, unnest(list_filter(string_split_regex(lower(body), '\\s+'), lambda x: x <> '')) AS token FROM articles),
+c AS (SELECT language, token, count(*) AS n FROM w WHERE CAST(id AS BIGINT) % 2 = 0 GROUP BY language, token),
+p AS (SELECT language, token, n / sum(n) OVER (PARTITION BY language) AS weight, row_number() OVER (PARTITION BY language ORDER BY n DESC, token) AS k FROM c),
+h AS (SELECT w.id, p.language, sum(p.weight) AS s FROM w JOIN p ON p.token = w.token AND p.k <= 60 GROUP BY w.id, p.language),
+b AS (SELECT id, arg_max(language, (round(s, 9), language)) AS found FROM h GROUP BY id),
+t AS (SELECT a.id, a.language AS label, CASE WHEN length(trim(coalesce(body, ''))) < 20 THEN 'unknown' ELSE coalesce(found, 'tr') END AS language FROM articles a LEFT JOIN b ON b.id = a.id)
+SELECT CAST(id AS BIGINT) % 2 = 1 AS held_out, label, count(*) AS n, count(*) FILTER (WHERE language = label) AS n_right, count(*) FILTER (WHERE language = 'unknown') AS n_unknown FROM t GROUP BY 1, 2""")
 def tagged_languages(spark: SparkSession):
+    """How many articles of each language are told right: profiles from the even ones, the odd ones held out."""
     rows = spark.table("articles")
-    return op.tag_language(rows, op.stop_profiles(rows))
+    found = op.tag_language(rows, op.stop_profiles(rows.where("CAST(id AS BIGINT) % 2 = 0"))).withColumnRenamed("language", "found")
+    told = found.join(rows.select("id", F.col("language").alias("label")), "id").groupBy((F.col("id").cast("long") % 2 == 1).alias("held_out"), "label")
+    return told.agg(F.count("*").alias("n"), F.count_if(F.col("found") == F.col("label")).alias("n_right"), F.count_if(F.col("found") == "unknown").alias("n_unknown"))
 
 
 @register("folded_titles", "SELECT id, replace(replace(replace(replace(replace(replace(lower(translate(title, 'İI', 'iı')), 'ı', 'i'), 'ş', 's'), 'ğ', 'g'), 'ü', 'u'), 'ö', 'o'), 'ç', 'c') AS key FROM articles")
@@ -108,12 +128,19 @@ def isolated_rows(spark: SparkSession):
 
 
 @register("text_forensics", r"""
-SELECT doc_id, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS n_latin, length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digit, length(regexp_replace(text, '[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS n_control FROM documents""")
+, t AS (SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' жук' WHEN 1 THEN ' سلام' WHEN 2 THEN ' 漢字' ELSE chr(7) END AS text FROM documents)
+SELECT doc_id, length(regexp_replace(text, '[^\p{Latin}]', '', 'g')) AS n_latin, length(regexp_replace(text, '[^\p{Cyrillic}]', '', 'g')) AS n_cyrillic, length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')) AS n_arabic, length(regexp_replace(text, '[^\p{Han}]', '', 'g')) AS n_han,
+length(regexp_replace(text, '[^0-9]', '', 'g')) AS n_digit, length(regexp_replace(text, '[^\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS n_control FROM t""")
 def text_forensics(spark: SparkSession):
-    found = t.script_counts(F.col("text"))
-    return spark.table("documents").select("doc_id", *(found[c].cast("long").alias(c) for c in ("n_latin", "n_digit", "n_control")))
+    """Characters by script; the texts get a few of scripts that they lack."""
+    number = F.col("doc_id") % 4
+    text = F.concat("text", F.when(number == 0, " жук").when(number == 1, " سلام").when(number == 2, " 漢字").otherwise(F.lit("\x07")))
+    return spark.table("documents").select("doc_id", *(x.cast("long").alias(c) for c, x in t.script_counts(text).items()))
 
 
-@register("local_dates", "SELECT event_id, strftime(CAST(ts + INTERVAL 3 HOURS AS DATE), '%Y-%m-%d') AS day, 'run_' || strftime(ts, '%Y%m%d') AS run_id FROM events")
+@register("local_dates", "SELECT event_id, strftime(CAST(ts + INTERVAL 3 HOURS AS DATE), '%Y-%m-%d') AS day, 'run_' || strftime(ts, '%Y%m%d') AS run_id, CASE event_id % 4 WHEN 0 THEN strftime(ts - INTERVAL 3 HOURS, '%Y-%m-%d %H:%M:%S') WHEN 3 THEN NULL ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS naive FROM events")
 def local_dates(spark: SparkSession):
-    return spark.table("events").select("event_id", F.date_format(t.local_date(F.col("ts")), "yyyy-MM-dd").alias("day"), t.run_id_of(F.col("ts")).alias("run_id"))
+    """Dates, run ids, and times from texts with an offset, with Z, without any, and broken ones."""
+    text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(F.col("event_id") % 4 == 0, F.concat(text, F.lit("+03:00"))).when(F.col("event_id") % 4 == 1, F.concat(text, F.lit("Z"))).when(F.col("event_id") % 4 == 3, F.lit("soon")).otherwise(text)
+    return spark.table("events").select("event_id", F.date_format(t.local_date(F.col("ts")), "yyyy-MM-dd").alias("day"), t.run_id_of(F.col("ts")).alias("run_id"), F.date_format(t.utc_naive(text), "yyyy-MM-dd HH:mm:ss").alias("naive"))

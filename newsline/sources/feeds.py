@@ -64,26 +64,29 @@ REFERENCES = (
 
 
 def segment_gazette(pages: DataFrame) -> DataFrame:
-    """(edition, item, section, kind, title, reference, first_page, last_page) of (edition, page, text).
+    """(edition, item, section, kind, title, reference, body, first_page, last_page) of (edition, page, text).
 
     A line that contains a section's name opens the section and closes the item; a line that is an
-    item type opens an item; lines before the first item go. Title: the item's first non-empty
-    line; reference: the first match of the earliest pattern that any line has, by line then pattern.
+    item type opens an item; lines before the first item go. Items before any section are of the first one. Title: the
+    item's first non-empty line; reference: that of the first line that has one, by the first pattern that
+    matches it; body: the non-empty lines; pages: from the item's type to its last non-empty line.
     """
-    lines = pages.select("edition", "page", F.posexplode(F.split("text", "\n")).alias("row", "line")).withColumn("line", F.trim("line"))
+    lines = pages.select("edition", "page", F.posexplode(F.split("text", "\n")).alias("row", "line")).withColumn("raw", F.col("line")).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
     section = F.coalesce(*(F.when(F.contains(F.col("line"), F.lit(s)), F.lit(s)) for s in SECTIONS))
     kind = F.when(F.col("line").isin(*ITEM_TYPES), F.col("line"))
     order = Window.partitionBy("edition").orderBy("page", "row")
     marked = lines.withColumn("_s", section).withColumn("_k", kind)
-    marked = marked.withColumn("section", F.last("_s", ignorenulls=True).over(order)).withColumn("_n", F.sum(F.when(F.col("_s").isNotNull() | F.col("_k").isNotNull(), 1).otherwise(0)).over(order))
+    marked = marked.withColumn("section", F.coalesce(F.last("_s", ignorenulls=True).over(order), F.lit(SECTIONS[0]))).withColumn("_n", F.sum(F.when(F.col("_s").isNotNull() | F.col("_k").isNotNull(), 1).otherwise(0)).over(order))
     marked = marked.withColumn("kind", F.first("_k", ignorenulls=True).over(Window.partitionBy("edition", "_n")))
     body = marked.where("kind is not null")
     found = F.coalesce(*(F.nullif(F.regexp_extract("line", f"(?iu){r}", 1), F.lit("")) for r in REFERENCES))
     is_text = F.col("_k").isNull() & (F.col("line") != "")
     items = body.groupBy("edition", "_n").agg(
         F.min("section").alias("section"), F.min("kind").alias("kind"), F.min_by("line", F.when(is_text, F.struct("page", "row"))).alias("title"),
-        F.min_by(found, F.when(found.isNotNull(), F.struct("page", "row"))).alias("reference"), F.min("page").alias("first_page"), F.max("page").alias("last_page"),
+        F.min_by(found, F.when(found.isNotNull(), F.struct("page", "row"))).alias("reference"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(is_text, F.struct("page", "row", "raw")))), lambda x: x.raw), "\n").alias("body"),
+        F.min("page").alias("first_page"), F.max(F.when(is_text | F.col("_k").isNotNull(), F.col("page"))).alias("last_page"),
     )
+    items = items.withColumn("title", F.coalesce("title", F.lit(""))).withColumn("reference", F.coalesce("reference", F.lit(""))).withColumn("body", F.regexp_replace("body", r"(?U)^\s+|\s+$", ""))
     return items.withColumn("item", F.row_number().over(Window.partitionBy("edition").orderBy("_n")) - 1).drop("_n")
 
 

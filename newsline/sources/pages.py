@@ -31,10 +31,22 @@ def absolute_url(base: Column, href: Column) -> Column:
     )
 
 
-def extract_links(pages: DataFrame, container: str = "nav") -> DataFrame:
-    """(page_id, pos, url): absolute links inside the listing element, each once at its first place."""
-    region = F.regexp_extract("html", rf"(?is)<{container}\b[^>]*>(.*?)</{container}>", 1)
-    found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all(region, F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]+)"'), 1)).alias("pos", "href"))
+def extract_links(pages: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """(page_id, pos, url): absolute links inside the source's listing element, each once at its first place.
+
+    ``containers``: (source_id, tag, class), a row a source; class may be null. Pages of other sources, and
+    all without it, list their links in ``nav``. An element ends at the first end tag of its name.
+    """
+    if containers is None:
+        pages = pages.withColumn("_open", F.lit(r"nav\b[^>]*")).withColumn("_tag", F.lit("nav"))
+    else:
+        named = F.concat(F.lit(r"""\b[^>]*\bclass\s*=\s*["'][^"']*\b"""), "class", F.lit(r"\b[^>]*"))
+        opened = F.concat("tag", F.coalesce(named, F.lit(r"\b[^>]*")))
+        pages = pages.join(containers.select("source_id", "tag", opened.alias("_open")), "source_id", "left")
+        pages = pages.withColumn("_open", F.coalesce("_open", F.lit(r"nav\b[^>]*"))).withColumn("_tag", F.coalesce("tag", F.lit("nav")))
+    pages = pages.withColumn("_pattern", F.concat(F.lit("(?is)<"), "_open", F.lit(">(.*?)</"), "_tag", F.lit(">")))
+    hrefs = F.regexp_extract_all(F.expr("regexp_extract(html, _pattern, 1)"), F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]+"|'[^']+'|[^\s>"']+)"""), 1)
+    found = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.transform(hrefs, lambda x: F.regexp_replace(x, "^[\"']|[\"']$", ""))).alias("pos", "href"))
     return found.select("page_id", "pos", absolute_url(F.col("base"), unescape(F.col("href"))).alias("url")).groupBy("page_id", "url").agg(F.min("pos").alias("pos")).select("page_id", "pos", "url")
 
 

@@ -13,7 +13,7 @@ from newsline.operators.ingest import insert_ignore
 def stream_ingest(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     """First arrival of each (source_id, url) within the watermark of fetched_at."""
     keyed = stream.withColumn("id", article_id(F.col("source_id"), F.col("url"))).where("id is not null")
-    return keyed.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])
+    return keyed.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def ingest_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -36,4 +36,4 @@ def ingest_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
 def stream_source_health(stream: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """OK and failed fetches by source and window; rows later than the watermark are dropped."""
     ok = F.col("status") == "OK"
-    return stream.withWatermark("ts", delay).groupBy(F.window("ts", window), "source_id").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed")).select(F.col("window.start").alias("start"), "source_id", "n_ok", "n_failed")
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "source_id").agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed")).select(F.col("window.start").alias("start"), "source_id", "n_ok", "n_failed")
