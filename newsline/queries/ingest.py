@@ -143,8 +143,8 @@ SELECT source AS edition, doc_id AS page, concat(CASE doc_id % 5 WHEN 3 THEN con
 
 
 @register("gazette_items", """
-, l AS (SELECT doc_id, source, unnest(string_split(CASE doc_id % 5 WHEN 3 THEN 'T.C. YARGI BÖLÜMÜ' || chr(10) ELSE '' END || 'cover ' || CAST(doc_id AS STRING) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'KANUN' || chr(10) || 'title ' || CAST(doc_id AS STRING) || chr(10) || 'Kanun No: ' || CAST(doc_id % 900 + 1 AS STRING) || chr(10) || 'Sayı: 7' ELSE 'more' END, chr(10))) AS line FROM documents),
-p AS (SELECT *, row_number() OVER (PARTITION BY doc_id) AS i FROM l),
+, x AS (SELECT doc_id, source, string_split(CASE doc_id % 5 WHEN 3 THEN 'T.C. YARGI BÖLÜMÜ' || chr(10) ELSE '' END || 'cover ' || CAST(doc_id AS STRING) || chr(10) || CASE WHEN doc_id % 3 = 0 THEN 'KANUN' || chr(10) || 'title ' || CAST(doc_id AS STRING) || chr(10) || 'Kanun No: ' || CAST(doc_id % 900 + 1 AS STRING) || chr(10) || 'Sayı: 7' ELSE 'more' END, chr(10)) AS a FROM documents),
+p AS (SELECT doc_id, source, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM x),
 o AS (SELECT *, sum(CASE WHEN line = 'KANUN' OR line LIKE '%YARGI BÖLÜMÜ' THEN 1 ELSE 0 END) OVER w AS g, sum(CASE WHEN line LIKE '%YARGI BÖLÜMÜ' THEN 1 ELSE 0 END) OVER w AS s FROM p WINDOW w AS (PARTITION BY source ORDER BY doc_id, i)),
 t AS (SELECT source, g, min(CASE WHEN line = 'KANUN' THEN doc_id END) AS page, max(doc_id) AS last_page, max(s) AS s, string_agg(line, chr(10) ORDER BY doc_id, i) FILTER (WHERE line <> 'KANUN') AS body FROM o GROUP BY source, g HAVING count(*) FILTER (WHERE line = 'KANUN') = 1)
 SELECT source AS edition, CAST(row_number() OVER (PARTITION BY source ORDER BY g) - 1 AS INT) AS item, CASE WHEN s > 0 THEN 'YARGI BÖLÜMÜ' ELSE 'YÜRÜTME VE İDARE BÖLÜMÜ' END AS section, 'title ' || CAST(page AS STRING) AS title,
