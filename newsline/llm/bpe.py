@@ -31,7 +31,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from newsline.llm.common import bounded_batches, released
 from newsline.plans.storage import table
 
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 64
 GROUP_CHARS = 1_500_000
 
@@ -96,6 +96,8 @@ class Codec:
         self.token = [b""] * self.size
         for token, rank in ranks.items():
             self.token[rank] = token
+        self.token_bytes, self.token_size = np.frombuffer(b"".join(self.token), np.uint8), np.array([len(x) for x in self.token])
+        self.token_start = np.cumsum(self.token_size) - self.token_size
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.two = np.array([[ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)], np.int64)
         self.pairs: dict[int, int] = {}
@@ -243,21 +245,33 @@ class Codec:
         """Forget the older generations, so a worker that serves other operators next holds less."""
         self.older_words, self.older_pieces = {}, {}
 
+    def decode_all(self, texts: list[bytes]) -> list[bytes]:
+        """The bytes of the ids of each text; all tokens' bytes lie in one array and are gathered, some at a time."""
+        ids = np.frombuffer(b"".join(texts), "<u4")
+        size = self.token_size[ids]
+        parts = []
+        for at in range(0, len(ids), 200_000):
+            own, n = ids[at : at + 200_000], size[at : at + 200_000]
+            first = np.cumsum(n) - n
+            parts.append(self.token_bytes[np.repeat(self.token_start[own] - first, n) + np.arange(int(n.sum()))].tobytes())
+        data, upto = b"".join(parts), np.append(0, np.cumsum(size))[np.cumsum([0, *(len(x) // 4 for x in texts)])].tolist()
+        return [data[a:b] for a, b in zip(upto[:-1], upto[1:])]
+
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of the ids."""
-        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the ids of one text."""
+        return self.decode_all([ids])[0]
 
 
-def _encoded(own: Codec, texts: pa.Array) -> Iterator[bytes]:
-    """Ids of each text, some megabytes of whole texts at a time."""
+def _encoded(own: Codec, texts: pa.Array) -> Iterator[list[bytes]]:
+    """Ids of each text, in groups of some megabytes of whole texts."""
     at, todo = 0, []
     for x in texts:
         todo.append(x.as_py() or "")
         at += len(todo[-1])
         if at >= GROUP_CHARS:
-            yield from own.encode_all(todo)
+            yield own.encode_all(todo)
             at, todo = 0, []
-    yield from own.encode_all(todo)
+    yield own.encode_all(todo)
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -286,7 +300,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            found = list(_encoded(own, batch.column(at)))
+            found = [x for group in _encoded(own, batch.column(at)) for x in group]
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x) // 4 for x in found]]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array([len(x) // 4 for x in found], pa.int64())], [*kept, "ids", "n_tokens"])
         own.shrink()
@@ -303,10 +317,10 @@ def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for batch in batches:
             n, ids, back = [], [], []
-            for got in _encoded(own, batch.column("text")):
-                n.append(len(got) // 4)
-                ids.append(hashlib.sha256(got).hexdigest())
-                back.append(hashlib.sha256(own.decode(got)).hexdigest())
+            for group in _encoded(own, batch.column("text")):
+                n += [len(x) // 4 for x in group]
+                ids += [hashlib.sha256(x).hexdigest() for x in group]
+                back += [hashlib.sha256(x).hexdigest() for x in own.decode_all(group)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         own.shrink()
 
