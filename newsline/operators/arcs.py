@@ -24,7 +24,7 @@ def active_arcs(arcs: DataFrame, centroids: DataFrame, now: Column, days: int =
 
 
 def linkable_clusters(clusters: DataFrame, touched: DataFrame) -> DataFrame:
-    """Scored clusters of this run without arc and with a headline, numbered worst first (F2)."""
+    """Scored clusters of this run without arc and with a headline; linking takes them worst first (F2)."""
     rows = clusters.where("arc_id is null and final_severity is not null and trim(coalesce(headline, '')) != ''")
     return rows.join(touched.select("cluster_id").distinct(), "cluster_id", "left_semi")
 
@@ -72,6 +72,23 @@ def fold_arc_updates(arcs: DataFrame, linked: DataFrame) -> DataFrame:
     )
 
 
+def fold_arc_state(arcs: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, entities, centroid, last_summary) of arcs after their linked clusters.
+
+    Entities: the arc's and all its clusters', sorted; centroid: the mean of its clusters' vectors, the
+    stored one without any; last_summary: the last call's. ``arcs``: id, entities, centroid; ``linked``: arc_id,
+    entities, vector, summary, seq.
+    """
+    from newsline.operators.vectors import centroid
+
+    names = arcs.select("id", F.explode("entities").alias("e")).union(linked.select(F.col("arc_id"), F.explode("entities")))
+    names = names.groupBy("id").agg(F.sort_array(F.collect_set("e")).alias("entities"))
+    means = centroid(linked, "arc_id", "vector").withColumnRenamed("arc_id", "id").withColumnRenamed("centroid", "mean")
+    last = linked.groupBy(F.col("arc_id").alias("id")).agg(F.max_by("summary", "seq").alias("last_summary"))
+    rows = arcs.select("id", "centroid").join(names, "id", "left").join(means, "id", "left").join(last, "id", "left")
+    return rows.select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"), F.coalesce("mean", "centroid").alias("centroid"), "last_summary")
+
+
 def resolve_expired(arcs: DataFrame, now: Column, days: int = rules.EXPIRE_DAYS) -> DataFrame:
     """Open or watched arcs last updated ``days`` calendar days ago or more are RESOLVED; null never; times stay (F8).
 
@@ -94,6 +111,8 @@ def audit_arcs(arcs: DataFrame, centroids: DataFrame, linked: DataFrame) -> Data
 
 
 def repair_headlines(arcs: DataFrame, linked: DataFrame) -> DataFrame:
-    """Blank headlines get that of the earliest linked cluster that has one, else a placeholder; a second run changes nothing."""
-    good = linked.where("trim(coalesce(headline, '')) != ''").groupBy(F.col("arc_id").alias("id")).agg(F.min(F.struct("created_at", "cluster_id", "headline")).alias("m"))
-    return arcs.join(good, "id", "left").withColumn("headline", F.coalesce(F.when(F.trim("headline") != "", F.col("headline")), F.col("m.headline"), F.lit(PLACEHOLDER))).drop("m")
+    """Blank headlines and summaries get those of the earliest linked cluster that has one, else a placeholder; a second run changes nothing."""
+    for name in ("headline", "summary"):
+        good = linked.where(F.trim(F.coalesce(name, F.lit(""))) != "").groupBy(F.col("arc_id").alias("id")).agg(F.min(F.struct("created_at", "cluster_id", name)).alias("m"))
+        arcs = arcs.join(good, "id", "left").withColumn(name, F.coalesce(F.when(F.trim(name) != "", F.col(name)), F.col(f"m.{name}"), F.lit(PLACEHOLDER))).drop("m")
+    return arcs

@@ -55,23 +55,26 @@ def apply_retention(df: DataFrame, table: str, at: str, now: Column) -> DataFram
     return df if days is None else df.where(F.col(at).isNull() | (F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def _ends(hops: DataFrame) -> DataFrame:
+    """(arc, to) with the end of each chain of merges; merges that run in a circle, or into one, are void."""
+    hops = materialize(hops, "merges")
+    for _ in range(hops.count().bit_length()):  # pointer jumping: what is left of the longest chain halves each time
+        further = hops.select(F.col("arc").alias("to"), F.col("to").alias("further"))
+        hops = materialize(hops.join(further, "to", "left").select("arc", F.coalesce("further", "to").alias("to")), "merges")
+    return hops.join(hops.select(F.col("arc").alias("to")), "to", "left_anti").select("arc", "to")
+
+
 def apply_overrides(clusters: DataFrame, arcs: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters, arcs) after the log of (at, action, target_id, new_value); of one target and kind the latest counts (H6).
 
     PROMOTE, DEMOTE (new_value is the severity) and DISMISS act on clusters; RESOLVE, REOPEN and RENAME
-    on arcs; MERGE moves an arc's clusters to the arc new_value, through chains, and resolves it; SPLIT gives a
+    on arcs; MERGE moves an arc's clusters to the arc new_value, through chains but not circles, and resolves it; SPLIT gives a
     cluster the new arc new_value. Severity 0 without an override shows as 1.
     """
     kind = F.when(F.col("action").isin("PROMOTE", "DEMOTE", "DISMISS"), "severity").when(F.col("action").isin("RESOLVE", "REOPEN"), "state").otherwise(F.col("action"))
     last = log.withColumn("kind", kind).groupBy("kind", "target_id").agg(F.max_by(F.struct("action", "new_value"), "at").alias("o"))
     one = lambda k, name: last.where(F.col("kind") == k).select(F.col("target_id").alias("_t"), F.col("o").alias(name))
-    hops = materialize(one("MERGE", "m").select(F.col("_t").alias("arc"), F.col("m.new_value").alias("to")).where("arc != to"), "merges")
-    for _ in range(40):  # pointer jumping: the longest chain halves each time
-        nxt = hops.join(hops.select(F.col("arc").alias("to"), F.col("to").alias("further")), "to", "left").select("arc", F.when(F.coalesce("further", "to") != F.col("arc"), F.coalesce("further", "to")).otherwise(F.col("to")).alias("to"))
-        nxt = materialize(nxt, "merges")
-        if nxt.exceptAll(hops).isEmpty():
-            break
-        hops = nxt
+    hops = _ends(one("MERGE", "m").select(F.col("_t").alias("arc"), F.col("m.new_value").alias("to")).where("arc != to"))
     c = clusters.join(one("severity", "s"), F.col("cluster_id") == F.col("_t"), "left").drop("_t").join(one("SPLIT", "p"), F.col("cluster_id") == F.col("_t"), "left").drop("_t")
     c = c.withColumn("arc_id", F.coalesce("p.new_value", "arc_id")).join(hops.select(F.col("arc").alias("arc_id"), "to"), "arc_id", "left").withColumn("arc_id", F.coalesce("to", "arc_id"))
     level = F.when(F.col("s.action") == "DISMISS", 5).when(F.col("s").isNotNull(), F.col("s.new_value").cast("int")).when(F.col("final_severity") == 0, 1).otherwise(F.col("final_severity"))
@@ -88,8 +91,15 @@ def token_index(articles: DataFrame) -> DataFrame:
     return articles.select("id", F.explode(F.array_distinct(tokens(tr_lower(F.concat_ws(" ", "title", "body"))))).alias("token"))
 
 
-def search(index: DataFrame, articles: DataFrame, query: str, since: str | None = None, until: str | None = None, language: str | None = None) -> DataFrame:
-    """Articles that hold every word of the query, within dates and language (H7)."""
+def search(
+    index: DataFrame, articles: DataFrame, query: str, since: str | None = None, until: str | None = None, language: str | None = None,
+    entity: tuple[DataFrame, str] | None = None, clusters: DataFrame | None = None, category: str | None = None, worst: int | None = None,
+) -> DataFrame:
+    """Articles that hold every word of the query, within dates and language, with an entity, in a story of a category or of a severity (H7).
+
+    ``entity``: a table (id, entity) and the entity; ``clusters``: (id, category, severity) of the articles'
+    stories; ``worst``: severities up to this number, lower being worse.
+    """
     words = sorted({w.replace("İ", "i").replace("I", "ı").lower() for w in query.split()})
     rows = articles
     if words:
@@ -97,6 +107,11 @@ def search(index: DataFrame, articles: DataFrame, query: str, since: str | None
         rows = rows.join(ids, "id", "left_semi")
     for test, value in ((F.col("published_at") >= F.lit(since).cast("timestamp"), since), (F.col("published_at") < F.lit(until).cast("timestamp"), until), (F.col("language") == language, language)):
         rows = rows.where(test) if value is not None else rows
+    if entity is not None:
+        rows = rows.join(entity[0].where(F.col("entity") == entity[1]).select("id"), "id", "left_semi")
+    if category is not None or worst is not None:
+        some = clusters if category is None else clusters.where(F.col("category") == category)
+        rows = rows.join((some if worst is None else some.where(F.col("severity") <= worst)).select("id"), "id", "left_semi")
     return rows
 
 
@@ -118,11 +133,16 @@ def run_history(runs: DataFrame, log: DataFrame, now: Column, days: int = 30) ->
     return runs.where(F.col("started_at") >= now - F.expr(f"INTERVAL {days} DAYS")).join(per, "run_id", "left")
 
 
-def failure_report(log: DataFrame, run_id: str) -> DataFrame:
-    """(run_id, last_completed, ok_sources, failed_sources) of one run."""
-    ok = F.col("status") == "OK"
+def failure_report(log: DataFrame, run_id: str, events: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run_id, last_completed, ok_sources, failed_sources, last_stage, counts) of one run.
+
+    ``events`` as for ``run_status``: the stage that finished last; ``counts`` as for ``merge_counts``.
+    """
+    ok, own = F.col("status") == "OK", F.col("run_id") == run_id
     pick = lambda test: F.array_join(F.sort_array(F.collect_list(F.when(test, F.col("source_id")))), ",")
-    return log.where(F.col("run_id") == run_id).groupBy("run_id").agg(F.max("completed_at").alias("last_completed"), pick(ok).alias("ok_sources"), pick(~ok).alias("failed_sources"))
+    fetched = log.where(own).groupBy("run_id").agg(F.max("completed_at").alias("last_completed"), pick(ok).alias("ok_sources"), pick(~ok).alias("failed_sources"))
+    last = events.where(own & (F.col("outcome") == "done")).groupBy("run_id").agg(F.max(F.struct("at", "stage")).alias("m")).select("run_id", F.col("m.stage").alias("last_stage"))
+    return fetched.join(last, "run_id", "left").join(merge_counts(counts.where(own)), "run_id", "left")
 
 
 def override_rate(log: DataFrame, alert: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsline.functions import rules
 from newsline.functions.text import local_date
+from newsline.plans.storage import materialize
 from newsline.sources.pages import MONTHS
 
 # Severity words, section markers in order, notes and line formats of the report.
@@ -212,6 +213,7 @@ def assemble_report(lines: DataFrame, run: str = "run_id") -> DataFrame:
 
 def validate_reports(reports: DataFrame, key: str = "run_id") -> DataFrame:
     """(key, errors): missing title, missing, repeated, unexpected, unmarked or misordered sections, sections without content, and what a model may have left: placeholders, its prompt, its reasoning."""
+    reports = materialize(reports.select(key, "report"), "reports")  # read once for each kind of error
     lines = reports.select(key, F.posexplode(F.split("report", "\n")).alias("pos", "line"))
     number = F.coalesce(*(F.when(F.col("line") == s, F.lit(i)) for i, s in enumerate(SECTIONS)), F.when(F.col("line").startswith("## "), F.lit(-1)))
     order = Window.partitionBy(key).orderBy("pos")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsline.functions.text import word_count
+from newsline.operators.vectors import centroid
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions
 
@@ -195,6 +196,19 @@ def cluster_tables(members: DataFrame, articles: DataFrame, sources: DataFrame)
     return rows.groupBy("cluster_id").agg(F.min("published_at").alias("created_at"), F.sort_array(F.collect_set("band")).alias("bands"), F.count("*").alias("n_articles"))
 
 
+def story_tables(articles: DataFrame, sources: DataFrame, stories: DataFrame, vectors: DataFrame, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(clusters, members, centroids) of (id, story) rows.
+
+    Clusters are numbered within the day of their seed's publication, in order of (published_at, id); members:
+    (cluster_id, article_id); centroids: (cluster_id, centroid), the mean of the members' vectors (id, vector).
+    """
+    seeds = stories.where("id = story").select("id").join(articles.select("id", "published_at"), "id")
+    named = mint_ids(seeds, "cl", "published_at", ["published_at", "id"], taken).select(F.col("id").alias("story"), F.col("new_id").alias("cluster_id"))
+    members = materialize(stories.where("story is not null").join(named, "story").select("cluster_id", F.col("id").alias("article_id")), "members")
+    placed = members.join(vectors.select(F.col("id").alias("article_id"), "vector"), "article_id")
+    return cluster_tables(members, articles, sources), members, centroid(placed, "cluster_id", "vector")
+
+
 def run_counts(roles: DataFrame, stories: DataFrame) -> DataFrame:
     """One row: new stories, joins, skipped for length, skipped for a story neither joined nor seeded."""
     rows = roles.select("id", "role").join(stories, "id", "left")

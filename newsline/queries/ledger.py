@@ -53,9 +53,10 @@ def retained_rows(spark: SparkSession):
 
 
 CLUSTERS = "SELECT cluster_id, CAST(raw_severity AS INT) AS final_severity, concat('arc_', CAST(CAST(substr(cluster_id, 4, 4) AS INT) AS STRING)) AS arc_id FROM clusters"
+#: Merges in a chain (arcs 0 to 3), in a circle (5 to 7) and into that (4).
 OVERRIDES = """
 SELECT created_at AS at, CASE WHEN raw_severity = 1 THEN 'PROMOTE' ELSE 'DISMISS' END AS action, cluster_id AS target_id, CASE WHEN raw_severity = 1 THEN '0' END AS new_value FROM clusters WHERE raw_severity IN (1, 3)
-UNION ALL SELECT TIMESTAMP '2024-01-05 00:00:00', 'MERGE', concat('arc_', CAST(n AS STRING)), concat('arc_', CAST(n + 1 AS STRING)) FROM (SELECT DISTINCT CAST(substr(cluster_id, 4, 4) AS INT) AS n FROM clusters) x WHERE n < 3"""
+UNION ALL SELECT TIMESTAMP '2024-01-05 00:00:00', 'MERGE', concat('arc_', CAST(n AS STRING)), concat('arc_', CAST(CASE WHEN n = 7 THEN 5 ELSE n + 1 END AS STRING)) FROM (SELECT DISTINCT CAST(substr(cluster_id, 4, 4) AS INT) AS n FROM clusters) x WHERE n < 3 OR n BETWEEN 4 AND 7"""
 
 
 @register("overridden_clusters", """
@@ -82,6 +83,18 @@ def found_articles(spark: SparkSession):
     return op.search(op.token_index(rows), rows, "the of", until="2024-01-03 00:00:00", language="en").select("id")
 
 
+@register("found_in_stories", """
+, w AS (SELECT id, source_id, string_split_regex(lower(translate(title || ' ' || body, 'İI', 'iı')), '\\s+') AS w FROM articles),
+s AS (SELECT ca.article_id FROM cluster_articles ca JOIN clusters c USING (cluster_id) WHERE c.raw_severity IN (2, 3))
+SELECT id FROM w WHERE list_contains(w, 'the') AND source_id IN ('src0', 'src1', 'src9') AND source_id <> 'src1' AND id IN (SELECT article_id FROM s)""")
+def found_in_stories(spark: SparkSession):
+    """Articles with a word, an entity, and a story of a category and a severity."""
+    rows = spark.table("articles")
+    names = rows.select("id", F.when(F.col("source_id").isin("src0", "src9"), "Oda").otherwise("Kurul").alias("entity"))
+    told = spark.sql("SELECT ca.article_id AS id, CASE WHEN raw_severity > 1 THEN 'TOPLUM' ELSE 'YARGI' END AS category, raw_severity AS severity FROM cluster_articles ca JOIN clusters USING (cluster_id)")
+    return op.search(op.token_index(rows), rows, "the", entity=(names, "Oda"), clusters=told, category="TOPLUM", worst=3).select("id")
+
+
 @register("arc_timelines", f"SELECT cluster_id, CAST(row_number() OVER (ORDER BY created_at DESC, cluster_id) AS INT) AS n FROM ({LINKED}) WHERE arc_id = 'arc_0003'")
 def arc_timelines(spark: SparkSession):
     from newsline.queries.report import sources
@@ -99,9 +112,16 @@ def run_history(spark: SparkSession):
     return op.run_history(spark.table("pipeline_runs"), spark.table("ingest_log"), F.expr("TIMESTAMP '2024-02-05 00:00:00'")).select("run_id", "n_sources", "n_failed", "articles")
 
 
-@register("failure_report", "SELECT run_id, coalesce(string_agg(CASE WHEN status = 'OK' THEN source_id END, ',' ORDER BY source_id), '') AS ok_sources, coalesce(string_agg(CASE WHEN status <> 'OK' THEN source_id END, ',' ORDER BY source_id), '') AS failed_sources FROM ingest_log WHERE run_id = 'run_20240103' GROUP BY run_id")
+@register("failure_report", f"""
+, v AS (SELECT 'run_' || strftime(ts, '%Y%m%d') AS run_id, ts AS seen, {STAGE} AS stage, event_type AS name, event_id AS n, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS outcome FROM events),
+k AS (SELECT run_id, string_agg(name || '=' || CAST(n AS STRING), ',' ORDER BY name) AS counts FROM (SELECT run_id, name, arg_max(n, seen) AS n FROM v GROUP BY run_id, name) GROUP BY run_id),
+z AS (SELECT run_id, arg_max(stage, (seen, stage)) AS last_stage FROM v WHERE outcome = 'done' GROUP BY run_id)
+SELECT l.run_id, coalesce(string_agg(CASE WHEN status = 'OK' THEN source_id END, ',' ORDER BY source_id), '') AS ok_sources, coalesce(string_agg(CASE WHEN status <> 'OK' THEN source_id END, ',' ORDER BY source_id), '') AS failed_sources, any_value(last_stage) AS last_stage, any_value(counts) AS counts
+FROM ingest_log l JOIN k ON k.run_id = l.run_id JOIN z ON z.run_id = l.run_id WHERE l.run_id = 'run_20240103' GROUP BY l.run_id""")
 def failure_report(spark: SparkSession):
-    return op.failure_report(spark.table("ingest_log"), "run_20240103").drop("last_completed")
+    events = spark.sql("SELECT concat('run_', date_format(ts, 'yyyyMMdd')) AS run_id, ts AS at, element_at(array('ingest','normalize','cluster','score','arcs','write','tts'), CAST(event_id % 7 AS INT) + 1) AS stage, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'done' END AS outcome, event_type AS name, event_id AS n FROM events")
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat(e.key, F.lit("="), e.value.cast("string"))), ",")
+    return op.failure_report(spark.table("ingest_log"), "run_20240103", events, events).drop("last_completed").withColumn("counts", text)
 
 
 @register("override_rate", "SELECT strftime(date_trunc('week', created_at), '%Y-%m-%d') AS week, count(*) AS n, count(*) > 3 AS alert FROM clusters WHERE raw_severity IN (1, 3) GROUP BY 1")
@@ -110,11 +130,11 @@ def override_rate(spark: SparkSession):
 
 
 @register("report_index", """
-, d AS (SELECT strftime(ts, '%Y-%m-%d') AS date, max(event_id) FILTER (WHERE event_id % 2 = 1) AS odd, max(event_id) FILTER (WHERE event_id % 2 = 0) AS even FROM events GROUP BY 1)
-SELECT date, coalesce(odd, even) AS n FROM d""")
+, d AS (SELECT strftime(ts, '%Y-%m-%d') AS date, coalesce(max(event_id) FILTER (WHERE event_id % 2 = 1), max(event_id) FILTER (WHERE event_id % 2 = 0)) AS n FROM events GROUP BY 1)
+SELECT date, n, CAST(n % 6 AS INT) AS peak, 'briefings/' || date || '.md' AS path FROM d""")
 def report_index(spark: SparkSession):
-    rows = spark.table("events").select(F.date_format("ts", "yyyy-MM-dd").alias("date"), F.col("event_id").alias("n"), F.col("event_id").alias("generated_at"))
-    return op.report_index(rows.where("n % 2 = 0"), rows.where("n % 2 = 1")).select("date", "n")
+    rows = spark.sql("SELECT date_format(ts, 'yyyy-MM-dd') AS date, event_id AS n, CAST(event_id % 6 AS INT) AS peak, concat('briefings/', date_format(ts, 'yyyy-MM-dd'), '.md') AS path, event_id AS generated_at FROM events")
+    return op.report_index(rows.where("n % 2 = 0"), rows.where("n % 2 = 1")).select("date", "n", "peak", "path")
 
 
 @register("referential_checks", """

@@ -67,10 +67,39 @@ def minted_ids(spark: SparkSession):
     return stories.mint_ids(spark.table("clusters"), "cl", "created_at", ["created_at", "cluster_id"], taken).select("cluster_id", "new_id")
 
 
-@register("cluster_tables", EVIDENCE + "SELECT cluster_id, array_to_string(bands, ',') AS bands, n AS n_articles FROM e")
+@register("cluster_tables", """
+, e AS (SELECT ca.cluster_id, min(a.published_at) AS created_at, list_sort(list(DISTINCT s.band)) AS bands, count(*) AS n FROM cluster_articles ca JOIN articles a ON a.id = ca.article_id LEFT JOIN sources s ON s.id = a.source_id GROUP BY ca.cluster_id)
+SELECT cluster_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, array_to_string(bands, ',') AS bands, n AS n_articles FROM e""")
 def cluster_tables(spark: SparkSession):
     found = stories.cluster_tables(spark.table("cluster_articles"), spark.table("articles"), spark.table("sources"))
-    return found.select("cluster_id", F.array_join("bands", ",").alias("bands"), "n_articles")
+    return found.select("cluster_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"), F.array_join("bands", ",").alias("bands"), "n_articles")
+
+
+#: Stories as a clustering gives them: each article with its story's first one.
+STORIES = "SELECT article_id AS id, first_value(article_id) OVER (PARTITION BY cluster_id ORDER BY published_at, CAST(article_id AS BIGINT)) AS story FROM (SELECT ca.*, a.published_at FROM cluster_articles ca JOIN articles a ON a.id = ca.article_id)"
+STORY_IDS = f"""
+, st AS ({STORIES})
+, sd AS (SELECT DISTINCT st.story, a.published_at FROM st JOIN articles a ON a.id = st.story)
+, si AS (SELECT story, 'cl_' || strftime(published_at, '%Y%m%d') || '_' || lpad(CAST(row_number() OVER (PARTITION BY strftime(published_at, '%Y%m%d') ORDER BY published_at, story) AS STRING), 4, '0') AS cluster_id FROM sd)
+, sm AS (SELECT si.cluster_id, st.id AS article_id FROM st JOIN si USING (story))
+"""
+
+
+def _story_tables(spark: SparkSession):
+    vectors = spark.table("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    return stories.story_tables(spark.table("articles"), spark.table("sources"), spark.sql(STORIES), vectors)
+
+
+@register("story_members", STORY_IDS + "SELECT cluster_id, article_id FROM sm")
+def story_members(spark: SparkSession):
+    return _story_tables(spark)[1]
+
+
+@register("story_centroids", STORY_IDS + """
+, v AS (SELECT cluster_id, unnest(x.embedding) AS x, generate_subscripts(x.embedding, 1) - 1 AS i FROM sm JOIN embeddings x ON CAST(x.vec_id AS STRING) = article_id)
+SELECT cluster_id, CAST(i AS INT) AS i, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM v GROUP BY cluster_id, i""")
+def story_centroids(spark: SparkSession):
+    return _story_tables(spark)[2].select("cluster_id", F.posexplode("centroid").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @register("unscored_clusters", f"SELECT cluster_id FROM clusters c WHERE raw_severity <> 3 AND EXISTS (SELECT 1 FROM cluster_articles ca JOIN articles a ON a.id = ca.article_id WHERE ca.cluster_id = c.cluster_id AND a.source_id IN ({TOUCHED}))")
@@ -210,6 +239,21 @@ def folded_arcs(spark: SparkSession):
     return arc_op.fold_arc_updates(spark.table("arcs"), linked).select("id", "state", "peak_severity", "last_cluster_id", "n_linked", F.coalesce(F.unix_micros(F.col("last_update_at").cast("timestamp")), F.lit(0)).alias("last_us"))
 
 
+@register("folded_arc_state", f"""
+, l AS (SELECT *, row_number() OVER (PARTITION BY arc_id ORDER BY severity DESC, cluster_id DESC) AS k FROM ({LINKED}))
+, n AS (SELECT id, state AS e FROM arcs UNION SELECT arc_id, 'e' || CAST(severity AS STRING) FROM l UNION SELECT arc_id, right(cluster_id, 1) FROM l)
+, m AS (SELECT arc_id, avg(severity) AS x, avg(CAST(right(cluster_id, 1) AS INT)) AS y FROM l GROUP BY arc_id)
+SELECT a.id, (SELECT string_agg(e, ',' ORDER BY e) FROM n WHERE n.id = a.id) AS entities, round(coalesce(m.x, -1.0), 6) AS x, round(coalesce(m.y, -2.0), 6) AS y, 'sum ' || l.cluster_id AS last_summary FROM arcs a LEFT JOIN m ON m.arc_id = a.id LEFT JOIN l ON l.arc_id = a.id AND l.k = 1""")
+def folded_arc_state(spark: SparkSession):
+    rows = spark.table("arcs").select("id", F.array("state").alias("entities"), F.array(F.lit(-1.0), F.lit(-2.0)).alias("centroid"))
+    linked = spark.sql(LINKED).select(
+        "arc_id", F.array(F.concat(F.lit("e"), F.col("severity").cast("string")), F.expr("right(cluster_id, 1)")).alias("entities"),
+        F.array(F.col("severity").cast("double"), F.expr("right(cluster_id, 1)").cast("double")).alias("vector"), F.concat(F.lit("sum "), "cluster_id").alias("summary"), F.struct("severity", "cluster_id").alias("seq"),
+    )
+    found = arc_op.fold_arc_state(rows, linked)
+    return found.select("id", F.array_join("entities", ",").alias("entities"), F.round(F.col("centroid")[0], 6).alias("x"), F.round(F.col("centroid")[1], 6).alias("y"), "last_summary")
+
+
 @register("resolved_arcs", f"SELECT id, CASE WHEN state IN ('OPEN','WATCH') AND CAST(last_update_at AS DATE) <= CAST({NOW} + INTERVAL 3 HOURS AS DATE) - 7 THEN 'RESOLVED' ELSE state END AS state FROM arcs")
 def resolved_arcs(spark: SparkSession):
     return arc_op.resolve_expired(spark.table("arcs"), F.expr(NOW)).select("id", "state")
@@ -239,7 +283,10 @@ def arc_audit(spark: SparkSession):
 
 @register("repaired_headlines", f"""
 , l AS (SELECT *, row_number() OVER (PARTITION BY arc_id ORDER BY created_at, cluster_id) AS k FROM ({LINKED}) WHERE trim(headline) <> '')
-SELECT a.id, coalesce(CASE WHEN peak_severity > 2 THEN a.id END, l.headline, '(başlıksız)') AS headline FROM arcs a LEFT JOIN l ON l.arc_id = a.id AND l.k = 1""")
+, s AS (SELECT *, row_number() OVER (PARTITION BY arc_id ORDER BY created_at, cluster_id) AS k FROM ({LINKED}) WHERE severity > 3)
+SELECT a.id, coalesce(CASE WHEN peak_severity > 2 THEN a.id END, l.headline, '(başlıksız)') AS headline, coalesce(CASE WHEN peak_severity < 2 THEN 'own' END, 'sum ' || s.cluster_id, '(başlıksız)') AS summary
+FROM arcs a LEFT JOIN l ON l.arc_id = a.id AND l.k = 1 LEFT JOIN s ON s.arc_id = a.id AND s.k = 1""")
 def repaired_headlines(spark: SparkSession):
-    rows = spark.table("arcs").withColumn("headline", F.when(F.col("peak_severity") > 2, F.col("id")).otherwise(" "))
-    return arc_op.repair_headlines(rows, spark.sql(LINKED)).select("id", "headline")
+    rows = spark.table("arcs").withColumn("headline", F.when(F.col("peak_severity") > 2, F.col("id")).otherwise(" ")).withColumn("summary", F.when(F.col("peak_severity") < 2, "own"))
+    linked = spark.sql(LINKED).withColumn("summary", F.when(F.col("severity") > 3, F.concat(F.lit("sum "), "cluster_id")))
+    return arc_op.repair_headlines(rows, linked).select("id", "headline", "summary")
