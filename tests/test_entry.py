@@ -28,7 +28,7 @@ def test_entry(spark):
 
 
 @there
-@pytest.mark.parametrize("name", ["registry_violations", "insert_ignore_new", "page_links", "page_times", "extracted_entities", "hashed_bow", "minted_ids", "promotion_log", "folded_arcs", "resolved_arcs", "section_lines", "overridden_clusters"])
+@pytest.mark.parametrize("name", ["registry_violations", "insert_ignore_new", "page_links", "page_times", "extracted_entities", "hashed_bow", "minted_ids", "promotion_log", "folded_arcs", "resolved_arcs", "section_lines", "overridden_clusters", "feed_items", "gazette_items", "normalized_articles", "html_main_texts", "tagged_languages", "streamed_articles", "story_members", "folded_arc_state", "found_in_stories", "failure_report", "section_prompts", "spoken_reports"])
 def test_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -1,8 +1,10 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from newsline.operators import ledger, report
 from newsline.operators.ingest import ingest_summary
-from newsline.sources import feeds
+from newsline.sources import feeds, pages
 from newsline.streaming.ingest import ingest_into, stream_ingest, stream_source_health
 
 FEED = """<rss><channel>
@@ -28,12 +30,15 @@ def test_posts(spark):
 
 
 def test_gazette(spark):
-    pages = [(1, 1, "Resmî\nYÜRÜTME VE İDARE BÖLÜMÜ\nönsöz\nKANUN\n\nBir Kanun\nKanun No: 7123\nmetin"), (1, 2, "devam\nTEBLİĞ\nBir Tebliğ\nYARGI BÖLÜMÜ\nara\nYÖNETMELİK\nSon")]
-    got = feeds.gazette_keys(feeds.segment_gazette(spark.createDataFrame(pages, "edition int, page int, text string"))).orderBy("item").collect()
+    text = [(1, 1, "Resmî\nYÜRÜTME VE İDARE BÖLÜMÜ\nönsöz\nKANUN\n\nBir Kanun\nKanun No: 7123\nmetin"), (1, 2, "devam\nTEBLİĞ\nBir Tebliğ\nYARGI BÖLÜMÜ\nara\nYÖNETMELİK\nSon")]
+    got = feeds.gazette_keys(feeds.segment_gazette(spark.createDataFrame(text, "edition int, page int, text string"))).orderBy("item").collect()
     assert [(r.section, r.kind, r.title, r.reference, r.first_page, r.last_page) for r in got] == [
-        ("YÜRÜTME VE İDARE BÖLÜMÜ", "KANUN", "Bir Kanun", "7123", 1, 2), ("YÜRÜTME VE İDARE BÖLÜMÜ", "TEBLİĞ", "Bir Tebliğ", None, 2, 2), ("YARGI BÖLÜMÜ", "YÖNETMELİK", "Son", None, 2, 2)
+        ("YÜRÜTME VE İDARE BÖLÜMÜ", "KANUN", "Bir Kanun", "7123", 1, 2), ("YÜRÜTME VE İDARE BÖLÜMÜ", "TEBLİĞ", "Bir Tebliğ", "", 2, 2), ("YARGI BÖLÜMÜ", "YÖNETMELİK", "Son", "", 2, 2)
     ]
     assert [r.entry_id for r in got] == ["7123", "item-1-p2", "item-2-p2"]
+    assert [r.body for r in got] == ["Bir Kanun\nKanun No: 7123\nmetin\ndevam", "Bir Tebliğ", "Son"]
+    early = feeds.segment_gazette(spark.createDataFrame([(1, 1, "KANUN\nErken")], "edition int, page int, text string")).first()
+    assert (early.section, early.title) == ("YÜRÜTME VE İDARE BÖLÜMÜ", "Erken")
 
 
 def test_streams_equal_batch(spark, tmp_path):
@@ -82,6 +87,36 @@ def test_report_round(spark):
     assert report.DORMANT_NOTE in spoken and "hidden" not in spoken and "Kaynaklar" not in spoken and "old" not in spoken and "Öne" not in spoken
 
 
+def test_reports_with_leftovers(spark):
+    df = report.assemble_report(spark.createDataFrame([("r1", 0, "a", "x")], "run_id string, section int, rank string, line string"))
+    broken = df.withColumn("report", F.replace(F.replace("report", F.lit(report.SECTIONS[3]), F.lit("## plain")), F.lit(report.SECTIONS[5]), F.lit(f"{report.SECTIONS[5]}\n Adım 2: x\nGÖREV · y\n[içerik buraya")))
+    assert report.validate_reports(broken).first().errors == ["missing:3", "placeholder:5", "prompt_echo:5", "reasoning:5", "unexpected", "unmarked"]
+
+
+def test_speech(spark):
+    text = "### Eski\n\n- a · `arc_20240101_0012` · 5 gün önce\n- b · `arc_20240101_0013` · 2 gün önce\n\n### Yeni\n- c · `arc_20240101_0002` · dün\n- d · `arc_20240101_0003` · 9 gün önce\n**Güncelleme** · 3 gün önce\n**Kaynaklar** · x\n## ❯ DEFCON 1-2\n[bağ](http://x) *eğik* DEFCON · 3 DEFCON\n---\nTBMM CHPX"
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(text.split("\n"))], "run_id string, pos int, line string")
+    got = report.speech_text(df).first().text
+    assert got == f"{report.DORMANT_NOTE}\n\nYeni\n- c · hikaye 2 · dün\nGüncelleme · 3 gün önce\n\nDefkon Bir-2\nbağ eğik Defkon Üç Defkon\n\nTe Be Me Me CHPX"
+
+
+def test_links_of_containers(spark):
+    page = "<ul class='a list'><li><a href='/x'>x</a><a href=y>y</a></ul><nav><a href=\"/n\">n</a></nav>"
+    df = spark.createDataFrame([(1, "http://h/p/q", page, "s1"), (2, "http://h/p/q", page, "s2")], "page_id int, url string, html string, source_id string")
+    containers = spark.createDataFrame([("s1", "ul", "list")], "source_id string, tag string, class string")
+    got = sorted((r.page_id, r.pos, r.url) for r in pages.extract_links(df, containers).collect())
+    assert got == [(1, 0, "http://h/x"), (1, 1, "http://h/p/y"), (2, 0, "http://h/n")]
+
+
+def test_merge_circles_are_void(spark):
+    clusters = spark.createDataFrame([(f"c{i}", 3, f"a{i}") for i in range(1, 7)], "cluster_id string, final_severity int, arc_id string")
+    arcs = spark.createDataFrame([(f"a{i}", "OPEN", "h") for i in range(1, 7)], "id string, state string, headline string")
+    log = [(dt.datetime(2024, 1, 1), "MERGE", x, y) for x, y in (("a1", "a2"), ("a2", "a3"), ("a3", "a1"), ("a4", "a1"), ("a5", "a6"))]
+    c, a = ledger.apply_overrides(clusters, arcs, spark.createDataFrame(log, "at timestamp, action string, target_id string, new_value string"))
+    assert {r.cluster_id: r.arc_id for r in c.collect()} == {"c1": "a1", "c2": "a2", "c3": "a3", "c4": "a4", "c5": "a6", "c6": "a6"}
+    assert {r.id for r in a.where("state = 'RESOLVED'").collect()} == {"a5"}
+
+
 def test_override_chains(spark):
     clusters = spark.createDataFrame([("c1", 0, "a1"), ("c2", 3, "a2"), ("c3", 0, "a9")], "cluster_id string, final_severity int, arc_id string")
     arcs = spark.createDataFrame([(f"a{i}", "OPEN", "h") for i in (1, 2, 3, 4, 9)], "id string, state string, headline string")
