@@ -108,18 +108,19 @@ def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     named = vocabulary.select("surface", "canonical", "type", F.regexp_extract("surface", WORD + "+", 0).alias("word")).where("word != ''")
     words = folded.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD + "+"), F.lit(0)))).alias("word"))
     listed = words.join(named, "word").groupBy("id").agg(F.collect_set(F.struct("surface", "canonical", "type")).alias("names"))
-    some = folded.join(listed, "id").select("id", "t", F.explode(F.filter("names", lambda n: F.contains(F.col("t"), n.surface))).alias("n"))
-    # The pieces between a name's occurrences give its places.
-    quoted = F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace("n.surface", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
-    lengths = some.select("id", "n", F.transform(F.split("t", quoted, -1), lambda x: F.length(x)).alias("gaps"), F.length("n.surface").alias("size"))
-    places = F.transform(F.sequence(F.lit(0), F.size("gaps") - 2), lambda i: F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.col("size"))
-    hits = lengths.where(F.size("gaps") > 1).select("id", "n", "size", F.explode(places).alias("start"))
-    sorted_hits = F.sort_array(F.collect_list(F.struct("start", (-F.col("start") - F.col("size")).alias("back"), "n.canonical", "n.type")))
+    # The pieces between a name's occurrences give its places; all of a text is worked out in its own row.
+    quoted = lambda n: F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace(n.surface, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
+    gaps = lambda n: F.transform(F.split(F.col("t"), quoted(n), -1), lambda x: F.length(x))
+    upto = lambda g, i: F.aggregate(F.slice(g, 1, i + 1), F.lit(0), lambda a, x: a + x)
+    span = lambda n, start: F.struct(start.alias("start"), (-start - F.length(n.surface)).alias("back"), n.canonical.alias("canonical"), n.type.alias("type"))
+    places = lambda n, g: F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.when(i < F.size(g), span(n, upto(g, i - 1) + (i - 1) * F.length(n.surface))))
+    hits = F.transform(F.filter("names", lambda n: F.contains(F.col("t"), n.surface)), lambda n: F.flatten(F.transform(F.array(gaps(n)), lambda g: places(n, g))))
+    found = folded.join(listed, "id").select("id", F.sort_array(F.filter(F.flatten(hits), lambda x: x.isNotNull())).alias("h"))
     kept = F.aggregate(
         "h", F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,back:int,canonical:string,type:string>>").alias("k")),
         lambda a, x: F.when(x.start >= a.upto, F.struct((-x.back).alias("upto"), F.concat(a.k, F.array(x)).alias("k"))).otherwise(a), lambda a: a.k,
     )
-    found = hits.groupBy("id").agg(sorted_hits.alias("h")).select("id", F.explode(kept).alias("k"))
+    found = found.select("id", F.explode(kept).alias("k"))
     return found.select("id", "k.start", (-F.col("k.back")).alias("end"), F.col("k.canonical").alias("text"), "k.type")
 
 
