@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsline.llm.common import bounded_batches, firsts_with, lists, lowest, mix, released, rolling, slices, text_of, word_hashes, words
@@ -337,11 +337,14 @@ def _tile_forests(percent: int):
     return run
 
 
+def _size_class(n: str, percent: int) -> Column:
+    """Sizes that may link are at most a factor of 100 / percent apart, so in the same or neighbouring classes."""
+    return F.floor(F.log(F.col(n)) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
+
+
 def _large_buckets(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of the buckets in (key, doc_id, n): classes of sizes meet themselves and the next one, tile by tile."""
-    # Sizes that may link are at most a factor of 100 / percent apart, so in the same or neighbouring classes.
-    size = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * (1 + 1e-9))).cast("int")
-    rows = rows.select("key", "doc_id", "n", size.alias("s"))
+    rows = rows.select("key", "doc_id", "n", _size_class("n", percent).alias("s"))
     counts = rows.groupBy("key", "s").agg(F.count("*").alias("m"))
     sized = counts.select("key", "s", "m", F.ceil(F.col("m") / TILE).cast("int").alias("r"))
     beside = lambda d, name: sized.select("key", (F.col("s") + d).alias("s"), F.col("r").alias(name))
@@ -395,10 +398,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     reps = materialize(keep_wanted(marks.where(f"n >= {smallest(percent)}").select(*columns), "doc_id", classes.select("rep")), "reps")
     groups = connected_components(_candidates(reps, percent), "u", "v")
     sized = groups.join(marks.select(F.col("doc_id").alias("node"), "n").dropDuplicates(["node"]), "node")
-    inside, cost = Window.partitionBy("component"), F.greatest(F.col("n"), F.lit(SET_COST))
-    members = materialize(
-        sized.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "n", F.floor((F.sum(cost).over(inside.orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0)) - cost) / BLOCK_TOKENS).cast("int").alias("block")), "members"
-    )
+    # A group's blocks are shares of its size classes, by a hash, so no task orders a group.
+    sized = sized.select(F.col("node").alias("doc_id"), F.col("component").alias("gid"), "n", _size_class("n", percent).alias("s"))
+    shares = sized.groupBy("gid", "s").agg(F.ceil(F.sum(F.greatest(F.col("n"), F.lit(SET_COST))) / BLOCK_TOKENS).cast("int").alias("r"))
+    block = F.col("s").cast("long") * (1 << 32) + F.pmod(F.xxhash64("doc_id"), F.col("r"))
+    members = materialize(sized.join(shares, ["gid", "s"]).select("doc_id", "gid", "n", block.alias("block")), "members")
     # Blocks are in order of size, so a block meets only those whose sizes are near enough.
     ranges = members.groupBy("gid", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     later = ranges.select("gid", F.col("block").alias("j"), F.col("lo").alias("lo2"))
@@ -406,7 +410,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     both = met.select("gid", F.col("i").alias("block"), "i", "j").union(met.where("i < j").select("gid", F.col("j").alias("block"), "i", "j"))
     partners = both.groupBy("gid", "block").agg(F.collect_list(F.struct("i", "j")).alias("tiles"))
     listed = materialize(members.drop("n").join(partners, ["gid", "block"]).select("doc_id", "gid", "tiles"), "partners")
-    sets = keep_wanted(docs, "doc_id", listed.select("doc_id")).join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(released(_sets(k)), "doc_id long, gid long, tiles array<struct<i:int,j:int>>, tokens array<long>")
+    sets = keep_wanted(docs, "doc_id", listed.select("doc_id")).join(listed.hint("shuffle_hash"), "doc_id").mapInArrow(released(_sets(k)), "doc_id long, gid long, tiles array<struct<i:long,j:long>>, tokens array<long>")
     tiles = sets.select("gid", F.explode("tiles").alias("t"), "doc_id", "tokens").select("gid", "t.i", "t.j", "doc_id", "tokens").repartition(partitions(spark), "gid", "i", "j")
     links = tiles.sortWithinPartitions("gid", "i", "j").mapInArrow(released(_links(percent)), "u long, v long")
     found = connected_components(links, "u", "v").select(F.col("node").alias("rep"), "component")
