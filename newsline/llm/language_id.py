@@ -39,7 +39,7 @@ from newsline.plans.storage import materialize, table
 ORDER = 4
 PER_LANGUAGE = 800
 SLACK = 1.1
-RANKED_APART = 64
+RANK_BITS = 16
 SLICE_CHARS = 500_000
 UNDETERMINED = "und"
 
@@ -196,11 +196,14 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models:
     """Models of the languages in (doc_id, text, lang); rows with a null lang teach nothing."""
     bounded_batches(labelled.sparkSession)
     most = per_language + per_language // 2
-    rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(RANKED_APART)).alias("part"))
-    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
-    # The first of each part, then the first of these: no task ranks all of a language.
-    some = rows.withColumn("rank", first("lang", "part")).where(F.col("rank") <= most)
-    chosen = some.withColumn("rank", first("lang")).where(F.col("rank") <= most).select("doc_id", "lang", "rank")
+    rows = labelled.where("lang is not null and doc_id is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    rows = rows.withColumn("b", F.shiftright("h", 64 - RANK_BITS))
+    # Counts by the leading bits tell up to where a language's first rows lie, so no task ranks all of a language.
+    upto = F.sum("count").over(Window.partitionBy("lang").orderBy("b"))
+    last = rows.groupBy("lang", "b").count().withColumn("upto", upto).where(F.col("upto") >= most).groupBy("lang").agg(F.min("b").alias("last"))
+    some = rows.join(F.broadcast(last), "lang", "left").where("last is null or b <= last")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = some.withColumn("rank", rank).where(F.col("rank") <= most).select("doc_id", "lang", "rank")
     sample = materialize(labelled.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "rank"), "sample")
     grams = sample.where("rank % 3 != 0").select("lang", "text").mapInArrow(released(_grams), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n"))
     models = Models(_counts([tuple(r) for r in grams.collect()]))
