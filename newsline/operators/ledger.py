@@ -46,7 +46,7 @@ def stuck_runs(status: DataFrame) -> DataFrame:
 def slow_stages(stages: DataFrame, budgets: DataFrame) -> DataFrame:
     """Adds verdict: slow over the stage's soft budget, timeout over twice that, else ok; no budget is ok (H4). ``budgets`` has a row a stage."""
     over = F.col("seconds") / F.col("budget_seconds")
-    return stages.join(F.broadcast(budgets), "stage", "left").withColumn("verdict", F.when(over > 2, "timeout").when(over > 1, "slow").otherwise("ok"))
+    return stages.join(budgets, "stage", "left").withColumn("verdict", F.when(over > 2, "timeout").when(over > 1, "slow").otherwise("ok"))
 
 
 def apply_retention(df: DataFrame, table: str, at: str, now: Column) -> DataFrame:

@@ -76,9 +76,9 @@ def stop_profiles(labelled: DataFrame, per_language: int = 60) -> DataFrame:
 def tag_language(df: DataFrame, profiles: DataFrame, fallback: str = "tr") -> DataFrame:
     """(id, language) of (id, body): unknown under 20 characters, the profile with the highest sum, the fallback if none has any.
 
-    ``profiles`` has a fixed number of words a language and is broadcast.
+    ``profiles`` has a fixed number of words a language.
     """
-    hits = df.select("id", F.explode(tokens(F.lower("body"))).alias("token")).join(F.broadcast(profiles), "token").groupBy("id", "language").agg(F.sum("weight").alias("s"))
+    hits = df.select("id", F.explode(tokens(F.lower("body"))).alias("token")).join(profiles, "token").groupBy("id", "language").agg(F.sum("weight").alias("s"))
     best = hits.groupBy("id").agg(F.max_by("language", F.struct("s", "language")).alias("found"))
     short = F.length(F.trim(F.coalesce("body", F.lit("")))) < 20
     return df.join(best, "id", "left").select("id", F.when(short, "unknown").otherwise(F.coalesce("found", F.lit(fallback))).alias("language"))

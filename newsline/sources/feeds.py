@@ -44,7 +44,7 @@ def filter_by_channel_rules(posts: DataFrame, rules: DataFrame) -> DataFrame:
     ``rules``: (channel, flair_any array, title_any array), one row a channel of a fixed list.
     """
     holds = lambda text, any_: (F.size(any_) == 0) | F.exists(any_, lambda x: F.contains(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lower(x)))
-    return posts.join(F.broadcast(rules), "channel").where(holds("flair", F.col("flair_any")) & holds("title", F.col("title_any"))).select(posts.columns)
+    return posts.join(rules, "channel").where(holds("flair", F.col("flair_any")) & holds("title", F.col("title_any"))).select(posts.columns)
 
 
 def normalize_posts(posts: DataFrame, base: str = "https://www.example.com") -> DataFrame:
