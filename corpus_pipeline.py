@@ -3,6 +3,10 @@
 STAGES run in order; each gets what its predecessor kept, as the columns of ``documents``, and
 its own result is written as Parquet in the session's shared folder before the next one
 reads it. The last returns the token ids' counts and digests.
+
+Rows are judged alone by the first, fourth and fifth stage, whatever their ids. Line dedup leaves rows with a
+null doc_id as they are, and repeated rows count as one document and stay; near dedup keeps rows with a null
+doc_id and repeated rows of the document that stays. Null and empty texts have no language, so the first stage drops them.
 """
 
 from __future__ import annotations

@@ -35,3 +35,22 @@ def test_empty(spark, write):
     folder = write("documents", [], SCHEMA)
     write("benchmark", [], "item_id long, text string")
     assert cp.run(spark, folder).count() == 0
+
+
+def test_null_and_repeated_ids(spark, write):
+    """Every stage takes rows without id and repeated ones; each keeps or drops them by its own rule and none crashes."""
+    cp = importlib.import_module("corpus_pipeline")
+    text = "\n".join(f"some words of line number {i} that say a little more than nothing at all" for i in range(12))
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, text.replace("number 3", "nr 3")), (3, None), (4, "other words that stand for themselves here " * 9)]
+    rows = [(i, t, "en", "s", len(t or ""), 0, 0, 0, 0) for i, t in rows] + [(10 + i, f"plain text of the kind that teaches {i} " * 5, "en", "s", 1, 0, 0, 0, 0) for i in range(40)]
+    folder = write("documents", rows, SCHEMA)
+    write("benchmark", [(1, "other words that stand for themselves here other words that stand for themselves here")], "item_id long, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {name: [r.doc_id for r in stage(spark, docs, folder).collect()] for name, stage in cp.STAGES}
+    count = lambda name, i: kept[name].count(i)
+    assert (count("language_id", 1), count("language_id", None), count("language_id", 3)) == (2, 1, 0)
+    assert (count("line_dedup", 1), count("line_dedup", None), count("line_dedup", 3)) == (2, 2, 1)
+    assert (count("ngram_jaccard", 1), count("ngram_jaccard", None), count("ngram_jaccard", 2)) == (2, 2, 0)
+    assert (count("decontaminate", 4), count("decontaminate", None)) == (0, 2)
+    assert len(kept["byte_bpe"]) == len(rows)
+    assert cp.run(spark, folder).count() > 0

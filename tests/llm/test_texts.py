@@ -144,6 +144,14 @@ def test_op8(spark, folder):
         assert got[i] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
 
 
+def test_op8_null_and_repeated_ids(spark):
+    """Each row by itself, whatever its id."""
+    rows = [(None, "hello you"), (None, None), (1, "hello you"), (1, "hello you"), (1, "")]
+    got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), *bpe.public_vocabulary()).collect()
+    hello = [r for r in got if r.n_tokens]
+    assert len(got) == 5 and len(hello) == 3 and len({r.ids_sha256 for r in hello}) == 1 and {r.decoded_sha256 for r in got} == {hashlib.sha256(x).hexdigest() for x in (b"", b"hello you")}
+
+
 def test_bpe_odd_texts():
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = bpe.public_vocabulary()
