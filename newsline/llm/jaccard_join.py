@@ -421,3 +421,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at a similarity of 0.85 on four-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS token FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS both_ FROM t a JOIN t b ON a.token = b.token AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * both_ >= 85 * (na + nb - both_)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = s.doc_id
+"""

@@ -19,5 +19,9 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op3_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op4_ngram_jaccard": jaccard_join.ORACLE_SQL,
+    "op6_chat_format": chat_format.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
 }
