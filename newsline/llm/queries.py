@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsline.llm import bpe, chat_format, decontaminate, embedding_dedup, html_text, jaccard_join, language_id, line_dedup, mixing, substring_dedup, warc
+from newsline.llm import bpe, chat_format, decontaminate, embedding_dedup, filter_audit, hard_negatives, html_text, jaccard_join, language_id, line_dedup, mixing, substring_dedup, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_source_mix": mixing.op13_source_mix,
 }
 
@@ -25,5 +27,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": jaccard_join.ORACLE_SQL,
     "op6_chat_format": chat_format.ORACLE_SQL,
     "op9_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op12_filter_audit": filter_audit.ORACLE_SQL,
     "op13_source_mix": mixing.ORACLE_SQL,
 }
