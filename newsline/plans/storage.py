@@ -6,6 +6,7 @@ Everything that outlives one stage goes to the folder that the session names in
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -54,3 +55,18 @@ def partitions(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: str = "8m"):
+    """While it lasts, rows go to Python by bytes: for actions on rows that may be large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
