@@ -42,6 +42,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    # A stream that ends needs no store between batches; an open one holds some MB on its executor's disk.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
