@@ -95,32 +95,83 @@ def entity_vocabulary(entries: DataFrame) -> DataFrame:
     return rows.groupBy("surface").agg(F.min(F.struct("canonical", "type")).alias("e")).select("surface", "e.canonical", "e.type")
 
 
+#: Pieces whose lengths are summed together.
+PIECES = 256
+
+
+def _block_starts(pieces: Column) -> Column:
+    """Where each block of PIECES pieces begins."""
+    size = lambda at: F.length(F.array_join(F.slice(pieces, at + 1, PIECES), ""))
+    sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(PIECES)), size)
+    return F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+
+
+_SPAN = "array<struct<start:int,back:int,canonical:string,type:string>>"
+
+
+def _no_self_overlap(hits: Column) -> Column:
+    """Of occurrences of one surface that overlap each other the earlier stay; ``hits`` is sorted by (surface, start)."""
+    empty = F.array().cast("array<struct<surface:string,start:int,back:int,canonical:string,type:string>>")
+    same = lambda a, x: (a.surface == x.surface) & (x.start < a.upto)
+    state = lambda surface, upto, k: F.struct(surface.alias("surface"), upto.alias("upto"), k.alias("k"))
+    begin = state(F.lit(""), F.lit(0), empty)
+    kept = F.aggregate(hits, begin, lambda a, x: F.when(same(a, x), a).otherwise(state(x.surface, -x.back, F.concat(a.k, F.array(x)))), lambda a: a.k)
+    return F.transform(kept, lambda x: F.struct(x.start.alias("start"), x.back.alias("back"), x.canonical.alias("canonical"), x.type.alias("type")))
+
+
+def _leftmost_longest(spans: Column) -> Column:
+    """Spans sorted by (start, -end) without those that begin before the last one kept ends."""
+    state = lambda upto, k: F.struct(upto.alias("upto"), k.alias("k"))
+    step = lambda a, x: F.when(x.start >= a.upto, state(-x.back, F.concat(a.k, F.array(x)))).otherwise(a)
+    return F.aggregate(spans, state(F.lit(0), F.array().cast(_SPAN)), step, lambda a: a.k)
+
+
 def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(id, start, end, text, type): names at word boundaries in folded text, half-open spans from 0.
 
-    Names have any length and may begin or end with other characters than words have; one without any
-    letter or digit never matches. A text's distinct words are joined with the names' first words, so
-    only names that may occur meet a text, and only texts with such names move. Of overlapping
-    spans the earliest start stays, then the longest; later ones are dropped. ``id`` is unique.
+    A text is a run of pieces, words and what stands between. Names are a trie of two levels: the first word
+    tells which numbers of words names that begin so have, and only at words that begin a name the run of that
+    many words is looked up as a whole, with equal strings, however many names share the first word. What a name has
+    before its first and behind its last letter or digit is compared with the pieces beside. Work grows with the
+    words of the texts and with the lengths at a first word, not with the names.
+
+    Names have any length; one without any letter or digit never matches. Of occurrences of one name that overlap, the
+    earlier ones count; of overlapping names the earliest start stays, then the longest. ``id`` is unique.
     """
     # Folding keeps the number of characters, so places in the folded text are places in the text.
     folded = df.select("id", fold_key(F.col("body")).alias("t")).where("t is not null")
-    named = vocabulary.select("surface", "canonical", "type", F.regexp_extract("surface", WORD + "+", 0).alias("word")).where("word != ''")
-    words = folded.select("id", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD + "+"), F.lit(0)))).alias("word"))
-    listed = words.join(named, "word").groupBy("id").agg(F.collect_set(F.struct("surface", "canonical", "type")).alias("names"))
-    # The pieces between a name's occurrences give its places; all of a text is worked out in its own row.
-    quoted = lambda n: F.concat(F.lit(rf"(?<!{WORD})\Q"), F.replace(n.surface, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(rf"\E(?!{WORD})"))
-    gaps = lambda n: F.transform(F.split(F.col("t"), quoted(n), -1), lambda x: F.length(x))
-    upto = lambda g, i: F.aggregate(F.slice(g, 1, i + 1), F.lit(0), lambda a, x: a + x)
-    span = lambda n, start: F.struct(start.alias("start"), (-start - F.length(n.surface)).alias("back"), n.canonical.alias("canonical"), n.type.alias("type"))
-    places = lambda n, g: F.transform(F.sequence(F.lit(1), F.size(g)), lambda i: F.when(i < F.size(g), span(n, upto(g, i - 1) + (i - 1) * F.length(n.surface))))
-    hits = F.transform(F.filter("names", lambda n: F.contains(F.col("t"), n.surface)), lambda n: F.flatten(F.transform(F.array(gaps(n)), lambda g: places(n, g))))
-    found = folded.join(listed, "id").select("id", F.sort_array(F.filter(F.flatten(hits), lambda x: x.isNotNull())).alias("h"))
-    kept = F.aggregate(
-        "h", F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<start:int,back:int,canonical:string,type:string>>").alias("k")),
-        lambda a, x: F.when(x.start >= a.upto, F.struct((-x.back).alias("upto"), F.concat(a.k, F.array(x)).alias("k"))).otherwise(a), lambda a: a.k,
+    pieces = folded.select("id", F.regexp_extract_all("t", F.lit(f"(?s){WORD}+|(?:(?!{WORD}).)+"), F.lit(0)).alias("pieces"))
+    core = F.regexp_extract("surface", f"(?s){WORD}(?:.*{WORD})?", 0)
+    named = vocabulary.select("surface", "canonical", "type", core.alias("core")).where("core != ''")
+    lead = F.regexp_extract("surface", f"(?s)^(?:(?!{WORD}).)*", 0)
+    named = named.select("*", lead.alias("lead"), F.expr("substring(surface, length(lead) + length(core) + 1)").alias("trail"))
+    words = F.size(F.regexp_extract_all("core", F.lit(WORD + "+"), F.lit(0)))
+    named = named.select("*", F.regexp_extract("core", WORD + "+", 0).alias("word"), words.alias("words"))
+    firsts = named.groupBy("word").agg(F.collect_set("words").alias("sizes"))
+    # The outer form: for the inner one Spark infers a filter that works the array out again, before rows are dealt out.
+    places = pieces.select("id", F.posexplode_outer("pieces").alias("at", "word")).join(firsts, "word")
+    asked = places.groupBy("id").agg(F.collect_list(F.struct("at", "sizes")).alias("asked"))
+    runs = pieces.join(asked, "id")
+    each = F.flatten(F.transform("asked", lambda a: F.transform(a.sizes, lambda n: F.struct(a["at"].alias("at"), n.alias("n")))))
+    fits = F.filter(each, lambda x: x["at"] + 2 * x.n - 1 <= F.size("pieces"))
+    inside = lambda at: F.length(F.array_join(F.slice("pieces", at - at % PIECES + 1, at % PIECES), ""))
+    start = lambda at, starts: F.get(starts, F.floor(at / PIECES).cast("int")) + inside(at)
+    run = lambda x, starts: F.struct(
+        F.array_join(F.slice("pieces", x["at"] + 1, 2 * x.n - 1), "").alias("core"), start(x["at"], starts).alias("start"),
+        F.when(x["at"] > 0, F.get("pieces", x["at"] - 1)).otherwise("").alias("before"), F.coalesce(F.get("pieces", x["at"] + 2 * x.n - 1), F.lit("")).alias("behind"),
+        (x["at"] <= 1).alias("first"), (x["at"] + 2 * x.n + 1 > F.size("pieces")).alias("last"),
     )
-    found = found.select("id", F.explode(kept).alias("k"))
+    # The starts are bound once a text; as a column of their own they would be worked out at every place.
+    bound = F.flatten(F.transform(F.array(_block_starts(F.col("pieces"))), lambda starts: F.transform(fits, lambda x: run(x, starts))))
+    looked = runs.select("id", F.explode_outer(bound).alias("r")).select("id", "r.*").join(named, "core")
+    # A name's edge may not touch a word: more of the piece beside is left, or the text ends there.
+    left = (F.col("lead") == "") | (F.endswith("before", F.col("lead")) & ((F.length("before") > F.length("lead")) | F.col("first")))
+    right = (F.col("trail") == "") | (F.startswith("behind", F.col("trail")) & ((F.length("behind") > F.length("trail")) | F.col("last")))
+    start = F.col("start") - F.length("lead")
+    hit = F.struct("surface", start.cast("int").alias("start"), (-start - F.length("surface")).cast("int").alias("back"), "canonical", "type")
+    hits = looked.where(left & right).groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("h"))
+    found = hits.select("id", F.sort_array(_no_self_overlap(F.col("h"))).alias("h"))
+    found = found.select("id", F.explode_outer(_leftmost_longest(F.col("h"))).alias("k"))
     return found.select("id", "k.start", (-F.col("k.back")).alias("end"), F.col("k.canonical").alias("text"), "k.type")
 
 

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from newsline.plans.storage import spread
+
 BASE = ("documents", "events", "embeddings", "pages")
+#: Tables of texts, where a row is much work.
+LONG = ("documents", "pages")
 
 ADAPTERS: dict[str, str] = {
     "sources": """
@@ -49,7 +53,8 @@ def load(spark: SparkSession, sf_dir: str) -> SparkSession:
     """Register the input tables and the news tables as temporary views; nothing is computed."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in BASE:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        (spread(rows) if name in LONG else rows).createOrReplaceTempView(name)
     for name, sql in ADAPTERS.items():
         spark.sql(sql).createOrReplaceTempView(name)
     return spark

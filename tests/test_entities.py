@@ -48,3 +48,16 @@ def test_random_texts(spark):
     pieces = ["Koç", " ", " ", ".", "A.Ş.", "TCMB", "Merkez Bankası", "'x", "ı", "İ", "\n", "Halkların Eşitlik ve Demokrasi Partisi", "_", "M.B."]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(150)]
     assert run(spark, texts) == {i: slow(t, [e for e in ENTRIES if e[0] != "***"]) for i, t in enumerate(texts)}
+
+
+def test_many_names_of_one_first_word_and_edges(spark):
+    """A common first word with very many names; names that overlap themselves; edges that touch words or the text's ends; a long text."""
+    entries = [(f"the {a} {b}", "PERSON", ()) for a in "abcdefgh" for b in "abcdefgh"] + [("the", "PARTY", ()), ("a the a", "COMPANY", ()), ("(x) y", "PERSON", ()), ("z..", "PARTY", ("'q'",))]
+    rng = random.Random(4)
+    pieces = ["the", "a", "b", "c", "x", "(x) y", "z..", "z.", "'q'", "'", "q", " ", " ", " ", "(", ")", "\n", "."]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    texts += ["the a the a the b", "q'q'q'", "'q'", "(x) y", "y(x) y", "z..", "z..z", "the a b " * 3000]
+    vocabulary = entity_vocabulary(spark.createDataFrame(entries, "canonical string, type string, aliases array<string>"))
+    found = extract_entities(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), vocabulary).collect()
+    for i, text in enumerate(texts):
+        assert sorted((r.start, r.end, r.text, r.type) for r in found if r.id == i) == slow(text, entries), text[:60]
