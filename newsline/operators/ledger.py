@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsline.functions.text import tokens, tr_lower
 from newsline.operators.ingest import upsert
+from newsline.plans.live import drop_days
 from newsline.plans.storage import materialize
 
 STAGES = ("ingest", "normalize", "cluster", "score", "arcs", "write", "tts")
@@ -55,6 +58,12 @@ def apply_retention(df: DataFrame, table: str, at: str, now: Column) -> DataFram
     return df if days is None else df.where(F.col(at).isNull() | (F.col(at) >= now - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def expire_days(spark: SparkSession, path: str, table: str, now: dt.datetime) -> list[str]:
+    """Drop the day folders of a dated table (``plans.live``) that the table's rule no longer keeps any row of; the days dropped (H5)."""
+    days = KEEP_DAYS.get(table)
+    return [] if days is None else drop_days(spark, path, (now - dt.timedelta(days=days)).date())
+
+
 def _ends(hops: DataFrame) -> DataFrame:
     """(arc, to) with the end of each chain of merges; merges that run in a circle, or into one, are void."""
     hops = materialize(hops, "merges")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsline.functions import text as t
 from newsline.operators import ingest as op
+from newsline.plans.live import KeyedTable
 from newsline.plans.storage import scratch
 from newsline.registry import register
 from newsline.sources import feeds, pages
@@ -40,6 +41,21 @@ def upsert_latest_event(spark: SparkSession):
     return op.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 = 1"), ["user_id", "event_type"], "version")
 
 
+@register("merged_latest_event", """
+, r AS (SELECT user_id, event_type, event_id AS version, CASE event_id % 4 WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS batch FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY batch DESC, version DESC) AS n FROM r)
+SELECT user_id, event_type, version, batch FROM k WHERE n = 1""")
+def merged_latest_event(spark: SparkSession):
+    """The latest event of each user and kind, kept in a table that two batches are merged into."""
+    batch = F.when(F.col("event_id") % 4 == 3, 2).when(F.col("event_id") % 4 == 1, 1).otherwise(0).alias("batch")
+    rows = spark.table("events").select("user_id", "event_type", F.col("event_id").alias("version"), batch)
+    table = KeyedTable.create(rows.where("batch = 0"), scratch(spark, "merged"), ["user_id", "event_type"], "version", buckets=32)
+    for n in (1, 2):
+        table.upsert(rows.where(F.col("batch") == n))
+    table.vacuum()
+    return table.read()
+
+
 @register("insert_ignore_new", """
 , b AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM (SELECT user_id, event_type, event_id FROM events WHERE event_id % 3 = 0))
 SELECT user_id, event_type, event_id FROM b WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_id % 3 = 1 AND e.user_id = b.user_id AND e.event_type = b.event_type)""")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from newsline.operators import ledger as op
+from newsline.plans.live import write_dated
+from newsline.plans.storage import scratch
 from newsline.queries.news import LINKED, NOW
 from newsline.registry import register
 
@@ -52,6 +56,17 @@ def retained_rows(spark: SparkSession):
     return op.apply_retention(spark.table("events"), "raw_articles", "ts", F.expr("TIMESTAMP '2024-04-10 00:00:00'")).select("event_id")
 
 
+@register("retained_days", """
+SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, min(event_id) AS first_id FROM events WHERE CAST(ts AS DATE) >= CAST(TIMESTAMP '2024-04-10 06:00:00' - INTERVAL 90 DAYS AS DATE) GROUP BY 1""")
+def retained_days(spark: SparkSession):
+    """What a table of one folder a day holds after retention has dropped folders."""
+    path = scratch(spark, "dated")
+    write_dated(spark.table("events").select("event_id", "ts"), path, "ts")
+    op.expire_days(spark, path, "raw_articles", dt.datetime(2024, 4, 10, 6))
+    rows = spark.read.parquet(path)
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
 CLUSTERS = "SELECT cluster_id, CAST(raw_severity AS INT) AS final_severity, concat('arc_', CAST(CAST(substr(cluster_id, 4, 4) AS INT) AS STRING)) AS arc_id FROM clusters"
 #: Merges in a chain (arcs 0 to 3), in a circle (5 to 7) and into that (4).
 OVERRIDES = """

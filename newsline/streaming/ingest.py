@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from newsline.functions.text import article_id
-from newsline.operators.ingest import insert_ignore
+from newsline.plans.live import folders
 
 
 def stream_ingest(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -16,21 +20,91 @@ def stream_ingest(stream: DataFrame, delay: str = "2 days") -> DataFrame:
     return keyed.withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["id"])
 
 
+#: Keys live in RocksDB on the executors' disks, their changes in the checkpoint; a store is open only while a batch runs.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, streams that start keep their state as STATE says."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.sort_values(["fetched_at", "url"], kind="stable").drop_duplicates("id")
+
+
+class FirstArrival(StatefulProcessor):
+    """Gives a key's earliest row of the first batch that has the key, and nothing from then on."""
+
+    def init(self, handle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda r: (r.fetched_at is None, r.fetched_at, r.url))
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield first
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.seen.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+def first_arrivals(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """First arrival of each (source_id, url) over any horizon, with its id.
+
+    A micro-batch looks up its own keys in the state and reads nothing else of the history. Rows
+    without source or url are dropped, those without time come last. ``known``: (id) rows that count as arrived when the stream first starts.
+    """
+    keyed = stream.withColumn("id", article_id(F.col("source_id"), F.col("url"))).where("id is not null")
+    small = keyed.mapInPandas(_earliest, keyed.schema)  # a URL that comes again and again reaches its key once a batch of rows
+    start = known.select("id").distinct().groupBy("id") if known is not None else None
+    return small.groupBy("id").transformWithState(FirstArrival(), keyed.schema, "Append", "None", initialState=start)
+
+
 def ingest_into(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append first arrivals to a table over any horizon: each batch is anti-joined with what is there.
+    """Append first arrivals to a table over any horizon.
 
-    A batch is written to a folder of its own number, so a batch that is run again replaces itself.
+    A batch is written to a folder of its own number, so a batch that is run again replaces itself. With a new
+    checkpoint what the table holds counts as arrived, and batches go on behind its last.
     """
+    spark = stream.sparkSession
+    there, begun = folders(spark, path), folders(spark, checkpoint)
+    known, base = None, 0
+    if begun:
+        base = int(_base(spark, checkpoint))
+    else:
+        batches = [int(n.partition("=")[2]) for n in there if n.startswith("batch=")]
+        known, base = spark.read.parquet(path) if batches else None, max(batches, default=-1) + 1
+        spark.createDataFrame([(str(base),)], "base string").coalesce(1).write.text(f"{checkpoint}/newsline-base")
 
     def land(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        keyed = batch.withColumn("id", article_id(F.col("source_id"), F.col("url"))).where("id is not null")
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
-        have = spark.read.parquet(path).where(F.col("batch") != number) if there else keyed.limit(0)
-        insert_ignore(have, keyed, ["id"], ["fetched_at", "url"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{path}/batch={base + number}")
+
+    with keyed_state(spark):
+        return first_arrivals(stream, known).writeStream.foreachBatch(land).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _base(spark: SparkSession, checkpoint: str) -> str:
+    return spark.read.text(f"{checkpoint}/newsline-base").first()[0]
 
 
 def stream_source_health(stream: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
