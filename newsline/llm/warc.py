@@ -252,41 +252,80 @@ def _plain_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
         at = begin + length
 
 
+class _Member:
+    """The bytes of one gzip member, unpacked as they are asked for."""
+
+    def __init__(self, f, at: int):
+        f.seek(at)
+        self.f, self.unpack, self.held, self.used = f, zlib.decompressobj(31), bytearray(), 0
+
+    def more(self) -> bool:
+        """Unpack some more; False at the member's end."""
+        if self.unpack.eof:
+            return False
+        raw = self.f.read(65536)
+        if not raw:
+            raise ValueError("a record is cut off")
+        self.used += len(raw)
+        self.held += self.unpack.decompress(raw)
+        return True
+
+    def headers(self) -> dict[str, str] | None:
+        """The next record's headers; None if there is no further record."""
+        while True:
+            del self.held[: len(self.held) - len(self.held.lstrip(b"\r\n"))]
+            if self.held or not self.more():
+                break
+        if not self.held:
+            return None
+        while (end := self.held.find(b"\r\n\r\n")) < 0:
+            if not self.more():
+                raise ValueError("a record's headers are cut off")
+        found = _parse(bytes(self.held[:end]))
+        del self.held[: end + 4]
+        if "content-length" not in found:
+            raise ValueError("a record is cut off")
+        return found
+
+    def block(self, length: int, enough) -> bytes:
+        """Pass over a record's block; what is given back goes on until ``enough`` says so, the rest is not kept."""
+        kept = bytearray()
+        while length:
+            if not self.held and not self.more():
+                raise ValueError("a record is cut off")
+            part = self.held[:length]
+            if not enough(kept):
+                kept += part
+            length -= len(part)
+            del self.held[: len(part)]
+        return bytes(kept)
+
+    def end(self) -> int:
+        """How long the packed member is, once it is read to its end."""
+        return self.used - len(self.unpack.unused_data)
+
+
 def _gzip_records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes]]:
+    """Records of any number of members: own members hold one record and say how long they are, so unwanted payloads aren't unpacked; others are read through, whatever records they hold."""
     at, size = 0, f.size()
     while at < size:
         f.seek(at)
-        raw = f.read(16384)
-        known = struct.unpack("<I", raw[16:20])[0] if raw[3:4] == b"\x04" and raw[12:14] == b"sl" else 0
-        unpack, got = zlib.decompressobj(31), b""
-        got += unpack.decompress(raw)
-        used = len(raw)
-        while b"\r\n\r\n" not in got and not unpack.eof and raw:
-            raw = f.read(16384)
-            used += len(raw)
-            got += unpack.decompress(raw)
-        head, _, block = got.partition(b"\r\n\r\n")
-        headers = _parse(head)
-        if "content-length" not in headers or at + known > size:
+        front = f.read(20)
+        known = struct.unpack("<I", front[16:20])[0] if front[3:4] == b"\x04" and front[12:14] == b"sl" else 0
+        if at + known > size:
             raise ValueError("a record is cut off")
-        length = int(headers["content-length"])
-        keep = wanted(headers)
-        parts, have = [block], len(block)
-        while not unpack.eof and raw:
-            enough = have >= length or not payload and _has_head(headers, b"".join(parts))
-            if known and (not keep or enough):
+        member = _Member(f, at)
+        while (headers := member.headers()) is not None:
+            keep = wanted(headers)
+            if known and not keep:
                 break
-            raw = f.read(65536)
-            used += len(raw)
-            more = unpack.decompress(raw)
-            if keep and not enough:
-                parts.append(more)
-            have += len(more)
-        if not known and not unpack.eof:
-            raise ValueError("a record is cut off")
-        if keep:
-            yield headers, b"".join(parts)[:length]
-        at += known or used - len(unpack.unused_data)
+            whole = lambda kept: not keep or (not payload and _has_head(headers, kept))  # noqa: B023, E731
+            block = member.block(int(headers["content-length"]), whole)
+            if keep:
+                yield headers, block
+            if known:
+                break
+        at += known or member.end()
 
 
 class WarcDataSource(DataSource):

@@ -96,6 +96,24 @@ def test_long_http_headers_and_cut_off_records(spark, tmp_path, form):
         spark.read.format("warc").load(str(tmp_path)).collect()
 
 
+def test_members_with_many_records(spark, tmp_path):
+    """Foreign archives may pack any number of records in one member, and members of both forms in one file."""
+    warc.register(spark)
+
+    def record(i, size, kind="response"):
+        http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b"%d " % i * size
+        return b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind.encode(), i, len(http), http)
+
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record(1, 5) + record(2, 90_000) + record(3, 0)) + gzip.compress(record(4, 7)) + gzip.compress(record(5, 1, "metadata") + record(6, 40_000)))
+    got = sorted((r.record_id, r.payload_bytes, len(r.payload)) for r in spark.read.format("warc").load(str(tmp_path)).collect())
+    assert got == [("urn:1", 10, 10), ("urn:2", 180_000, 180_000), ("urn:3", 0, 0), ("urn:4", 14, 14), ("urn:5", 2, 2), ("urn:6", 80_000, 80_000)]
+    some = spark.read.format("warc").option("payload", "false").load(str(tmp_path)).where("record_type = 'response'").select("record_id", "payload_bytes").collect()
+    assert sorted((r.record_id, r.payload_bytes) for r in some) == [(i, n) for i, n, _ in got if i != "urn:5"]
+    (tmp_path / "x.warc.gz").write_bytes(gzip.compress(record(1, 5) + record(2, 90)[:-60]))
+    with pytest.raises(Exception, match="cut off"):
+        spark.read.format("warc").load(str(tmp_path)).collect()
+
+
 def test_null_ids_and_repeated_rows(spark, write):
     """A row without page_id is a response of its own; repeated rows of one page are all responses or all revisits."""
     rows = [(None, "u", BIG, 0), (9, "u", BIG, 0), (9, "u", BIG, 0), (2, "u", BIG, 0), (2, "u", BIG, 0), (None, None, None, 0)]
