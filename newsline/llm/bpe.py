@@ -292,9 +292,11 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """``df`` with ids array<int> and n_tokens long."""
+    """``df`` with ids array<int> and n_tokens long; a column of these names in ``df`` is an error."""
+    if clash := {"ids", "n_tokens"} & {*df.columns}:
+        raise ValueError(f"df has columns {sorted(clash)} already")
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in ("ids", "n_tokens")]
+    kept = df.columns
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,6 +26,13 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+def free_name(df, name: str) -> str:
+    """``name``, with underscores until the table has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def released(run):
     """``run`` over batches, giving freed memory back to the system when the task ends: workers live on and serve other operators."""
 

@@ -216,9 +216,11 @@ def learn(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Models:
 
 def predict_rows(docs: DataFrame, models: Models, name: str = "_language") -> DataFrame:
     """``docs`` with a struct ``name`` of lang_pred, score, rejected and cross_entropy (nats a symbol, null if undetermined), from the column text; nothing is shuffled."""
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name} already")
     bounded_batches(docs.sparkSession)
     packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(models))
-    kept = [c for c in docs.columns if c != name]
+    kept = docs.columns
     text = kept.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -54,3 +54,16 @@ def test_null_and_repeated_ids(spark, write):
     assert (count("decontaminate", 4), count("decontaminate", None)) == (0, 2)
     assert len(kept["byte_bpe"]) == len(rows)
     assert cp.run(spark, folder).count() > 0
+
+
+def test_columns_of_any_name_come_through(spark, write):
+    cp = importlib.import_module("corpus_pipeline")
+    text = "\n".join(f"some words of line number {i} that say a little more than nothing at all" for i in range(12))
+    rows = [(i, text.replace("number", f"number {i}"), "en", "s", 1, f"a{i}", i, -i, "b") for i in range(40)]
+    folder = write("documents", rows, "doc_id long, text string, lang string, source string, n_chars long, _language string, _n_lines int, _n_removed int, component_id string")
+    write("benchmark", [(1, "not in any of them")], "item_id long, text string")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r._language, r._n_lines, r._n_removed, r.component_id) for r in out.collect()} <= {(r[0], *r[5:]) for r in rows} and out.count() > 0

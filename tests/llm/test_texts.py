@@ -177,7 +177,8 @@ def spans(lines):
             parts.append((begin, j + 1))
             begin = j + 1
     wider = parts + [(a - 1, b) for a, b in parts if a] + [(a, b + 1) for a, b in parts if b < len(lines)]
-    return sorted({(a, b) for a, b in wider if b - a >= line_dedup.MIN_LINES})
+    content = lambda a, b: sum(x.isalpha() or x.isnumeric() for x in "\n".join(lines[a:b]))
+    return sorted({(a, b) for a, b in wider if b - a >= line_dedup.MIN_LINES and content(a, b) >= line_dedup.MIN_CONTENT})
 
 
 def chunks(rows):
@@ -201,6 +202,27 @@ def test_op9(spark, folder):
     assert got == want and sum(x[2] for x in want.values()) > 0
 
 
+def test_op9_leaves_form_and_takes_any_column(spark):
+    """Blank lines, braces and rules stay where what stands between them differs; columns of any name come through."""
+    name = lambda i, k: f"paragraph {k} of document {i} says something of its own"
+    rows = [(i, "\n".join([name(i, 1), "", "", name(i, 2), "}", "}", "", "---", "", name(i, 3), ""]), i, "c", "x") for i in range(6)]
+    rows += [(10 + i, f"own {i}\n\n" + "a passage that is told again,\n\nline for line, in each of these\nand then ends here" + f"\n\nown end {i}", i, "c", "x") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lines int, _codes string, _further string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(got[i].text == t and got[i].n_removed == 0 for i, t, *_ in rows[:6])
+    assert sum(got[i].n_removed for i in (11, 12, 13)) >= 6 and all((got[i]._lines, got[i]._codes, got[i]._further) == (n, "c", "x") for i, _, n, *_ in rows)
+    with pytest.raises(ValueError, match="n_lines"):
+        line_dedup.dedup_lines(docs.withColumn("n_lines", F.lit(1)))
+
+
+def test_taken_names_raise(spark):
+    docs = spark.createDataFrame([(1, "some text", "x")], "doc_id long, text string, _language string")
+    with pytest.raises(ValueError, match="_language"):
+        language_id.predict_rows(docs, language_id.Models({}))
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(docs.withColumnRenamed("_language", "ids"), *bpe.public_vocabulary())
+
+
 def test_op9_finds_repeated_passages():
     """Of all lines in runs of two or more that stand earlier, nine in ten go, and no other line."""
     rng = random.Random(11)
