@@ -6,7 +6,7 @@ reads it. The last returns the token ids' counts and digests.
 
 Rows are judged alone by the first, fourth and fifth stage, whatever their ids. Line dedup leaves rows with a
 null doc_id as they are, and repeated rows count as one document and stay; near dedup keeps rows with a null
-doc_id and repeated rows of the document that stays. Null and empty texts have no language, so the first stage drops them.
+doc_id and repeated rows of the document that stays. Columns of any further name pass through all stages but the last. Null and empty texts have no language, so the first stage drops them.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsline.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup
+from newsline.llm.common import free_name
 from newsline.plans.storage import scratch, table
 
 #: Near copies: similarity in hundredths of sets of five-word shingles.
@@ -23,18 +24,18 @@ SHINGLE, PERCENT = 5, 80
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence stay; the labels given teach it (rows held out don't)."""
-    columns = docs.columns
+    columns, told = docs.columns, free_name(docs, "_language")
     models = language_id.learn(docs.where(~language_id.held_out()))
-    kept = language_id.predict_rows(docs, models).where(~F.col("_language.rejected"))
+    kept = language_id.predict_rows(docs, models, told).where(~F.col(told).getField("rejected"))
     return kept.select(columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Chunks of lines that stand earlier go; a document goes only if it had text and nothing is left."""
-    columns = docs.columns
-    done = line_dedup.dedup_lines(docs, counts=("_n_lines", "_n_removed"))
-    kept = done.where((F.col("_n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    return kept.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)
+    columns, removed = docs.columns, free_name(docs, "_n_removed")
+    done = line_dedup.dedup_lines(docs, counts=(free_name(docs, "_n_lines"), removed))
+    kept = done.where((F.col(removed) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    return kept.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
