@@ -212,8 +212,12 @@ def assemble_report(lines: DataFrame, run: str = "run_id") -> DataFrame:
 
 
 def validate_reports(reports: DataFrame, key: str = "run_id") -> DataFrame:
-    """(key, errors): missing title, missing, repeated, unexpected, unmarked or misordered sections, sections without content, and what a model may have left: placeholders, its prompt, its reasoning."""
+    """(key, errors): an empty report (then nothing else), another first non-blank line than the title, missing, repeated, unexpected, unmarked or misordered sections, sections without content, and what a model may have left: placeholders, its prompt, its reasoning."""
     reports = materialize(reports.select(key, "report"), "reports")  # read once for each kind of error
+    blank = F.coalesce(F.col("report").rlike(r"(?U)^\s*$"), F.lit(True))
+    empty = reports.where(blank).select(key, F.array(F.lit("empty")).alias("errors"))
+    reports = reports.where(~blank)
+    title = F.trim(F.filter(F.split("report", "\n"), lambda x: F.trim(x) != "")[0])
     lines = reports.select(key, F.posexplode(F.split("report", "\n")).alias("pos", "line"))
     number = F.coalesce(*(F.when(F.col("line") == s, F.lit(i)) for i, s in enumerate(SECTIONS)), F.when(F.col("line").startswith("## "), F.lit(-1)))
     order = Window.partitionBy(key).orderBy("pos")
@@ -229,18 +233,18 @@ def validate_reports(reports: DataFrame, key: str = "run_id") -> DataFrame:
     for x in PROMPT_ECHOES[1:]:
         echo = echo | F.contains(F.col("line"), F.lit(x))
     found = [
-        reports.where(~F.coalesce(F.split("report", "\n")[0].startswith("# "), F.lit(False))).select(key, F.lit("no_title").alias("e")),
+        reports.where(title != TITLE).select(key, F.lit("no_title").alias("e")),
         counts.where("count is null").select(key, named("missing").alias("e")), counts.where("count > 1").select(key, named("repeated").alias("e")),
         heads.where("n < 0").select(key, F.lit("unexpected").alias("e")), heads.where((F.col("n") < 0) & ~F.col("line").startswith("## ❯ ")).select(key, F.lit("unmarked").alias("e")),
         heads.where("n >= 0 and before > n").select(key, named("order").alias("e")), filled,
-        inside(F.contains(F.col("line"), F.lit(PLACEHOLDER)) | F.col("line").rlike(r"\{[a-z_]+\}|<[a-z_]+>|\[(?:başlık|özet|kategori)\]"), "placeholder"),
+        inside(F.contains(F.col("line"), F.lit(PLACEHOLDER)), "placeholder"),
         inside(echo, "prompt_echo"), inside(F.col("line").rlike(r"^\s*(?:Adım\s*\d+|Gerekçe)\s*:"), "reasoning"),
     ]
     rows = found[0]
     for x in found[1:]:
         rows = rows.union(x)
     errors = rows.groupBy(key).agg(F.sort_array(F.collect_set("e")).alias("errors"))
-    return reports.select(key).join(errors, key, "left").select(key, F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    return reports.select(key).join(errors, key, "left").select(key, F.coalesce("errors", F.array().cast("array<string>")).alias("errors")).union(empty)
 
 
 def system_log(runs: DataFrame, header: DataFrame, failed: DataFrame, failed_sections: DataFrame) -> DataFrame:

@@ -164,7 +164,7 @@ def assembled_reports(spark: SparkSession):
 , bl AS (SELECT run_id, unnest(string_split(report, chr(10))) AS line, generate_subscripts(string_split(report, chr(10)), 1) AS pos FROM br)
 , bn AS (SELECT *, CASE line {" ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(op.SECTIONS))} ELSE CASE WHEN line LIKE '## %' THEN -1 END END AS n FROM bl)
 , ba AS (SELECT *, last_value(n IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY pos) AS own FROM bn)
-, be AS (SELECT run_id, 'no_title' AS e FROM bl WHERE pos = 1 AND line NOT LIKE '# %'
+, be AS (SELECT run_id, 'no_title' AS e FROM (SELECT run_id, arg_min(trim(line), pos) AS title FROM bl WHERE trim(line) <> '' GROUP BY run_id) WHERE title <> '{op.TITLE}'
 UNION SELECT r.run_id, 'missing:' || CAST(t.section AS STRING) FROM rp r CROSS JOIN (VALUES {MARKERS}) t(section, marker, note) WHERE NOT EXISTS (SELECT 1 FROM bn WHERE bn.run_id = r.run_id AND bn.n = t.section)
 UNION SELECT run_id, 'unexpected' FROM bn WHERE n = -1 UNION SELECT run_id, 'unmarked' FROM bn WHERE n = -1 AND line NOT LIKE '## ❯ %'
 UNION SELECT run_id, 'placeholder:' || CAST(own AS STRING) FROM ba WHERE own >= 0 AND n IS NULL AND contains(line, '{op.PLACEHOLDER}')

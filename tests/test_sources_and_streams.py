@@ -125,3 +125,11 @@ def test_override_chains(spark):
     c, a = ledger.apply_overrides(clusters, arcs, spark.createDataFrame(log, "at timestamp, action string, target_id string, new_value string"))
     assert {r.cluster_id: (r.final_severity, r.arc_id) for r in c.collect()} == {"c1": (1, "a4"), "c2": (3, "a77"), "c3": (0, "a9")}
     assert {r.id: (r.state, r.headline) for r in a.collect()} == {"a1": ("RESOLVED", "h"), "a2": ("RESOLVED", "h"), "a3": ("RESOLVED", "h"), "a4": ("OPEN", "h"), "a9": ("OPEN", "new"), "a77": ("OPEN", None)}
+
+
+def test_report_title_and_empty_reports(spark):
+    """The title is the first line with text, to the letter; an empty report has one error; words in brackets are no leftovers."""
+    full = report.assemble_report(spark.createDataFrame([("r", 0, "a", "x <yer> {ad}")], "run_id string, section int, rank string, line string")).first().report
+    rows = [("blank first", "\n \n" + full), ("other title", full.replace(report.TITLE, report.TITLE + "!")), ("text first", "x\n" + full), ("empty", ""), ("blank", " \n\t\n"), ("null", None)]
+    got = {r.run_id: r.errors for r in report.validate_reports(spark.createDataFrame(rows, "run_id string, report string")).collect()}
+    assert got == {"blank first": [], "other title": ["no_title"], "text first": ["no_title"], "empty": ["empty"], "blank": ["empty"], "null": ["empty"]}
