@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from newsline.operators import linking, stories
-from newsline.operators.vectors import embed_with, hashed_bow, similar_pairs, dense_blocks, top_k_similar
+from newsline.operators.vectors import centroid, embed_with, hashed_bow, similar_pairs, dense_blocks, top_k_similar
 
 START = dt.datetime(2024, 1, 1)
 
@@ -129,3 +129,15 @@ def test_bow_is_unit_and_repeats_count(spark):
     df = spark.createDataFrame([(1, "A a b"), (2, "")], "id long, t string")
     got = hashed_bow(df, "id", "t").collect()
     assert {r.id for r in got} == {1} and abs(sum(r.weight**2 for r in got) - 1) < 1e-12 and round(max(r.weight for r in got), 6) == 0.894427
+
+
+def test_centroids(spark):
+    """Means of any keys: ragged vectors, null components, null and empty vectors, one key with most rows."""
+    rng = np.random.default_rng(8)
+    rows = [("big" if i % 3 else f"k{i % 40}", rng.normal(size=6).tolist()) for i in range(500)]
+    rows += [(None, [1.0, None]), (None, [3.0, None, 5.0]), ("gone", None), ("gone", []), ("nan", [float("nan"), 2.0])]
+    got = {r.k: r.centroid for r in centroid(spark.createDataFrame(rows, "k string, v array<double>").repartition(5), "k", "v").collect()}
+    want = {k: np.mean([v for x, v in rows if x == k], axis=0) for k in {k for k, _ in rows[:500]}}
+    assert set(got) == {*want, None, "nan"} and all(np.allclose(got[k], want[k]) for k in want)
+    assert got[None] == [2.0, None, 5.0] and np.isnan(got["nan"][0]) and got["nan"][1] == 2.0
+    assert centroid(spark.createDataFrame([], "k int, v array<float>"), "k", "v").count() == 0
