@@ -32,7 +32,7 @@ from newsline.plans.storage import bounded_batches, materialize, partitions, scr
 LISTS_BYTES = 32 << 20
 #: Sampled vectors that centroids are trained on, at most; and those kept for calibration.
 TRAIN, HELD_OUT = 1 << 17, 256
-ROUNDS = 6
+ROUNDS, TRAINERS = 6, 8
 PIECE, QUERIES, AT_ONCE = 1024, 4096, 256
 SEEDS = 4
 SLACK = 1e-6  # of angles
@@ -245,14 +245,14 @@ class VectorIndex:
         lists = max(1, min(lists or round(total**0.5), LISTS_BYTES // (8 * dim), TRAIN, total or 1))
         share = min(1.0, TRAIN / max(total, 1))
         chosen = F.pmod(F.xxhash64("id", "data"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + (share == 1.0))
-        sample = materialize(rows.where(chosen).select("id", "data").limit(TRAIN), "sample")
-        n = partitions(spark)
+        sample = materialize(rows.where(chosen).select("id", "data").limit(TRAIN).repartition(TRAINERS), "sample")
         seeds = sample.select("data").distinct().orderBy(F.xxhash64("data", F.lit(1)), "data").limit(lists).collect()
         centres = np.stack([np.frombuffer(r.data) for r in seeds]) if seeds else np.eye(1, dim)
         for _ in range(ROUNDS if seeds else 0):
             sent = spark.sparkContext.broadcast(centres)
-            sums = sample.repartition(n).mapInArrow(_sums(sent, dim), "list int, n long, data binary").repartition(n, "list")
-            for r in sums.mapInArrow(_merged, "list int, data binary").toLocalIterator():  # at most LISTS_BYTES in all
+            # The sample is bounded: a few tasks sum it, one adds their sums, a row a list.
+            sums = sample.coalesce(TRAINERS).mapInArrow(_sums(sent, dim), "list int, n long, data binary").repartition(1)
+            for r in sums.mapInArrow(_merged, "list int, data binary").collect():  # at most LISTS_BYTES in all
                 x = np.frombuffer(r.data)
                 if (norm := np.linalg.norm(x)) > 0:
                     centres[r.list] = x / norm
