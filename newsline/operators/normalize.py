@@ -95,14 +95,20 @@ def entity_vocabulary(entries: DataFrame) -> DataFrame:
     return rows.groupBy("surface").agg(F.min(F.struct("canonical", "type")).alias("e")).select("surface", "e.canonical", "e.type")
 
 
-#: Pieces whose lengths are summed together.
-PIECES = 256
+#: Pieces whose lengths are summed together. Pieces are read one by one: slice() copies the whole array at each call.
+PIECES = 32
+
+
+def _length(pieces: Column, first: Column, last: Column) -> Column:
+    """Characters of the pieces from first to last, those beyond the end counting none."""
+    size = lambda i: F.coalesce(F.length(F.get(pieces, i)), F.lit(0))
+    return F.aggregate(F.sequence(first, last), F.lit(0), lambda n, i: n + size(i))
 
 
 def _block_starts(pieces: Column) -> Column:
     """Where each block of PIECES pieces begins."""
-    size = lambda at: F.length(F.array_join(F.slice(pieces, at + 1, PIECES), ""))
-    sizes = F.transform(F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(PIECES)), size)
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(PIECES))
+    sizes = F.transform(firsts, lambda at: _length(pieces, at, at + PIECES - 1))
     return F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
 
@@ -154,10 +160,11 @@ def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     runs = pieces.join(asked, "id")
     each = F.flatten(F.transform("asked", lambda a: F.transform(a.sizes, lambda n: F.struct(a["at"].alias("at"), n.alias("n")))))
     fits = F.filter(each, lambda x: x["at"] + 2 * x.n - 1 <= F.size("pieces"))
-    inside = lambda at: F.length(F.array_join(F.slice("pieces", at - at % PIECES + 1, at % PIECES), ""))
+    inside = lambda at: F.when(at % PIECES == 0, 0).otherwise(_length(F.col("pieces"), at - at % PIECES, at - 1))
+    text = lambda at, n: F.aggregate(F.sequence(F.lit(0), 2 * n - 2), F.lit(""), lambda said, i: F.concat(said, F.get("pieces", at + i)))
     start = lambda at, starts: F.get(starts, F.floor(at / PIECES).cast("int")) + inside(at)
     run = lambda x, starts: F.struct(
-        F.array_join(F.slice("pieces", x["at"] + 1, 2 * x.n - 1), "").alias("core"), start(x["at"], starts).alias("start"),
+        text(x["at"], x.n).alias("core"), start(x["at"], starts).alias("start"),
         F.when(x["at"] > 0, F.get("pieces", x["at"] - 1)).otherwise("").alias("before"), F.coalesce(F.get("pieces", x["at"] + 2 * x.n - 1), F.lit("")).alias("behind"),
         (x["at"] <= 1).alias("first"), (x["at"] + 2 * x.n + 1 > F.size("pieces")).alias("last"),
     )
