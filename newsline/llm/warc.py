@@ -263,7 +263,7 @@ class _Member:
         """Unpack some more; False at the member's end."""
         if self.unpack.eof:
             return False
-        raw = self.f.read(65536)
+        raw = self.f.read(65536 if self.used else 16384)
         if not raw:
             raise ValueError("a record is cut off")
         self.used += len(raw)
