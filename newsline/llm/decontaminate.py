@@ -2,25 +2,26 @@
 
 Texts are lower-cased and cut into words of letters, digits and anything beyond ASCII. A
 benchmark item is its ``GRAM``-word shingles (all its words, if fewer); a window of a
-document is as many words as the item has. Shingles are weighted: a benchmark shingle by
-the logarithm of how few items have it, any other as the rarest. A window with no shingle of
-an item has similarity 0 with it, so only windows around a shared shingle that share enough
-weight are fingerprinted, with a weighted 64-bit SimHash, and meet the items they share shingles
-with. Fingerprints within ``RADIUS`` agree in one of ``BLOCKS`` blocks up to ``RADIUS // BLOCKS`` bits
-(pigeonhole); pairs that pass in some block and then in all bits are compared exactly:
-weighted Jaccard similarity of the window's and the item's shingle multisets, kept at
-``THRESHOLD`` or more. A document shorter than an item is one window.
-
-Recall: the radius is the only inexact step. Of 100,000 random pairs of windows at similarity
-0.8, 980 had fingerprints over 16 bits apart, 21 over 20, none over 23. ``tests/llm`` compares with a
-search of all windows and finds no difference.
+document is as many words as the item has; a document shorter than an item is one window.
+Shingles are weighted: a benchmark shingle by the logarithm of how few items have it, any other as
+the rarest.
+
+Steps of a document: 1. For each size of items, windows whose benchmark shingles, of whatever items, weigh
+``THRESHOLD`` times the lightest item of that size or more get a weighted SimHash of ``BITS`` bits (others can't be similar to an
+item of that size). 2. Fingerprints within ``RADIUS`` agree in one of ``BLOCKS`` blocks up to ``RADIUS // BLOCKS`` bits
+(pigeonhole): for each size and block a table holds the items by their block's value, and a window looks up every value
+so near to its own. These tables alone find a window's items. 3. Pairs found that are within the radius in all bits are compared
+exactly: weighted Jaccard similarity of the window's and the item's shingle multisets, kept at ``THRESHOLD`` or more.
+
+Recall: the radius is the only inexact step; ``tests/llm`` compares with a search of all windows and finds no difference.
+README states the distances measured at the threshold and how many candidates each step lets through.
 
 The benchmark is the bounded side: it is collected and broadcast as an index of at most about
 ``MAX_INDEX_BYTES`` (``INDEX_FACTOR`` bytes for a byte of text, checked first); a larger one is processed
 in several passes over parts of the items, with the same results.
 
 Nulls: null and empty texts have no words and match nothing, as items or documents; null ids
-stay null. Several rows with one doc_id each give rows; equal items all match. Empty tables give no rows.
+stay null; further columns of the documents are ignored by contaminated() and kept by without_items(). Several rows with one doc_id each give rows; equal items all match. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,32 +39,68 @@ from newsline.plans.storage import table
 
 GRAM = 5
 THRESHOLD = 0.8
-RADIUS = 23
-BLOCKS = 8
+BITS = 256
+BLOCKS = BITS // 16
+RADIUS = 63
 MAX_INDEX_BYTES = 256 << 20
 INDEX_FACTOR = 20
 
 _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_NEAR = np.array([bin(x).count("1") for x in range(256)])
+_ONES = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
+_SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of 64 bits of each shingle."""
-    return np.where(mix(hashes)[:, None] & _BITS, 1.0, -1.0)
+    """+1 or -1 for each bit of each shingle."""
+    mixed = mix(hashes[:, None] ^ _SEEDS)
+    return np.where(mixed[:, :, None] & _BITS, np.float32(1), np.float32(-1)).reshape(len(hashes), BITS)
 
 
 def _packed(sums: np.ndarray) -> np.ndarray:
-    return np.where(sums > 0, _BITS, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+    """Fingerprints as ``BLOCKS`` numbers of 16 bits a row."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
+
+
+class Tables:
+    """Items of one size by the values of their fingerprints' blocks."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray) -> None:
+        self.items, self.prints = items, prints
+        self.order = np.argsort(prints, axis=0, kind="stable")
+        self.values = np.take_along_axis(prints, self.order, axis=0)
+
+    def find(self, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(fingerprint number, item) of every pair within the radius, and how many pairs the tables gave before all bits were compared."""
+        masks = np.flatnonzero(_ONES <= radius // BLOCKS).astype(np.uint16)
+        rows, items, met = [], [], 0
+        for first in range(0, len(prints), 256):
+            own, pairs = prints[first : first + 256], []
+            for b in range(BLOCKS):
+                there = np.zeros(1 << 16, bool)
+                there[self.values[:, b]] = True
+                keys = own[:, b, None] ^ masks
+                row, mask = np.nonzero(there[keys])
+                low, high = (np.searchsorted(self.values[:, b], keys[row, mask], side) for side in ("left", "right"))
+                many = high - low
+                inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                pairs.append(np.repeat(row, many) * len(self.items) + self.order[np.repeat(low, many) + inside, b])
+            row, item = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+            near = np.bitwise_count(own[row] ^ self.prints[item]).sum(axis=1) <= radius
+            met += len(row)
+            rows.append(row[near] + first)
+            items.append(self.items[item[near]])
+        return np.concatenate(rows), np.concatenate(items), met
 
 
 class Items:
     """The benchmark: shingles, weights, fingerprints and block tables."""
 
-    def __init__(self, ids: list, texts: list[str], gram: int = GRAM, radius: int = RADIUS, counts: tuple | None = None) -> None:
+    def __init__(self, ids: list, texts: list[str], gram: int = GRAM, radius: int = RADIUS, counts: tuple | None = None, threshold: float = THRESHOLD) -> None:
         """``counts``: (shingles, how many items have each, number of items) of the whole benchmark, if this is a part of it."""
-        self.gram, self.radius = gram, radius
+        self.gram, self.radius, self.threshold = gram, radius, threshold
+        self.steps = dict.fromkeys(("windows", "fingerprints", "pairs_of_a_size", "pairs_from_tables", "pairs_within_radius", "matches"), 0)
         lowered = pa.array([(x or "").lower() for x in texts], pa.large_string())
         self.ids, self.sizes, self.shingles = [], [], []
         for row, data, offsets in slices(lowered):
@@ -79,27 +116,20 @@ class Items:
         every, times, total = counts or self.counts
         self.weights = 1 + np.log(max(total, 1) / np.maximum(times[np.searchsorted(every, self.known)], 1)) if len(self.known) else np.zeros(0)
         self.rare = 1 + np.log(max(total, 1))
-        self.prints = np.array([_packed(((self.weigh(x)[:, None] * _signs(x)).sum(0))[None])[0] for x in self.shingles], np.uint64)
-        # For shingle number s, the items owners[first[s] : first[s + 1]] have it.
-        number = [np.searchsorted(self.known, np.unique(x)) for x in self.shingles]
-        flat = np.concatenate(number or [np.zeros(0, np.int64)])
-        item = np.repeat(np.arange(len(number)), [len(x) for x in number])
-        order = np.argsort(flat, kind="stable")
-        self.owners, self.first = item[order], np.searchsorted(flat[order], np.arange(len(self.known) + 1))
-        self.mass = np.array([self.weigh(x).sum() for x in self.shingles])
+        self.prints = self.fingerprints(self.shingles)
+        mass = np.array([self.weigh(x).sum() for x in self.shingles])
+        sizes = np.array(self.sizes, np.int64)
+        self.tables = {n: Tables(np.flatnonzero(sizes == n), self.prints[sizes == n]) for n in np.unique(sizes).tolist()}
+        self.least = {n: float(mass[t.items].min()) * threshold - 1e-9 for n, t in self.tables.items()}
+
+    def fingerprints(self, windows: list[np.ndarray]) -> np.ndarray:
+        """The weighted SimHash of each run of shingles."""
+        return np.concatenate([_packed((self.weigh(x)[:, None] * _signs(x)).sum(0)[None]) for x in windows] or [np.zeros((0, BLOCKS), np.uint16)])
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
         return np.where(self.known[at] == hashes, self.weights[at], self.rare) if len(self.known) else np.full(len(hashes), self.rare)
 
-    def near(self, prints: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Which pairs of a fingerprint and an item are within the radius: near in a block first, then in all bits."""
-        apart = prints ^ self.prints[items]
-        blocks = _NEAR[(apart[:, None] >> (np.uint64(8) * np.arange(BLOCKS, dtype=np.uint64))) & np.uint64(255)]
-        near = (blocks <= self.radius // BLOCKS).any(1)
-        near[near] = blocks[near].sum(1) <= self.radius
-        return near
-
     def similarity(self, window: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of shingle multisets."""
         a, n = np.unique(window, return_counts=True)
@@ -109,51 +139,42 @@ class Items:
         union = (self.weigh(a) * n).sum() + (self.weigh(b) * m).sum() - shared
         return float(shared / union) if union else 0.0
 
-    def search(self, hashes: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+    def search(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, end word) of the best window, leftmost on ties, for each item at the threshold."""
         best: dict[int, tuple[float, int, int]] = {}
-        for k in sorted({min(self.gram, x) for x in self.sizes}):
-            grams = rolling(hashes, k)
-            if not len(grams):
+        grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, tables in self.tables.items():
+            k = min(self.gram, size)
+            if k not in grams:
+                own = rolling(hashes, k)
+                at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
+                shared = np.where(self.known[at] == own, self.weights[at], 0.0) if len(own) else np.zeros(0)
+                grams[k] = own, np.where(shared > 0, shared, self.rare), np.append(0, np.cumsum(shared))
+            own, weight, shared = grams[k]
+            if not len(own) or shared[-1] < self.least[size]:
                 continue
-            at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-            hits = np.flatnonzero(self.known[at] == grams)
-            many = self.first[at[hits] + 1] - self.first[at[hits]]
-            inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-            owner, place = self.owners[np.repeat(self.first[at[hits]], many) + inside], np.repeat(hits, many)
-            order = np.argsort(owner, kind="stable")
-            owner, place = owner[order], place[order]
-            found: dict[int, list[tuple[np.ndarray, int]]] = {}
-            for at in np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)].tolist():
-                item = int(owner[at])
-                if min(self.gram, self.sizes[item]) != k:
-                    continue
-                inner = min(self.sizes[item] - k + 1, len(grams))
-                own = place[at : np.searchsorted(owner, item, "right")]
-                some = np.unique(np.clip(own[:, None] - np.arange(inner)[None, :], 0, len(grams) - inner))
-                weight = np.append(0, np.cumsum(self.weigh(grams[own])))
-                shared = weight[np.searchsorted(own, some + inner)] - weight[np.searchsorted(own, some)]
-                # What a window shares is at most this, and similarity t needs t times the item's weight.
-                found.setdefault(inner, []).append((some[shared >= threshold * self.mass[item] - 1e-9], item))
-            for inner, own in found.items():
-                begins = np.unique(np.concatenate([x for x, _ in own]))
-                if not len(begins):
+            inner = min(size - k + 1, len(own))
+            begins = np.flatnonzero(shared[inner:] - shared[: len(shared) - inner] >= self.least[size])
+            self.steps["windows"] += len(own) - inner + 1
+            self.steps["fingerprints"] += len(begins)
+            self.steps["pairs_of_a_size"] += len(begins) * len(tables.items)
+            for part in np.array_split(begins, len(begins) * inner // 8_000 + 1):
+                if not len(part):
                     continue
-                prints = []
-                for part in np.array_split(begins, len(begins) * inner // 20_000 + 1):
-                    flat = grams[(part[:, None] + np.arange(inner)[None, :]).ravel()]
-                    prints.append(_packed((self.weigh(flat)[:, None] * _signs(flat)).reshape(len(part), inner, 64).sum(1)))
-                prints = np.concatenate(prints)
-                for some, item in own:
-                    near = self.near(prints[np.searchsorted(begins, some)], np.full(len(some), item))
-                    for begin in some[near].tolist():
-                        like = self.similarity(grams[begin : begin + inner], item)
-                        if like >= threshold and like > best.get(item, (0.0,))[0]:
-                            best[item] = (like, begin, begin + inner + k - 1)
+                flat = (part[:, None] + np.arange(inner)[None, :]).ravel()
+                sums = (weight[flat, None] * _signs(own[flat])).reshape(len(part), inner, BITS).sum(1)
+                rows, items, met = tables.find(_packed(sums), self.radius)
+                self.steps["pairs_from_tables"] += met
+                self.steps["pairs_within_radius"] += len(rows)
+                for begin, item in zip(part[rows].tolist(), items.tolist()):
+                    like = self.similarity(own[begin : begin + inner], item)
+                    if like >= self.threshold and like > best.get(item, (0.0,))[0]:
+                        best[item] = (like, begin, begin + inner + k - 1)
+        self.steps["matches"] += len(best)
         return [(i, *best[i]) for i in sorted(best)]
 
 
-def _matches(items: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
+def _matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
     """(row, match) for every item that a text holds."""
     kinds = sorted({min(items.gram, x) for x in items.sizes})
     lowered = pa.array([(x or "").lower() for x in texts.to_pylist()], pa.large_string())
@@ -167,15 +188,15 @@ def _matches(items: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[
                 at = np.minimum(np.searchsorted(items.known, grams), len(items.known) - 1)
                 touched[text_of(bounds)[np.flatnonzero((items.known[at] == grams) & firsts_with(bounds, k, len(hashes)))]] = True
         for d in np.flatnonzero(touched).tolist():
-            for match in items.search(hashes[bounds[d] : bounds[d + 1]], threshold):
+            for match in items.search(hashes[bounds[d] : bounds[d + 1]]):
                 yield row + d, match
 
 
-def _search(packed, threshold: float):
+def _search(packed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = pickle.loads(packed.value)
         for batch in batches:
-            rows = [(row, *match) for row, match in _matches(items, batch.column("text"), threshold)]
+            rows = [(row, *match) for row, match in _matches(items, batch.column("text"))]
             if rows:
                 where, item, like, begin, end = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
@@ -186,12 +207,12 @@ def _search(packed, threshold: float):
     return run
 
 
-def _packs(benchmark: DataFrame, most: int) -> list:
+def _packs(benchmark: DataFrame, most: int, threshold: float) -> list:
     """The benchmark's items as broadcast indexes of about ``most`` bytes each."""
     bounded_batches(benchmark.sparkSession)
     items = benchmark.select("item_id", "text")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    passes = max(1, -(-(INDEX_FACTOR * size[0] + 64 * size[1]) // most))
+    passes = max(1, -(-(INDEX_FACTOR * size[0] + 512 * size[1]) // most))
 
     def part(i: int) -> tuple[list, list]:
         rows = (items.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else items).collect()
@@ -202,14 +223,14 @@ def _packs(benchmark: DataFrame, most: int) -> list:
         parts = [Items(*part(i)).counts for i in range(passes)]
         every, where = np.unique(np.concatenate([c[0] for c in parts]), return_inverse=True)
         counts = every, np.bincount(where, np.concatenate([c[1] for c in parts]), len(every)), sum(c[2] for c in parts)
-    return [benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items(*part(i), counts=counts))) for i in range(passes)]
+    return [benchmark.sparkSession.sparkContext.broadcast(pickle.dumps(Items(*part(i), counts=counts, threshold=threshold))) for i in range(passes)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, first_word, end_word): every item that a document holds, with its best window."""
     out = None
-    for packed in _packs(benchmark, max_index_bytes):
-        found = docs.select("doc_id", "text").mapInArrow(_search(packed, threshold), "doc_id long, item_id long, similarity double, first_word long, end_word long")
+    for packed in _packs(benchmark, max_index_bytes, threshold):
+        found = docs.select("doc_id", "text").mapInArrow(_search(packed), "doc_id long, item_id long, similarity double, first_word long, end_word long")
         out = found if out is None else out.union(found)
     return out
 
@@ -223,12 +244,12 @@ def without_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             items: Items = pickle.loads(packed.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, _ in _matches(items, batch.column(at), threshold)]] = False
+                clean[[row for row, _ in _matches(items, batch.column(at))]] = False
                 yield batch.filter(pa.array(clean))
 
         return keep
 
-    for packed in _packs(benchmark, max_index_bytes):
+    for packed in _packs(benchmark, max_index_bytes, threshold):
         docs = docs.mapInArrow(run(packed), docs.schema)
     return docs
 

@@ -392,16 +392,33 @@ def test_op10_null_and_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in decontaminate.without_items(docs, bench).collect()) == ["1", "2"]
 
 
-def test_fingerprints_within_radius():
+def test_block_tables_find_all_within_radius():
+    """The tables give every item within the radius, repeated fingerprints included, and no other."""
     rng = np.random.default_rng(0)
-    items = decontaminate.Items(list(range(200)), [" ".join(rng.choice(list("abcdefghij"), 30)) for _ in range(200)])
-    which = rng.integers(0, 200, 4000)
-    probes = items.prints[which]
-    for _ in range(34):  # 0 to 34 bits away
-        flip = rng.integers(0, 64, 4000).astype(np.uint64)
-        probes = np.where(rng.random(4000) < 0.6, probes ^ (np.uint64(1) << flip), probes)
-    apart = [(int(p) ^ int(items.prints[i])).bit_count() for p, i in zip(probes, which)]
-    assert items.near(probes, which).tolist() == [x <= items.radius for x in apart] and min(apart) < items.radius < max(apart)
+    items = decontaminate.Items(list(range(300)), [" ".join(rng.choice(list("abcdefghij"), 30)) for _ in range(299)] + ["a b c d"])
+    table = items.tables[30]
+    table = decontaminate.Tables(table.items, np.concatenate([table.prints[:-5], table.prints[:5]]))
+    probes = table.prints[rng.integers(0, 299, 1000)].view(np.uint8).copy()
+    for row, n in zip(probes, rng.integers(0, 100, 1000)):  # 0 to 100 bits away
+        for bit in rng.choice(decontaminate.BITS, n, replace=False):
+            row[bit // 8] ^= 1 << (bit % 8)
+    probes = probes.view(np.uint16)
+    apart = np.bitwise_count(probes[:, None] ^ table.prints[None]).sum(axis=2)
+    for radius in (decontaminate.RADIUS, 0, 40):
+        rows, found, met = table.find(probes, radius)
+        want = {(int(r), int(table.items[i])) for r, i in np.argwhere(apart <= radius)}
+        assert set(zip(rows.tolist(), found.tolist())) == want and len(rows) == len(want) and len(rows) <= met < apart.size
+    assert (apart == decontaminate.RADIUS).any() and (apart == decontaminate.RADIUS + 1).any()
+
+
+def test_op10_candidates_come_from_the_tables():
+    rng = random.Random(3)
+    items = [[f"w{rng.randrange(400)}" for _ in range(25)] for _ in range(200)]
+    index = decontaminate.Items(list(range(200)), [" ".join(w) for w in items])
+    docs = [" ".join([*(f"x{rng.randrange(400)}" for _ in range(50)), *items[i], *(f"y{rng.randrange(400)}" for _ in range(50))]) for i in range(100)]
+    assert [i for _, (i, *_) in decontaminate._matches(index, decontaminate.pa.array(docs))] == list(range(100))
+    steps = index.steps
+    assert steps["windows"] > 5 * steps["fingerprints"] >= 500 and steps["pairs_of_a_size"] > 4 * steps["pairs_from_tables"] > 20 * steps["pairs_within_radius"] >= 2000
 
 
 @pytest.mark.parametrize("name", ["op2", "op4", "op7", "op8", "op9", "op10"])
