@@ -6,8 +6,8 @@ document is as many words as the item has; a document shorter than an item is on
 Shingles are weighted: a benchmark shingle by the logarithm of how few items have it, any other as
 the rarest.
 
-Steps of a document: 1. For each size of items, windows whose benchmark shingles, of whatever items, weigh
-``THRESHOLD`` times the lightest item of that size or more get a weighted SimHash of ``BITS`` bits (others can't be similar to an
+Steps of a document: 1. For each size of items, windows whose shingles of any items of that size weigh
+``THRESHOLD`` times the lightest of these items or more get a weighted SimHash of ``BITS`` bits (others can't be similar to an
 item of that size). 2. Fingerprints within ``RADIUS`` agree in one of ``BLOCKS`` blocks up to ``RADIUS // BLOCKS`` bits
 (pigeonhole): for each size and block a table holds the items by their block's value, and a window looks up every value
 so near to its own. These tables alone find a window's items. 3. Pairs found that are within the radius in all bits are compared
@@ -42,20 +42,20 @@ THRESHOLD = 0.8
 BITS = 256
 BLOCKS = BITS // 16
 RADIUS = 63
+STRETCH = 8192
 MAX_INDEX_BYTES = 256 << 20
 INDEX_FACTOR = 20
 
 _SEPARATES = np.ones(256, bool)
 _SEPARATES[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _ONES = np.bitwise_count(np.arange(1 << 16, dtype=np.uint16))
 _SEEDS = mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """+1 or -1 for each bit of each shingle."""
-    mixed = mix(hashes[:, None] ^ _SEEDS)
-    return np.where(mixed[:, :, None] & _BITS, np.float32(1), np.float32(-1)).reshape(len(hashes), BITS)
+    bits = np.unpackbits(mix(hashes[:, None] ^ _SEEDS).view(np.uint8), axis=1)
+    return bits.astype(np.int32) * 2 - 1
 
 
 def _packed(sums: np.ndarray) -> np.ndarray:
@@ -121,10 +121,15 @@ class Items:
         sizes = np.array(self.sizes, np.int64)
         self.tables = {n: Tables(np.flatnonzero(sizes == n), self.prints[sizes == n]) for n in np.unique(sizes).tolist()}
         self.least = {n: float(mass[t.items].min()) * threshold - 1e-9 for n, t in self.tables.items()}
+        self.own = {n: np.searchsorted(self.known, np.unique(np.concatenate([self.shingles[i] for i in t.items]))) for n, t in self.tables.items()}
 
     def fingerprints(self, windows: list[np.ndarray]) -> np.ndarray:
         """The weighted SimHash of each run of shingles."""
-        return np.concatenate([_packed((self.weigh(x)[:, None] * _signs(x)).sum(0)[None]) for x in windows] or [np.zeros((0, BLOCKS), np.uint16)])
+        return np.concatenate([_packed((self.units(x)[:, None] * _signs(x)).sum(0)[None]) for x in windows] or [np.zeros((0, BLOCKS), np.uint16)])
+
+    def units(self, hashes: np.ndarray) -> np.ndarray:
+        """Weights as whole numbers, so that sums don't depend on their order."""
+        return np.rint(self.weigh(hashes) * 256).astype(np.int32)
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
@@ -142,37 +147,71 @@ class Items:
     def search(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, similarity, first word, end word) of the best window, leftmost on ties, for each item at the threshold."""
         best: dict[int, tuple[float, int, int]] = {}
-        grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size, tables in self.tables.items():
-            k = min(self.gram, size)
-            if k not in grams:
-                own = rolling(hashes, k)
-                at = np.minimum(np.searchsorted(self.known, own), len(self.known) - 1)
-                shared = np.where(self.known[at] == own, self.weights[at], 0.0) if len(own) else np.zeros(0)
-                grams[k] = own, np.where(shared > 0, shared, self.rare), np.append(0, np.cumsum(shared))
-            own, weight, shared = grams[k]
-            if not len(own) or shared[-1] < self.least[size]:
+        for k in sorted({min(self.gram, n) for n in self.tables}):
+            grams = rolling(hashes, k)
+            if not len(grams):
                 continue
-            inner = min(size - k + 1, len(own))
-            begins = np.flatnonzero(shared[inner:] - shared[: len(shared) - inner] >= self.least[size])
-            self.steps["windows"] += len(own) - inner + 1
-            self.steps["fingerprints"] += len(begins)
-            self.steps["pairs_of_a_size"] += len(begins) * len(tables.items)
-            for part in np.array_split(begins, len(begins) * inner // 8_000 + 1):
-                if not len(part):
-                    continue
-                flat = (part[:, None] + np.arange(inner)[None, :]).ravel()
-                sums = (weight[flat, None] * _signs(own[flat])).reshape(len(part), inner, BITS).sum(1)
-                rows, items, met = tables.find(_packed(sums), self.radius)
-                self.steps["pairs_from_tables"] += met
-                self.steps["pairs_within_radius"] += len(rows)
-                for begin, item in zip(part[rows].tolist(), items.tolist()):
-                    like = self.similarity(own[begin : begin + inner], item)
-                    if like >= self.threshold and like > best.get(item, (0.0,))[0]:
-                        best[item] = (like, begin, begin + inner + k - 1)
+            at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+            hits = np.flatnonzero(self.known[at] == grams)
+            worth = []  # (size, shingles a window, first shingles of windows)
+            for size in self.tables:
+                if min(self.gram, size) == k:
+                    inner = min(size - k + 1, len(grams))
+                    worth.append((size, inner, self.worth(size, inner, at[hits], hits, len(grams))))
+            for size, begin, item in self.meet(grams, worth):
+                end = begin + min(size - k + 1, len(grams))
+                like = self.similarity(grams[begin:end], item)
+                if like >= self.threshold and like > best.get(item, (0.0,))[0]:
+                    best[item] = (like, begin, end + k - 1)
         self.steps["matches"] += len(best)
         return [(i, *best[i]) for i in sorted(best)]
 
+    def worth(self, size: int, inner: int, known: np.ndarray, hits: np.ndarray, n: int) -> np.ndarray:
+        """Windows of ``inner`` of ``n`` shingles that hold weight enough of items of a size; shingles ``hits`` have the numbers ``known``."""
+        own = self.own[size]
+        here = own[np.minimum(np.searchsorted(own, known), len(own) - 1)] == known
+        weights = self.weights[known[here]]
+        if weights.sum() < self.least[size]:
+            return np.zeros(0, np.int64)
+        shared = np.zeros(n + 1)
+        shared[hits[here] + 1] = weights
+        shared = np.cumsum(shared)
+        begins = np.flatnonzero(shared[inner:] - shared[: n + 1 - inner] >= self.least[size])
+        self.steps["windows"] += n - inner + 1
+        self.steps["fingerprints"] += len(begins)
+        self.steps["pairs_of_a_size"] += len(begins) * len(self.tables[size].items)
+        return begins
+
+    def meet(self, grams: np.ndarray, worth: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, int]]:
+        """(size, first shingle of a window, item) of every pair within the radius, windows of a size in order.
+
+        Signed weights are summed once along each stretch of ``STRETCH`` first shingles, so a window's sum is a difference.
+        """
+        for low in range(0, len(grams), STRETCH):
+            parts = [(n, inner, x[np.searchsorted(x, low) : np.searchsorted(x, low + STRETCH)] - low) for n, inner, x in worth]
+            parts = [(n, inner, x) for n, inner, x in parts if len(x)]
+            if not parts:
+                continue
+            own = grams[low : low + STRETCH + max(inner for _, inner, _ in parts)]
+            used = np.zeros(len(own) + 1, np.int64)
+            for _, inner, x in parts:
+                used[x] += 1
+                np.subtract.at(used, x + inner, 1)
+            used = np.cumsum(used[:-1]) > 0
+            sums = np.zeros((int(used.sum()) + 1, BITS), np.int32)
+            np.cumsum(self.units(own[used])[:, None] * _signs(own[used]), axis=0, out=sums[1:])
+            place = np.append(0, np.cumsum(used))
+            for n, inner, x in parts:
+                for some in np.array_split(x, len(x) // 1024 + 1):
+                    if not len(some):
+                        continue
+                    first = place[some]
+                    rows, items, met = self.tables[n].find(_packed(sums[first + inner] - sums[first]), self.radius)
+                    self.steps["pairs_from_tables"] += met
+                    self.steps["pairs_within_radius"] += len(rows)
+                    for begin, item in zip(some[rows].tolist(), items.tolist()):
+                        yield n, begin + low, item
+
 
 def _matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, tuple[int, float, int, int]]]:
     """(row, match) for every item that a text holds."""
