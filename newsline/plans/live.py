@@ -68,10 +68,10 @@ class KeyedTable:
         self.spark, self.path = spark, path.rstrip("/")
 
     @classmethod
-    def create(cls, df: DataFrame, path: str, keys: list[str], version: str, buckets: int = 256) -> KeyedTable:
-        """A new table of ``df``; of rows with one key that with the largest version. ``buckets`` never changes later."""
+    def create(cls, df: DataFrame, path: str, keys: list[str], version: str, buckets: int = 256, notes: dict | None = None) -> KeyedTable:
+        """A new table of ``df``; of rows with one key that with the largest version. ``buckets`` never changes later; ``notes`` are kept in the manifest."""
         out = cls(df.sparkSession, path)
-        first = {"keys": keys, "order": version, "buckets": buckets, "schema": df.schema.jsonValue(), "number": 0, "folders": {}}
+        first = {"keys": keys, "order": version, "buckets": buckets, "schema": df.schema.jsonValue(), "number": 0, "folders": {}, "notes": notes or {}}
         out._write(first, out._newest(out._placed(df.withColumn("_new", F.lit(1)), first), first))
         return out
 
@@ -116,13 +116,24 @@ class KeyedTable:
         new = {d.partition("=")[2]: f"{name}/{d}" for d in folders(self.spark, f"{self.path}/data/{name}") if d.startswith("_bucket=")}
         _publish(self.spark, f"{self.path}/manifests/{m['number']}", json.dumps(m | {"folders": m["folders"] | new}))
 
-    def upsert(self, updates: DataFrame) -> list[str]:
+    def _next(self, notes: dict | None, number: int | None) -> dict:
+        m = self.manifest()
+        if number is not None and m["number"] != number:
+            raise RuntimeError(f"version {m['number']} of {self.path} was published after {number}")
+        return m | {"number": m["number"] + 1} | ({} if notes is None else {"notes": notes})
+
+    def note(self, notes: dict, number: int | None = None) -> None:
+        """Publish other notes with the same rows; raises if the newest version isn't ``number`` any more."""
+        m = self._next(notes, number)
+        _publish(self.spark, f"{self.path}/manifests/{m['number']}", json.dumps(m))
+
+    def upsert(self, updates: DataFrame, notes: dict | None = None, number: int | None = None) -> list[str]:
         """Merge a batch: its rows win over what is there, and of rows with one key that with the largest version. Returns the buckets rewritten.
 
-        Raises if another merge was published meanwhile; the table is then as that one left it.
+        Raises if another merge was published meanwhile, or the newest version isn't ``number`` (if given); the table is then as that one left it.
+        ``notes`` replace those in the manifest.
         """
-        m = self.manifest()
-        m["number"] += 1
+        m = self._next(notes, number)
         schema = StructType.fromJson(m["schema"])
         batch = self._placed(updates.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)), m)
         batch = materialize(self._newest(batch.withColumn("_new", F.lit(1)), m), "batch")

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from newsline.operators import ledger as op
+from newsline.operators.fulltext import TextIndex
 from newsline.plans.live import write_dated
 from newsline.plans.storage import scratch
 from newsline.queries.news import LINKED, NOW
@@ -110,6 +111,36 @@ def found_in_stories(spark: SparkSession):
     return op.search(op.token_index(rows), rows, "the", entity=(names, "Oda"), clusters=told, category="TOPLUM", worst=3).select("id")
 
 
+SPOKEN = "string_split_regex(trim(lower(translate(title || ' ' || body, 'İI', 'iı')), chr(32) || chr(9) || chr(10) || chr(13)), '\\s+')"
+
+
+def _text_index(spark: SparkSession) -> TextIndex:
+    """An index of all articles in two batches; the second replaces a third of them, which the first has with a word more."""
+    rows = spark.table("articles").select("id", "title", "body", "published_at", (F.col("id").cast("long") % 3).alias("part"))
+    early = rows.where("part < 2").withColumn("body", F.when(F.col("part") == 0, F.concat(F.lit("of the "), "body")).otherwise(F.col("body")))
+    index = TextIndex.create(early, scratch(spark, "fulltext"))
+    index.add(rows.where("part <> 1"))
+    return index
+
+
+@register("phrase_articles", f"""
+, w AS (SELECT id, {SPOKEN} AS w FROM articles),
+h AS (SELECT id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS n_hits FROM w)
+SELECT id, CAST(n_hits AS BIGINT) AS n_hits FROM h WHERE n_hits > 0""")
+def phrase_articles(spark: SparkSession):
+    return _text_index(spark).phrase("Of the")
+
+
+@register("ranked_articles", f"""
+, w AS (SELECT id, list_filter({SPOKEN}, lambda x: x <> '') AS w FROM articles),
+n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM w),
+t AS (SELECT id, token, len(w) AS length, len(list_filter(w, lambda x: x = token)) AS tf FROM w, (SELECT unnest(['the', 'time', 'haus', 'maison']) AS token)),
+d AS (SELECT token, count(*) AS df FROM t WHERE tf > 0 GROUP BY token)
+SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM t JOIN d USING (token), n WHERE tf > 0 GROUP BY id""")
+def ranked_articles(spark: SparkSession):
+    return _text_index(spark).ranked("the time haus maison").select("id", F.round("score", 6).alias("score"))
+
+
 @register("arc_timelines", f"SELECT cluster_id, CAST(row_number() OVER (ORDER BY created_at DESC, cluster_id) AS INT) AS n FROM ({LINKED}) WHERE arc_id = 'arc_0003'")
 def arc_timelines(spark: SparkSession):
     from newsline.queries.report import sources
