@@ -36,6 +36,8 @@ from newsline.llm.common import lowest
 from newsline.plans.components import connected_components
 from newsline.plans.storage import materialize, partitions, table
 
+#: A vector with more copies is answered in shares.
+HOT = 1000
 TILE = 4096
 STEP = 16
 TURNED = 512
@@ -212,7 +214,7 @@ def _meet(threshold: float):
     return _by_tiles(("id", "n", "turned", "unit"), close)
 
 
-def cosine_links(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE, turned: int = TURNED) -> DataFrame:
+def cosine_links(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE, turned: int = TURNED, hot: int = HOT) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of (vec_id, embedding)."""
     spark, n = vectors.sparkSession, partitions(vectors.sparkSession)
     rows = materialize(vectors.select("vec_id", "embedding").mapInArrow(_prepare, "vec_id long, key binary, dim int, unit binary"), "units")
@@ -246,11 +248,18 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, tile: int = TILE,
     edges = found.where("id != other").join(at, "id").select(F.col("node").alias("u"), F.col("other").alias("id")).join(at, "id").select("u", F.col("node").alias("v"))
     component = connected_components(edges, "u", "v")
     named = own.join(links, "id", "left").join(component, "node", "left")
-    final = named.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
-    final = final.select("key", "n_links", F.when(F.col("c") < UNNAMED, F.col("c")).alias("component_id"))
-    return rows.join(final, "key", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("vec_id") == F.coalesce("component_id", "vec_id"), F.lit(False)).alias("kept")
-    )
+    final = named.select("key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
+    final = materialize(final.select("key", "n", "n_links", F.when(F.col("c") < UNNAMED, F.col("c")).alias("component_id")), "final")
+    # Rows without a vector meet nothing; vectors of over ``hot`` copies are answered in n shares each, the others by their key.
+    answer = F.struct("n_links", "component_id").alias("answer")
+    shared = final.where(F.col("n") > hot).select("key", answer, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("share"))
+    dealt = good.select("vec_id", "key", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias("share"))
+    first = materialize(dealt.join(shared, ["key", "share"], "left").select("vec_id", "key", "answer"), "copies")
+    others = first.where("answer is null").drop("answer").join(final.where(F.col("n") <= hot).select("key", answer), "key", "left").select("vec_id", "answer")
+    none = rows.where("key is null").select("vec_id", F.lit(None).cast(first.schema["answer"].dataType).alias("answer"))
+    links, low = F.coalesce("answer.n_links", F.lit(0)).cast("long"), F.coalesce("answer.component_id", "vec_id")
+    out = first.where("answer is not null").select("vec_id", "answer").union(others).union(none)
+    return out.select("vec_id", links.alias("n_links"), low.alias("component_id"), F.coalesce(F.col("vec_id") == low, F.lit(False)).alias("kept"))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

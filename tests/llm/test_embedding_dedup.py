@@ -47,3 +47,12 @@ def test_null_and_repeated_ids(spark):
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in got) == sorted(
         [("4", 1, "4", True), ("None", 2, "4", False), ("9", 1, "4", False), ("None", 0, "None", False), ("7", 1, "7", True), ("7", 1, "7", True), ("None", 0, "None", False)]
     )
+
+
+def test_copies_in_shares(spark):
+    """The closing join by shares gives what the plain one gives, with rows that have no vector or no id."""
+    rows = [(i, [1.0, float(i % 3), 0.0]) for i in range(40)] + [(50 + i, None) for i in range(20)] + [(None, [1.0, 0.0, 0.0]), (90, [0.0, 0.0, 7.0]), (90, [0.0, 0.0, 7.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [sorted(map(str, ed.cosine_links(df, hot=hot).collect())) for hot in (1, 5, 1000)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(rows)
+    assert {r.n_links for r in ed.cosine_links(df, hot=5).where("vec_id % 3 = 0 and vec_id < 40").collect()} == {14}
