@@ -27,10 +27,15 @@ SKIP_BELOW, SEED_FROM = 10, 30
 
 
 def eligible_articles(articles: DataFrame, sources: DataFrame, embedded: DataFrame, touched: DataFrame) -> DataFrame:
-    """Articles of this run's sources without vector, with the defaults for missing values."""
-    rows = articles.join(touched.select("source_id").distinct(), "source_id", "left_semi").join(embedded.select("id").distinct(), "id", "left_anti")
+    """Articles of this run's sources without vector, with the defaults for missing values.
+
+    ``articles`` has body, or word_count in its place; words are counted first, so no join moves a body.
+    """
+    counted = F.col("word_count") if "word_count" in articles.columns else word_count(F.col("body"))
+    rows = articles.select("id", "source_id", "title", "lead", "published_at", "language", counted.alias("word_count"))
+    rows = rows.join(touched.select("source_id").distinct(), "source_id", "left_semi").join(embedded.select("id").distinct(), "id", "left_anti")
     rows = rows.join(sources.select(F.col("id").alias("source_id"), "band"), "source_id", "left")
-    return rows.select("id", "source_id", F.coalesce("band", F.lit("")).alias("band"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("lead", F.lit("")).alias("lead"), "published_at", F.coalesce("language", F.lit("unknown")).alias("language"), word_count(F.col("body")).alias("word_count"))
+    return rows.select("id", "source_id", F.coalesce("band", F.lit("")).alias("band"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("lead", F.lit("")).alias("lead"), "published_at", F.coalesce("language", F.lit("unknown")).alias("language"), "word_count")
 
 
 def length_gate(df: DataFrame, words: str = "word_count") -> DataFrame:

@@ -10,6 +10,7 @@ from newsline.functions.text import embedding_input, word_count
 from newsline.operators import arcs as arc_op
 from newsline.operators import linking, scoring, stories
 from newsline.operators import vectors as vec
+from newsline.plans.adapters import articles_with
 from newsline.registry import register
 
 NOW = "TIMESTAMP '2024-01-12 22:30:00'"
@@ -31,12 +32,12 @@ CASE WHEN prim OR (sides >= 2 AND n >= 4) THEN 'YÜKSEK' WHEN sides >= 2 OR n >=
 @register("eligible_articles", f"""
 SELECT a.id, coalesce(s.band, '') AS band, a.language, {WORDS} AS word_count FROM articles a LEFT JOIN sources s ON s.id = a.source_id WHERE a.source_id IN ({TOUCHED}) AND CAST(a.id AS BIGINT) % 3 <> 0""")
 def eligible_articles(spark: SparkSession):
-    rows = spark.table("articles")
+    rows = articles_with(spark, word_count=word_count(F.col("body")))
     return stories.eligible_articles(rows, spark.table("sources"), rows.where("CAST(id AS BIGINT) % 3 = 0"), spark.sql(TOUCHED)).select("id", "band", "language", "word_count")
 
 
 def _roles(spark: SparkSession):
-    return stories.length_gate(spark.table("articles").withColumn("word_count", word_count(F.col("body"))))
+    return stories.length_gate(articles_with(spark, word_count=word_count(F.col("body"))))
 
 
 @register("article_roles", f"SELECT id, CASE WHEN {WORDS} < 10 THEN 'skip' WHEN {WORDS} < 30 THEN 'join' ELSE 'seed' END AS role FROM articles")
@@ -45,8 +46,8 @@ def article_roles(spark: SparkSession):
 
 
 def _stories(spark: SparkSession):
-    text = embedding_input(F.col("title"), F.col("lead")).alias("text")
-    return stories.cluster_stories(_roles(spark), vec.hashed_bow(spark.table("articles").select("id", text), "id", "text"), 0.7)
+    text = embedding_input(F.col("title"), F.col("lead"))
+    return stories.cluster_stories(_roles(spark), vec.hashed_bow(articles_with(spark, text=text).select("id", "text"), "id", "text"), 0.7)
 
 
 @register("clustered_stories")
