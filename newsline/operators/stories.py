@@ -62,10 +62,15 @@ def gap_runs(df: DataFrame, hours: int = 24) -> DataFrame:
     return joined.withColumn("run", F.concat("run", F.lit("/"), F.when(F.col("_part") > 0, F.concat("_day", F.lit("."), F.col("_part"))).otherwise(""))).drop("_day", "_part")
 
 
+#: Articles that are compared with the open stories together, and how much less a cosine in single precision may say.
+BATCH, MARGIN = 128, 1e-3
+
+
 class OpenStories:
     """The stories that an article may still join; articles come in order of time.
 
-    Means lie by place, so an article's few places are a few contiguous rows over all open stories.
+    A batch of articles meets all open stories in one matrix product in single precision. Only what comes within MARGIN
+    of the threshold there, and the stories that the batch itself has changed, are compared in double precision.
     """
 
     def __init__(self, threshold: float, hours: int, dims: int):
@@ -74,42 +79,72 @@ class OpenStories:
 
     def _resize(self, keep: np.ndarray, size: int) -> None:
         old, n = self.__dict__.copy(), len(keep)
-        self.sums, self.means = np.zeros((size, self.dims)), np.zeros((self.dims, size))
+        self.sums, self.units = np.zeros((size, self.dims)), np.zeros((size, self.dims), np.float32)
         self.counts, self.last, self.lengths = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
         if n:
-            self.means[:, :n] = old["means"][:, keep]
-            for name in ("sums", "counts", "last", "lengths"):
+            for name in ("sums", "units", "counts", "last", "lengths"):
                 getattr(self, name)[:n] = old[name][keep]
         self.names = [old["names"][k] for k in keep]
 
     def _put(self, at: int, time: int) -> None:
         mean = self.sums[at] / self.counts[at]
-        self.means[:, at] = mean
-        self.lengths[at] = np.linalg.norm(mean)
+        length = np.linalg.norm(mean)
+        self.units[at] = mean / length if length > 0 else 0.0
+        self.lengths[at] = length
         self.last[at] = max(self.last[at], time)
 
     def place(self, time: int, places: np.ndarray, weights: np.ndarray, seed: bool, name):
         """The name of the story that takes the article, ``name`` itself if it seeds one, None if it does neither."""
-        n, norm = len(self.names), np.linalg.norm(weights)
-        if n == len(self.sums):  # closed stories go, and the tables double only if most are still open
-            keep = np.flatnonzero(time - self.last <= self.limit)
-            self._resize(keep, max(16, 2 * len(keep)))
-            n = len(self.names)
-        if n and norm > 0:
-            length = self.lengths[:n]
-            like = np.where(length > 0, weights @ self.means[places, :n] / np.where(length > 0, length, 1) / norm, 0.0)
-            like[time - self.last[:n] > self.limit] = -2.0
-            at = int(np.argmax(like))
-            if like[at] >= self.threshold:
+        return self.place_all([time], [places], [weights], [seed], [name])[0]
+
+    def place_all(self, times: list, places: list, weights: list, seeds: list, names: list) -> list:
+        """What ``place`` gives for each article in turn."""
+        out = []
+        for at in range(0, len(times), BATCH):
+            out += self._batch(*(x[at : at + BATCH] for x in (times, places, weights, seeds, names)))
+        return out
+
+    def _batch(self, times: list, places: list, weights: list, seeds: list, names: list) -> list:
+        n, size = len(self.names), len(times)
+        keep = np.flatnonzero(times[0] - self.last[:n] <= self.limit)
+        if n + size > len(self.sums) or 4 * len(keep) < 3 * n - 4 * BATCH:
+            # Closed stories go, and the tables double only if most are still open.
+            self._resize(keep, max(16, 2 * (len(keep) + size)))
+            n = len(keep)
+        norms, vectors = [np.linalg.norm(w) for w in weights], np.zeros((size, self.dims), np.float32)
+        for i, norm in enumerate(norms):
+            if norm > 0:
+                vectors[i, places[i]] = weights[i] / norm
+        rows, found = np.nonzero(vectors @ self.units[:n].T >= self.threshold - MARGIN)
+        ends, changed = np.searchsorted(rows, np.arange(size + 1)), set()
+        return [
+            self._one(time, places[i], weights[i], norms[i], seeds[i], names[i], found[ends[i] : ends[i + 1]], changed)
+            for i, time in enumerate(times)
+        ]
+
+    def _one(self, time: int, places: np.ndarray, weights: np.ndarray, norm: float, seed: bool, name, near: np.ndarray, changed: set):
+        if changed:
+            near = np.union1d(near, np.fromiter(changed, np.int64, len(changed)))
+        if len(near) and norm > 0:
+            means = self.sums[near[:, None], places].T / self.counts[near]
+            length = self.lengths[near]
+            like = np.where(length > 0, weights @ means / np.where(length > 0, length, 1) / norm, 0.0)
+            like[time - self.last[near] > self.limit] = -2.0
+            best = int(np.argmax(like))
+            if like[best] >= self.threshold:
+                at = int(near[best])
                 self.sums[at, places] += weights
                 self.counts[at] += 1
                 self._put(at, time)
+                changed.add(at)
                 return self.names[at]
         if not seed:
             return None
+        n = len(self.names)
         self.sums[n, places], self.counts[n], self.last[n] = weights, 1, time
         self.names.append(name)
         self._put(n, time)
+        changed.add(n)
         return name
 
 
@@ -148,9 +183,11 @@ def cluster_stories(articles: DataFrame, sparse: DataFrame, threshold: float = 0
     rows = materialize(gap_runs(articles.where("role != 'skip'").select("id", "language", "published_at", "role"), hours), "runs")
     placed = materialize(sparse.join(rows.select("id", F.concat_ws("|", "language", F.col("run").cast("string")).alias("cell")), "id"), "placed")
     dims = (placed.agg(F.max("idx")).first()[0] or 0) + 1
-    edges = prefix_places(placed, threshold * threshold).select(F.concat(F.lit("a:"), "id").alias("a"), F.concat_ws("|", F.lit("p:"), "cell", "idx").alias("b"))
-    parts = connected_components(edges, "a", "b").where("node like 'a:%'").select(F.expr("substring(node, 3)").alias("id"), "component")
-    blocked = rows.join(parts, "id", "left")
+    # Nodes are hashes: each task contracts its own edges first, and what falls together by a hash is a larger block with the same stories.
+    node = F.xxhash64(F.lit("a:"), F.col("id"))
+    edges = prefix_places(placed, threshold * threshold).select(node.alias("a"), F.xxhash64(F.lit("p:"), "cell", "idx").alias("b"))
+    parts = connected_components(edges, "a", "b")
+    blocked = rows.withColumn("node", node).join(parts, "node", "left").drop("node")
     alone = blocked.where("component is null").select("id", F.when(F.col("role") == "seed", F.col("id")).alias("story"))
     vectors = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "weight"))).alias("e")).select("id", F.col("e.idx").alias("idx"), F.col("e.weight").alias("weight"))
 
@@ -162,11 +199,15 @@ def cluster_stories(articles: DataFrame, sparse: DataFrame, threshold: float = 0
             idx, weight = batch.column("idx"), batch.column("weight")
             ends, places, weights = idx.offsets.to_numpy(), idx.values.to_numpy(), weight.values.to_numpy()
             starts = weight.offsets.to_numpy()
-            story = []
-            for i, block in enumerate(blocks):
-                if block != at:
-                    at, found = block, OpenStories(threshold, hours, dims)
-                story.append(found.place(times[i], places[ends[i] : ends[i + 1]], weights[starts[i] : starts[i + 1]], seeds[i], ids[i]))
+            places, weights = ([x[p:q] for p, q in zip(y, y[1:])] for x, y in ((places, ends), (weights, starts)))
+            story, begin = [], 0
+            for end in range(1, len(blocks) + 1):
+                if end < len(blocks) and blocks[end] == blocks[begin]:
+                    continue
+                if blocks[begin] != at:
+                    at, found = blocks[begin], OpenStories(threshold, hours, dims)
+                story += found.place_all(*(x[begin:end] for x in (times, places, weights, seeds, ids)))
+                begin = end
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(story, pa.string())], ["id", "story"])
 
     together = blocked.where("component is not null").join(vectors, "id").select("language", F.col("run").cast("string").alias("run"), "component", "id", F.unix_micros(F.col("published_at").cast("timestamp")).alias("time"), (F.col("role") == "seed").alias("seed"), "idx", "weight")

@@ -63,6 +63,35 @@ def test_block_of_any_size_holds_open_stories(spark):
     assert got == want and len(set(got)) > 100 and most <= 64
 
 
+def test_batches_of_articles_equal_one_by_one():
+    """Batches that join what they changed themselves, over many windows, against all stories in double precision."""
+    rng = np.random.default_rng(11)
+    kinds = np.abs(rng.normal(size=(60, 30)))
+    rows = [(i * 300_000_000, np.sort(rng.choice(30, 20, replace=False)), bool(rng.integers(0, 4)), i) for i in range(1500)]
+    weights = [kinds[rng.integers(0, 60), p] + rng.random(20) * 0.2 for _, p, _, _ in rows]
+    sums, last, want = np.zeros((0, 30)), np.zeros(0), []
+    for (time, places, seed, i), w in zip(rows, weights):
+        x = np.zeros(30)
+        x[places] = w
+        like = np.where(time - last > 2 * 3_600_000_000, -2.0, sums @ x / np.linalg.norm(x) / np.maximum(np.linalg.norm(sums, axis=1), 1e-30))
+        if len(like) and like.max() >= 0.85:
+            k = int(np.argmax(like))
+            sums[k], last[k] = sums[k] + x, time
+            want.append(names[k])
+        elif seed:
+            sums, last = np.vstack([sums, x]), np.append(last, time)
+            names = [*(names if want and len(sums) > 1 else []), i]
+            want.append(i)
+        else:
+            want.append(None)
+    found, got, at = stories.OpenStories(0.85, 2, 30), [], 0
+    for size in (1, 700, 3, 796):
+        part = rows[at : at + size]
+        got += found.place_all([r[0] for r in part], [r[1] for r in part], weights[at : at + size], [r[2] for r in part], [r[3] for r in part])
+        at += size
+    assert got == want and None in want and 100 < len(set(want)) < len(want) - 100
+
+
 def test_minted_ids_continue(spark):
     df = spark.createDataFrame([(i, START + dt.timedelta(hours=i)) for i in range(30)], "k int, at timestamp")
     taken = spark.createDataFrame([("cl_20240101_9998",), ("cl_20240101_0009",)], "id string")
