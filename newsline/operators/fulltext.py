@@ -18,14 +18,17 @@ with the largest (version, text) stays. A query without words finds nothing; fur
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsline.functions.text import tokens, tr_lower
 from newsline.plans.live import KeyedTable
-from newsline.plans.storage import partitions, remove, scratch
+from newsline.plans.storage import bounded_batches, partitions, remove, scratch
 
 BUCKETS = 64
 #: Saturation and length weights of the ranking.
@@ -33,6 +36,29 @@ K1, B = 1.2, 0.75
 _ROWS = "token string, id string, length int, positions array<int>, _bucket int"
 
 
+#: Documents whose words are ordered together.
+_TOGETHER = 256
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, id, length, positions): a row for each distinct word of each of the rows (id, words), whose ids are unique."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, _TOGETHER):
+            batch = whole.slice(begin, _TOGETHER)
+            lengths = np.diff(batch.column("words").offsets.to_numpy())
+            said = batch.column("words").flatten().dictionary_encode()
+            code, starts = said.indices.to_numpy(), np.cumsum(lengths) - lengths
+            doc = np.repeat(np.arange(batch.num_rows), lengths)
+            key = doc * max(1, len(said.dictionary)) + code
+            order = np.argsort(key, kind="stable")  # positions of a word stay in order
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at = (np.arange(len(code)) - starts[doc])[order].astype(np.int32)
+            positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)), pa.int32()), pa.array(at))
+            of, word = doc[order][first], code[order][first]
+            columns = [said.dictionary.take(pa.array(word)), batch.column("id").take(pa.array(of)), pa.array(lengths[of].astype(np.int32)), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "id", "length", "positions"])
+
+
 def query_words(query: str) -> list[str]:
     """The words of a query, folded like those of the texts, in order."""
     return query.replace("İ", "i").replace("I", "ı").lower().split()
@@ -70,9 +96,8 @@ class TextIndex:
         (new_n, new_words), (old_n, old_words) = count(batch), count(old)
         if not new_n:
             return 0
-        at = words.select("id", F.size("words").alias("length"), F.posexplode("words").alias("at", "token"))
-        rows = at.groupBy("id", "token").agg(F.first("length").alias("length"), F.sort_array(F.collect_list("at")).alias("positions"))
-        self._write(rows, segment, notes["buckets"])
+        with bounded_batches(self.spark):  # words of a text are put together where it is: only finished rows move
+            self._write(words.mapInArrow(_postings, "token string, id string, length int, positions array<int>"), segment, notes["buckets"])
         notes |= {
             "segments": [*notes["segments"], segment], "replaced": [*notes["replaced"], *([segment] if old_n else [])],
             "documents": notes["documents"] + new_n - old_n, "words": notes["words"] + new_words - old_words,

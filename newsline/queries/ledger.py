@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsline.operators import ledger as op
 from newsline.operators.fulltext import TextIndex
+from newsline.plans.adapters import articles_with
 from newsline.plans.live import write_dated
 from newsline.plans.storage import scratch
 from newsline.queries.news import LINKED, NOW
@@ -116,7 +117,7 @@ SPOKEN = "string_split_regex(trim(lower(translate(title || ' ' || body, 'İI', '
 
 def _text_index(spark: SparkSession) -> TextIndex:
     """An index of all articles in two batches; the second replaces a third of them, which the first has with a word more."""
-    rows = spark.table("articles").select("id", "title", "body", "published_at", (F.col("id").cast("long") % 3).alias("part"))
+    rows = articles_with(spark).select("id", "title", "body", "published_at", (F.col("id").cast("long") % 3).alias("part"))
     early = rows.where("part < 2").withColumn("body", F.when(F.col("part") == 0, F.concat(F.lit("of the "), "body")).otherwise(F.col("body")))
     index = TextIndex.create(early, scratch(spark, "fulltext"))
     index.add(rows.where("part <> 1"))

@@ -1,9 +1,10 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
-from newsline.operators.fulltext import TextIndex
+from newsline.operators.fulltext import TextIndex, _postings
 from newsline.plans.live import folders
 
 SCHEMA = "id string, title string, body string, published_at int, token string"
@@ -84,3 +85,12 @@ def test_reads_only_its_words(spark, tmp_path):
     with pytest.raises(RuntimeError):
         index.documents.note({}, number)
     assert index.holding("w7").count() == 5
+
+
+def test_postings_are_put_together_in_place():
+    """Each text's words become its rows where the text is: a row a distinct word, places in order, no word of its own moves."""
+    rng = random.Random(8)
+    texts = {str(i): [f"w{rng.randrange(30)}" for _ in range(rng.choice([0, 1, 40, 200]))] for i in range(700)}
+    batch = pa.RecordBatch.from_pydict({"id": list(texts), "words": pa.array(list(texts.values()), pa.list_(pa.string()))})
+    got = {(r["id"], r["token"]): (r["length"], r["positions"]) for part in _postings(iter([batch.slice(0, 300), batch.slice(300), batch.slice(0, 0)])) for r in part.to_pylist()}
+    assert got == {(i, w): (len(t), [k for k, x in enumerate(t) if x == w]) for i, t in texts.items() for w in t}
