@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsline.functions.text import fold_key, lead, tokens, word_count
+from newsline.plans.storage import materialize
 from newsline.sources.pages import unescape
 
 COMMENTS = "\n\n--- Yorumlar ---\n\n"  # fixed value
@@ -85,7 +89,7 @@ def tag_language(df: DataFrame, profiles: DataFrame, fallback: str = "tr") -> Da
 
 
 #: What names are made of; anything else is a boundary.
-WORD = r"[\p{L}\p{N}]"
+WORD, GAP = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]"
 
 
 def entity_vocabulary(entries: DataFrame) -> DataFrame:
@@ -95,41 +99,81 @@ def entity_vocabulary(entries: DataFrame) -> DataFrame:
     return rows.groupBy("surface").agg(F.min(F.struct("canonical", "type")).alias("e")).select("surface", "e.canonical", "e.type")
 
 
-#: Pieces whose lengths are summed together. Pieces are read one by one: slice() copies the whole array at each call.
-PIECES = 32
+#: Pieces whose lengths are summed together, and such sums that are added up together. Pieces are read one by one: slice() copies the whole array at each call.
+PIECES, SUMS = 16, 32
+#: Slots of the tables that tell which words and runs of words may be of names: half a MB each, however many names there are.
+SLOTS = 1 << 16
+
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once; as a column of its own it might be put into a lambda and worked out at each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-def _length(pieces: Column, first: Column, last: Column) -> Column:
-    """Characters of the pieces from first to last, those beyond the end counting none."""
-    size = lambda i: F.coalesce(F.length(F.get(pieces, i)), F.lit(0))
-    return F.aggregate(F.sequence(first, last), F.lit(0), lambda n, i: n + size(i))
 
+def _steps(size: Column, by: int) -> Column:
+    """0, by, 2 by, ... below the size; 0 at least."""
+    return F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(by))
 
-def _block_starts(pieces: Column) -> Column:
-    """Where each block of PIECES pieces begins."""
-    firsts = F.sequence(F.lit(0), F.greatest(F.size(pieces) - 1, F.lit(0)), F.lit(PIECES))
-    sizes = F.transform(firsts, lambda at: _length(pieces, at, at + PIECES - 1))
+
+def _running(sizes: Column) -> Column:
+    """0 and the running sums of a short array: each step copies what is there."""
     return F.aggregate(sizes, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
 
 
-_SPAN = "array<struct<start:int,back:int,canonical:string,type:string>>"
+def _starts(pieces: Column) -> Column:
+    """Struct of what start_of() needs: lengths of the pieces, where blocks of PIECES begin within groups of SUMS blocks, where the groups begin."""
+    lengths = F.concat(F.transform(pieces, lambda x: F.length(x)), F.array_repeat(F.lit(0), PIECES))
+    block = lambda n, at: reduce(add, [F.get(n, at + i) for i in range(PIECES)])
+    sums = lambda n: F.transform(_steps(F.size(pieces), PIECES), lambda at: block(n, at))
+    some = lambda x, at: F.transform(F.sequence(at, F.least(at + SUMS, F.size(x)) - 1), lambda i: F.get(x, i))
+    groups = lambda n: _let(sums(n), lambda x: F.transform(_steps(F.size(x), SUMS), lambda at: _running(some(x, at))))
+    whole = lambda n: _let(groups(n), lambda g: F.struct(n.alias("lengths"), g.alias("within"), _running(F.transform(g, lambda x: F.element_at(x, -1))).alias("groups")))
+    return _let(lengths, whole)
+
+
+def _start_of(starts: Column, at: Column) -> Column:
+    """Characters before a piece."""
+    group, block = F.floor(at / (PIECES * SUMS)).cast("int"), F.floor(at % (PIECES * SUMS) / PIECES).cast("int")
+    inside = F.when(at % PIECES == 0, 0).otherwise(F.aggregate(F.sequence(at - at % PIECES, at - 1), F.lit(0), lambda n, i: n + F.get(starts.lengths, i)))
+    return F.get(starts.groups, group) + F.get(F.get(starts.within, group), block) + inside
+
+
+def _slot(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int")
+
+
+def _slots(rows: DataFrame, key: str, value: Column) -> Column:
+    """An array with the distinct values of the rows whose key has the hash i at place i, null where there are none; of a fixed size."""
+    filled = rows.groupBy(_slot(F.col(key)).alias("slot")).agg(F.collect_set(value).alias("values"))
+    every = rows.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(filled, "slot", "left")
+    return every.agg(F.sort_array(F.collect_list(F.struct("slot", "values"))).alias("s")).select(F.transform("s", lambda x: x["values"])).scalar()
+
+
+_HIT = "struct<start:int,back:int,surface:string,loops:boolean,canonical:string,type:string>"
 
 
 def _no_self_overlap(hits: Column) -> Column:
-    """Of occurrences of one surface that overlap each other the earlier stay; ``hits`` is sorted by (surface, start)."""
-    empty = F.array().cast("array<struct<surface:string,start:int,back:int,canonical:string,type:string>>")
-    same = lambda a, x: (a.surface == x.surface) & (x.start < a.upto)
+    """Of occurrences of one surface that overlap each other the earlier stay; by (start, -end)."""
     state = lambda surface, upto, k: F.struct(surface.alias("surface"), upto.alias("upto"), k.alias("k"))
-    begin = state(F.lit(""), F.lit(0), empty)
-    kept = F.aggregate(hits, begin, lambda a, x: F.when(same(a, x), a).otherwise(state(x.surface, -x.back, F.concat(a.k, F.array(x)))), lambda a: a.k)
-    return F.transform(kept, lambda x: F.struct(x.start.alias("start"), x.back.alias("back"), x.canonical.alias("canonical"), x.type.alias("type")))
+    same = lambda a, x: (a.surface == x.surface) & (x.hit.start < a.upto)
+    begin = state(F.lit(""), F.lit(0), F.array().cast(f"array<{_HIT}>"))
+    named = F.sort_array(F.transform(F.filter(hits, lambda x: x.loops), lambda x: F.struct(x.surface.alias("surface"), x.alias("hit"))))
+    kept = F.aggregate(named, begin, lambda a, x: F.when(same(a, x), a).otherwise(state(x.surface, -x.hit.back, F.concat(a.k, F.array(x.hit)))), lambda a: a.k)
+    return F.when(F.exists(hits, lambda x: x.loops), F.sort_array(F.concat(F.filter(hits, lambda x: ~x.loops), kept))).otherwise(hits)
 
 
-def _leftmost_longest(spans: Column) -> Column:
-    """Spans sorted by (start, -end) without those that begin before the last one kept ends."""
+#: Hits that are gone through together: each step copies what it has of them.
+HITS = 64
+
+
+def _leftmost_longest(hits: Column) -> Column:
+    """Hits sorted by (start, -end) without those that begin before the last one kept ends."""
     state = lambda upto, k: F.struct(upto.alias("upto"), k.alias("k"))
     step = lambda a, x: F.when(x.start >= a.upto, state(-x.back, F.concat(a.k, F.array(x)))).otherwise(a)
-    return F.aggregate(spans, state(F.lit(0), F.array().cast(_SPAN)), step, lambda a: a.k)
+    some = lambda at: F.transform(F.sequence(at, F.least(at + HITS, F.size(hits)) - 1), lambda i: F.get(hits, i))
+    block = lambda upto, at: F.aggregate(some(at), state(upto, F.array().cast(f"array<{_HIT}>")), step)
+    blocks = lambda a, at: _let(block(a.upto, at), lambda b: state(b.upto, F.concat(a.k, F.array(b.k))))
+    return F.aggregate(_steps(F.size(hits), HITS), state(F.lit(0), F.array().cast(f"array<array<{_HIT}>>")), blocks, lambda a: F.flatten(a.k))
 
 
 def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -141,44 +185,54 @@ def extract_entities(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
     before its first and behind its last letter or digit is compared with the pieces beside. Work grows with the
     words of the texts and with the lengths at a first word, not with the names.
 
+    Both levels are asked where the text is: two tables of SLOTS hashes, of first words and of whole runs, leave out
+    what is of no name, and what passes meets the names by equal strings. So no text and no word of it moves, only runs that
+    may be names. Very many names fill the tables; then more runs move, and the result is the same.
+
     Names have any length; one without any letter or digit never matches. Of occurrences of one name that overlap, the
     earlier ones count; of overlapping names the earliest start stays, then the longest. ``id`` is unique.
     """
     # Folding keeps the number of characters, so places in the folded text are places in the text.
-    folded = df.select("id", fold_key(F.col("body")).alias("t")).where("t is not null")
-    pieces = folded.select("id", F.regexp_extract_all("t", F.lit(f"(?s){WORD}+|(?:(?!{WORD}).)+"), F.lit(0)).alias("pieces"))
+    folded = df.where("body is not null").select("id", fold_key(F.col("body")).alias("t"))
     core = F.regexp_extract("surface", f"(?s){WORD}(?:.*{WORD})?", 0)
     named = vocabulary.select("surface", "canonical", "type", core.alias("core")).where("core != ''")
-    lead = F.regexp_extract("surface", f"(?s)^(?:(?!{WORD}).)*", 0)
-    named = named.select("*", lead.alias("lead"), F.expr("substring(surface, length(lead) + length(core) + 1)").alias("trail"))
-    words = F.size(F.regexp_extract_all("core", F.lit(WORD + "+"), F.lit(0)))
-    named = named.select("*", F.regexp_extract("core", WORD + "+", 0).alias("word"), words.alias("words"))
-    firsts = named.groupBy("word").agg(F.collect_set("words").alias("sizes"))
-    # The outer form: for the inner one Spark infers a filter that works the array out again, before rows are dealt out.
-    places = pieces.select("id", F.posexplode_outer("pieces").alias("at", "word")).join(firsts, "word")
-    asked = places.groupBy("id").agg(F.collect_list(F.struct("at", "sizes")).alias("asked"))
-    runs = pieces.join(asked, "id")
-    each = F.flatten(F.transform("asked", lambda a: F.transform(a.sizes, lambda n: F.struct(a["at"].alias("at"), n.alias("n")))))
-    fits = F.filter(each, lambda x: x["at"] + 2 * x.n - 1 <= F.size("pieces"))
-    inside = lambda at: F.when(at % PIECES == 0, 0).otherwise(_length(F.col("pieces"), at - at % PIECES, at - 1))
-    text = lambda at, n: F.aggregate(F.sequence(F.lit(0), 2 * n - 2), F.lit(""), lambda said, i: F.concat(said, F.get("pieces", at + i)))
-    start = lambda at, starts: F.get(starts, F.floor(at / PIECES).cast("int")) + inside(at)
-    run = lambda x, starts: F.struct(
-        text(x["at"], x.n).alias("core"), start(x["at"], starts).alias("start"),
-        F.when(x["at"] > 0, F.get("pieces", x["at"] - 1)).otherwise("").alias("before"), F.coalesce(F.get("pieces", x["at"] + 2 * x.n - 1), F.lit("")).alias("behind"),
-        (x["at"] <= 1).alias("first"), (x["at"] + 2 * x.n + 1 > F.size("pieces")).alias("last"),
-    )
-    # The starts are bound once a text; as a column of their own they would be worked out at every place.
-    bound = F.flatten(F.transform(F.array(_block_starts(F.col("pieces"))), lambda starts: F.transform(fits, lambda x: run(x, starts))))
-    looked = runs.select("id", F.explode_outer(bound).alias("r")).select("id", "r.*").join(named, "core")
+    named = named.select("*", F.regexp_extract("surface", f"^{GAP}*", 0).alias("lead")).select("*", F.expr("substring(surface, length(lead) + length(core) + 1)").alias("trail"))
+    named = named.select("*", F.regexp_extract_all("core", F.lit(WORD + "+"), F.lit(0)).alias("all"))
+    # A name that overlaps itself has its first word twice, or meets itself with its edges.
+    loops = ((F.col("lead") != "") & (F.col("trail") != "")) | (F.size("all") > F.size(F.array_remove("all", F.get("all", F.lit(0)))) + 1)
+    named = named.select("*", F.get("all", F.lit(0)).alias("word"), F.size("all").alias("words"), loops.alias("loops")).drop("all")
+    named = materialize(named, "names")
+
+    def runs(s: Column) -> Column:
+        """Runs of words of one text that pass both tables: where they begin, and what stands beside."""
+        pieces, size = s.pieces, F.size(s.pieces)
+        sizes = lambda at: F.get(s.firsts, _slot(F.get(pieces, at)))
+        said = lambda at, n: F.when(n == 1, F.get(pieces, at)).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), 2 * n - 2), lambda i: F.get(pieces, at + i)), ""))
+        first = F.when(F.get(pieces, F.lit(0)).rlike(WORD), 0).otherwise(1)
+        places = _let(first, lambda f: F.transform(_steps(size, 2), lambda i: i + f))
+        places = F.filter(places, lambda at: (at < size) & sizes(at).isNotNull())
+        each = F.flatten(F.transform(places, lambda at: F.transform(F.filter(sizes(at), lambda n: at + 2 * n - 1 <= size), lambda n: F.struct(at.alias("at"), n.alias("n"), said(at, n).alias("core")))))
+        each = F.filter(each, lambda x: F.get(s.cores, _slot(x.core)).isNotNull())
+        run = lambda x, starts: F.struct(
+            x.core.alias("core"), _start_of(starts, x["at"]).alias("start"),
+            F.when(x["at"] > 0, F.get(pieces, x["at"] - 1)).otherwise("").alias("before"), F.coalesce(F.get(pieces, x["at"] + 2 * x.n - 1), F.lit("")).alias("behind"),
+            (x["at"] <= 1).alias("first"), (x["at"] + 2 * x.n + 1 > size).alias("last"),
+        )
+        return _let(_starts(pieces), lambda starts: F.transform(each, lambda x: run(x, starts)))
+
+    pieces = F.regexp_extract_all("t", F.lit(f"{WORD}+|{GAP}+"), F.lit(0))
+    # Spark puts the tables, columns without a row's own values, where they are read: no row carries them.
+    tables = folded.select("*", _slots(named, "word", F.col("words")).alias("firsts"), _slots(named, "core", F.lit(1)).alias("cores"))
+    seen = F.struct(pieces.alias("pieces"), "firsts", "cores")
+    # The outer form: for the inner one Spark infers a filter that works the array out again.
+    looked = tables.select("id", _let(seen, runs).alias("runs")).select("id", F.explode_outer("runs").alias("r")).select("id", "r.*").join(named, "core")
     # A name's edge may not touch a word: more of the piece beside is left, or the text ends there.
     left = (F.col("lead") == "") | (F.endswith("before", F.col("lead")) & ((F.length("before") > F.length("lead")) | F.col("first")))
     right = (F.col("trail") == "") | (F.startswith("behind", F.col("trail")) & ((F.length("behind") > F.length("trail")) | F.col("last")))
     start = F.col("start") - F.length("lead")
-    hit = F.struct("surface", start.cast("int").alias("start"), (-start - F.length("surface")).cast("int").alias("back"), "canonical", "type")
+    hit = F.struct(start.cast("int").alias("start"), (-start - F.length("surface")).cast("int").alias("back"), "surface", "loops", "canonical", "type")
     hits = looked.where(left & right).groupBy("id").agg(F.sort_array(F.collect_list(hit)).alias("h"))
-    found = hits.select("id", F.sort_array(_no_self_overlap(F.col("h"))).alias("h"))
-    found = found.select("id", F.explode_outer(_leftmost_longest(F.col("h"))).alias("k"))
+    found = hits.select("id", F.explode_outer(_let(_no_self_overlap(F.col("h")), _leftmost_longest)).alias("k"))
     return found.select("id", "k.start", (-F.col("k.back")).alias("end"), F.col("k.canonical").alias("text"), "k.type")
 
 

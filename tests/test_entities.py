@@ -61,3 +61,51 @@ def test_many_names_of_one_first_word_and_edges(spark):
     found = extract_entities(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), vocabulary).collect()
     for i, text in enumerate(texts):
         assert sorted((r.start, r.end, r.text, r.type) for r in found if r.id == i) == slow(text, entries), text[:60]
+
+
+def test_texts_do_not_move(spark):
+    """Only ids and what was found are dealt out, whatever joins Spark takes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vocabulary = entity_vocabulary(spark.createDataFrame(ENTRIES, "canonical string, type string, aliases array<string>"))
+        found = extract_entities(spark.createDataFrame([(1, "Koç A.Ş. ile TCMB")], "id int, body string"), vocabulary)
+        moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+        columns = {c.split("#")[0].strip() for x in moved for c in x.split(",")}
+        assert columns and not columns & {"body", "t", "pieces", "runs"}, columns
+        assert sorted(r.text for r in found.collect()) == ["Koç A.Ş.", "Merkez Bankası"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_full_tables_lose_nothing(spark, monkeypatch):
+    """Two slots: every word and every run passes; long texts have several groups of sums and blocks of hits."""
+    from newsline.operators import normalize
+
+    entries = [("the", "PARTY", ()), ("a the a", "COMPANY", ()), ("the a", "PARTY", ("q.",)), ("x 1 x", "PERSON", ("'x'",))]
+    rng = random.Random(7)
+    texts = ["".join(rng.choice(["the", "a", "x", "1", "q", " ", " ", " ", "'", ".", "😀", "ß", "\n"]) for _ in range(n)) for n in (0, 1, 2, 15, 16, 17, 511, 512, 513, 1023, 1024, 1025, 3000)] + ["a the " * 700, " ".join("x1" * 300)]
+    monkeypatch.setattr(normalize, "SLOTS", 2)
+    vocabulary = entity_vocabulary(spark.createDataFrame(entries, "canonical string, type string, aliases array<string>"))
+    found = extract_entities(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), vocabulary).collect()
+    for i, text in enumerate(texts):
+        assert sorted((r.start, r.end, r.text, r.type) for r in found if r.id == i) == slow(text, entries), text[:60]
+
+
+def test_query_equals_sql_on_odd_rows(spark, write):
+    """Events that stand twice or are missing, null and short texts, heads with other white space, long words, sources without names."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    head = ["\talpha  beta\ngamma delta epsilon zeta eta", " one two three four five six", "a b c d e", "a b c d e ", "x" * 9000 + " y z y z y z", "İI ı Ş.  Ğ ü ö ç k", "\n\n a  b", "b b b b b b b b b"]
+    rows = [(i, None if i % 11 == 5 else " ".join([head[i % 8], *(head[(i * k + j) % 8] for j, k in enumerate((3, 5, 7)))]) if i % 3 else head[i % 8], "en", f"src{i % 5}", 1) for i in range(60)]
+    sf = write("documents", [*rows, (60, "", "en", "src9", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    write("events", [(i, None, 0, "view", 0.0) for i in [*range(0, 50), *range(20, 58), 99]], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    write("embeddings", [], "vec_id long, label int")
+    write("pages", [], "page_id long, url string, html string")
+    con = duckdb.connect()
+    for name in ("documents", "events", "embeddings", "pages"):
+        con.execute(f"create view {name} as select * from '{sf}/{name}.parquet/*.parquet'")
+    for name in ("entity_vocabulary", "extracted_entities"):
+        found = entry.queries()[name](spark, sf)
+        assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in found.columns)} from ({entry.oracle_sql()[name]})").fetchall())
