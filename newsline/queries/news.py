@@ -11,6 +11,7 @@ from newsline.operators import arcs as arc_op
 from newsline.operators import linking, scoring, stories
 from newsline.operators import vectors as vec
 from newsline.plans.adapters import articles_with
+from newsline.plans.storage import materialize
 from newsline.registry import register
 
 NOW = "TIMESTAMP '2024-01-12 22:30:00'"
@@ -46,18 +47,20 @@ def article_roles(spark: SparkSession):
 
 
 def _stories(spark: SparkSession):
-    text = embedding_input(F.col("title"), F.col("lead"))
-    return stories.cluster_stories(_roles(spark), vec.hashed_bow(articles_with(spark, text=text).select("id", "text"), "id", "text"), 0.7)
+    """(articles with their roles, their stories); the texts are read once."""
+    rows = articles_with(spark, word_count=word_count(F.col("body")), bow=vec.bow_of(embedding_input(F.col("title"), F.col("lead"))))
+    rows = materialize(stories.length_gate(rows).select("id", "language", "published_at", "role", "bow.idx", "bow.weight"), "roles")
+    return rows, stories.cluster_stories(rows, threshold=0.7)
 
 
 @register("clustered_stories")
 def clustered_stories(spark: SparkSession):
-    return _stories(spark)
+    return _stories(spark)[1]
 
 
 @register("story_counts")
 def story_counts(spark: SparkSession):
-    return stories.run_counts(_roles(spark), _stories(spark))
+    return stories.run_counts(_roles(spark), _stories(spark)[1])
 
 
 @register("minted_ids", """

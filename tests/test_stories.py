@@ -1,10 +1,13 @@
 import datetime as dt
+import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from newsline.operators import linking, stories
-from newsline.operators.vectors import centroid, embed_with, hashed_bow, similar_pairs, dense_blocks, top_k_similar
+from newsline.operators.vectors import bow_of, centroid, embed_with, hashed_bow, similar_pairs, dense_blocks, top_k_similar
 
 START = dt.datetime(2024, 1, 1)
 
@@ -170,3 +173,81 @@ def test_centroids(spark):
     assert set(got) == {*want, None, "nan"} and all(np.allclose(got[k], want[k]) for k in want)
     assert got[None] == [2.0, None, 5.0] and np.isnan(got["nan"][0]) and got["nan"][1] == 2.0
     assert centroid(spark.createDataFrame([], "k int, v array<float>"), "k", "v").count() == 0
+
+
+def dense_run(n=1500, dims=60):
+    """One language's articles without a gap: a few kinds that stories gather, and many that seed one each; copies beside them."""
+    rng = np.random.default_rng(21)
+    kinds = np.abs(rng.normal(size=(25, dims)))
+    rows = []
+    for i in range(n):
+        if i % 3:
+            places = np.sort(rng.choice(dims, 8, replace=False)).astype(np.int32)
+            weights = rng.random(8) + 0.2
+        else:
+            places = np.arange(dims, dtype=np.int32)
+            weights = kinds[rng.integers(0, 25)] + rng.random(dims) * 0.9
+        if i % 50 == 49:
+            places, weights = rows[-40][4], rows[-40][5]
+        at = START + dt.timedelta(minutes=int(4.5 * i) - int(4.5 * i) % 60)  # many at one time
+        rows.append((f"a{i:04d}", "en", at, "seed" if i % 7 else "join", places, weights / np.linalg.norm(weights)))
+    return rows
+
+
+def dense_vectors(rows, dims=60):
+    out = np.zeros((len(rows), dims))
+    for k, r in enumerate(rows):
+        out[k, r[4]] = r[5]
+    return out
+
+
+def test_slices_equal_one_pass(spark):
+    """A run of many windows, without a place that parts it, and vectors that are null or empty."""
+    rows = dense_run()
+    want = whole([(*r[:4], v) for r, v in zip(rows, dense_vectors(rows))], 0.8)
+    more = [("n1", "en", START, "seed", None, None), ("n2", "en", START, "join", [], []), ("n3", "de", START, "seed", None, None)]
+    df = spark.createDataFrame([(*r[:4], r[4].tolist(), r[5].tolist()) for r in rows] + more, "id string, language string, published_at timestamp, role string, idx array<int>, weight array<double>")
+    got = {r.id: r.story for r in stories.cluster_stories(df, threshold=0.8).collect()}
+    assert got == want | {"n1": "n1", "n2": None, "n3": "n3"}
+    assert 200 < len(set(want.values())) < 1300
+
+
+@pytest.mark.parametrize("guess", ["found", "none", "half"])
+def test_any_guess_gives_the_plain_pass(monkeypatch, guess):
+    """Stories are kept out of the product where the guess is good; where it is bad, the result is the same."""
+    rows, day = dense_run(), 24 * 3_600_000_000
+    times = [int((r[2] - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000 for r in rows]
+    batches = []
+    for k in sorted({t // day for t in times}):
+        own = [i for i, t in enumerate(times) if t // day in (k - 1, k)]
+        column = lambda j, kind: pa.array([rows[i][j] for i in own], kind)
+        made_of = {
+            "language": column(1, pa.string()), "run": column(1, pa.string()), "time": pa.array([times[i] for i in own]), "id": column(0, pa.string()),
+            "seed": pa.array([rows[i][3] == "seed" for i in own]), "idx": column(4, pa.list_(pa.int32())), "weight": column(5, pa.list_(pa.float64())),
+            "slice": pa.array([k] * len(own)), "own": pa.array([times[i] // day == k for i in own]),
+        }
+        whole_slice = pa.RecordBatch.from_arrays(list(made_of.values()), list(made_of))
+        batches += [whole_slice.slice(at, 130) for at in range(0, len(own), 130)]
+    chunk = stories._Leaders._chunk
+    if guess != "found":
+        monkeypatch.setattr(stories._Leaders, "_chunk", lambda self, t, n, p, w, seeds: chunk(self, t, n, p, w, seeds & (np.arange(len(t)) % 2 > 0) & (guess == "half")))
+    led = []
+    for key, group in itertools.groupby(batches, key=lambda b: b.column("slice")[0].as_py()):
+        led += stories._find_leaders(0.8, 24, 60)(iter(group))
+    most, batch = [], stories.OpenStories.batch
+    monkeypatch.setattr(stories.OpenStories, "batch", lambda self, *a: [batch(self, *a), most.append((self.n_hot, len(self.names)))][0])
+    got = {}
+    for b in stories._place_articles(0.8, 24, 60)(iter(led)):
+        got |= dict(zip(b.column("id").to_pylist(), b.column("story").to_pylist()))
+    assert got == whole([(*r[:4], v) for r, v in zip(rows, dense_vectors(rows))], 0.8)
+    assert guess != "found" or max(h for h, _ in most) * 4 < max(n for _, n in most) * 3
+
+
+def test_bow_in_the_row_is_hashed_bow(spark):
+    df = spark.createDataFrame([(1, "A a b"), (2, ""), (3, None), (4, "x y  z x")] + [(i, " ".join(f"w{j % i}" for j in range(99))) for i in range(5, 40)], "id int, t string").repartition(3)
+    rows = {r.id: r.b for r in df.select("id", bow_of(F.col("t")).alias("b")).collect()}
+    want = {}
+    for r in hashed_bow(df, "id", "t").orderBy("id", "idx").collect():
+        want.setdefault(r.id, []).append((r.idx, r.weight))
+    assert {k: list(zip(b.idx, b.weight)) for k, b in rows.items() if b.idx} == want
+    assert rows[2].idx == [] and rows[3].idx is None and len(rows) == 39
