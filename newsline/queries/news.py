@@ -60,7 +60,7 @@ def clustered_stories(spark: SparkSession):
 
 @register("story_counts")
 def story_counts(spark: SparkSession):
-    return stories.run_counts(_roles(spark), _stories(spark)[1])
+    return stories.run_counts(*_stories(spark))
 
 
 @register("minted_ids", """

@@ -251,3 +251,17 @@ def test_bow_in_the_row_is_hashed_bow(spark):
         want.setdefault(r.id, []).append((r.idx, r.weight))
     assert {k: list(zip(b.idx, b.weight)) for k, b in rows.items() if b.idx} == want
     assert rows[2].idx == [] and rows[3].idx is None and len(rows) == 39
+
+
+def test_counts_read_no_text(spark, write):
+    """The counts come from the roles that the clustering has stored; the texts aren't read again for them."""
+    import __spark_entry__
+
+    texts = ["a " * 40, "a " * 20 + "b", "short", "c " * 20, "d " * 50]
+    write("documents", [(i, x, "en", "src1", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    write("events", [(i, START + dt.timedelta(hours=i), 1, "view", 1.0, "") for i in range(5)], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    write("embeddings", [(0, [1.0], 1)], "vec_id long, embedding array<float>, label int")
+    folder = write("pages", [(0, "", "")], "page_id long, url string, html string")
+    got = __spark_entry__.queries()["story_counts"](spark, folder)
+    assert tuple(got.first()) == (2, 1, 1, 1)
+    assert not any("documents.parquet" in f for f in got.inputFiles())
